@@ -1,0 +1,43 @@
+"""Encoding texts by segments that a tokenizer provably treats alone, with a bounded memo.
+
+A single space between two characters that aren't white space starts a segment.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+MEMO_SEGMENTS = 700_000
+
+
+class SegmentEncoder:
+    """encode(text) -> bytes of ids, from a function that encodes lists of segments or whole texts.
+
+    ``many(parts, starts)`` gets segments without their leading space; ``starts``
+    is true for segments that begin a text. ``whole(text)`` serves texts whose
+    spacing is irregular.
+    """
+
+    def __init__(self, many: Callable[[list[str], bool], list[bytes]], whole: Callable[[str], bytes], limit: int = MEMO_SEGMENTS):
+        self.many, self.whole, self.limit = many, whole, limit
+        self.memo: dict[str, bytes] = {}
+
+    def encode(self, text: str) -> bytes:
+        parts = text.split(" ")
+        parts[0] = " " + parts[0]  # no other segment holds a space, so the first of a text has keys of its own
+        got = list(map(self.memo.get, parts))
+        if None in got:
+            if len(self.memo) > self.limit:
+                self.memo.clear()
+                got = [None] * len(parts)
+            new = list(dict.fromkeys(p for p, g in zip(parts, got, strict=True) if g is None))
+            for p in new:
+                body = p.lstrip(" ")
+                if not body or body[0].isspace() or body[-1].isspace():
+                    return self.whole(text)
+            later = [p for p in new if p[0] != " "]
+            self.memo.update(zip(later, self.many(later, False), strict=True))
+            first = [p for p in new if p[0] == " "]
+            self.memo.update(zip(first, self.many([p[1:] for p in first], True), strict=True))
+            got = list(map(self.memo.__getitem__, parts))
+        return b"".join(got)
