@@ -1,43 +1,89 @@
 """Encoding texts by segments that a tokenizer provably treats alone, with a bounded memo.
 
 A single space between two characters that aren't white space starts a segment.
+Inside a segment, letters followed by full stops or commas, and a line break
+before letters, are further boundaries; they are looked for only where a segment
+is met for the first time.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-MEMO_SEGMENTS = 700_000
+MEMO_SEGMENTS = 300_000
+#: letters, stops; optionally a line break, letters, stops.
+_SHAPE = re.compile(r"([^\W\d_]+)([.,]*)(?:(\n)([^\W\d_]+)([.,]*))?")
 
 
 class SegmentEncoder:
-    """encode(text) -> bytes of ids, from a function that encodes lists of segments or whole texts.
+    """encode(text) -> bytes of ids.
 
-    ``many(parts, starts)`` gets segments without their leading space; ``starts``
-    is true for segments that begin a text. ``whole(text)`` serves texts whose
-    spacing is irregular.
+    ``many(segments)`` encodes segments, each with its leading space if it has
+    one; ``first(segment)`` one that begins a text; ``whole(text)`` a text whose
+    spacing is irregular. The memo has two generations, so frequent segments stay.
     """
 
-    def __init__(self, many: Callable[[list[str], bool], list[bytes]], whole: Callable[[str], bytes], limit: int = MEMO_SEGMENTS):
-        self.many, self.whole, self.limit = many, whole, limit
+    def __init__(self, many: Callable[[list[str]], list[bytes]], first: Callable[[str], bytes], whole: Callable[[str], bytes], limit: int = MEMO_SEGMENTS):
+        self.many, self.first, self.whole, self.limit = many, first, whole, limit
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.inner: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
-        parts = text.split(" ")
-        parts[0] = " " + parts[0]  # no other segment holds a space, so the first of a text has keys of its own
+        head, *parts = text.split(" ")
+        if not head or head[0].isspace() or head[-1].isspace():
+            return self.whole(text)
         got = list(map(self.memo.get, parts))
         if None in got:
-            if len(self.memo) > self.limit:
-                self.memo.clear()
-                got = [None] * len(parts)
-            new = list(dict.fromkeys(p for p, g in zip(parts, got, strict=True) if g is None))
-            for p in new:
-                body = p.lstrip(" ")
-                if not body or body[0].isspace() or body[-1].isspace():
-                    return self.whole(text)
-            later = [p for p in new if p[0] != " "]
-            self.memo.update(zip(later, self.many(later, False), strict=True))
-            first = [p for p in new if p[0] == " "]
-            self.memo.update(zip(first, self.many([p[1:] for p in first], True), strict=True))
+            new = [p for p, g in zip(parts, got, strict=True) if g is None]
+            if not self._learn(new):
+                return self.whole(text)
             got = list(map(self.memo.__getitem__, parts))
-        return b"".join(got)
+            if len(self.memo) > self.limit:
+                self.old, self.memo = self.memo, {}
+        return self.first(head) + b"".join(got)
+
+    def _learn(self, new: list[str]) -> bool:
+        """Put segments into the memo; False if one of them shows irregular spacing."""
+        memo, old = self.memo, self.old
+        open_ones = []
+        for p in dict.fromkeys(new):
+            got = old.get(p)
+            if got is None:
+                open_ones.append(p)
+            else:
+                memo[p] = got
+        if not open_ones:
+            return True
+        plans, words = [], {}
+        for p in open_ones:
+            if not p or p[0].isspace() or p[-1].isspace():
+                return False
+            m = _SHAPE.fullmatch(p)
+            if m and m[1].isalpha() and (m[4] is None or m[4].isalpha()):
+                plan = [" " + m[1], *([m[2]] if m[2] else []), *([m[3], m[4]] if m[3] else []), *([m[5]] if m[5] else [])]
+            else:
+                plan = [" " + p]
+            plans.append(plan)
+            for w in plan:
+                if not (w[0] == " " and (w[1:] in memo or w[1:] in old)) and w not in self.inner:
+                    words[w] = b""
+        fresh = dict(zip(words, self.many(list(words)), strict=True)) if words else {}
+
+        def ids(w: str) -> bytes:
+            got = fresh.get(w)
+            if got is None:
+                got = (memo.get(w[1:]) or old[w[1:]]) if w[0] == " " else self.inner[w]
+            return got
+
+        made = [b"".join(map(ids, plan)) for plan in plans]
+        for w, b in fresh.items():
+            if w[0] == " ":
+                memo[w[1:]] = b
+            else:
+                self.inner[w] = b
+        if len(self.inner) > self.limit // 4:
+            self.inner = {}
+        memo.update(zip(open_ones, made, strict=True))
+        return True

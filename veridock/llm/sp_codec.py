@@ -51,10 +51,11 @@ class Codec:
                 self.text.append(piece.replace(SPACE, " "))
         self.longest = max(map(len, self.ids))
         self.starts = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
-        # A space mark after another character would let a piece run over a segment's start.
-        self.split_at_spaces = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
+        # A space mark after another character, or a stop after a letter, would let a piece run over a segment's start.
+        pairs = {(a, b) for p in self.ids for a, b in zip(p, p[1:])}
+        self.split_at_spaces = not any(b == SPACE != a or (a.isalpha() and b in ".,\n") or (a == "\n" and b.isalpha()) for a, b in pairs)
         self.fits: dict[tuple[str, str], bool] = {}
-        self.encoder = SegmentEncoder(self._many, self._whole)
+        self.encoder = SegmentEncoder(self._many, self._whole, self._whole)
 
     def merge(self, text: str) -> list[str]:
         """Pieces that greedy merging leaves: best score first, leftmost of equals."""
@@ -76,60 +77,68 @@ class Codec:
         return got
 
     def stream(self, chars: Iterable[str]) -> Iterator[int]:
-        """Ids of a character stream; holds no more than the characters since the last common boundary."""
-        window, last = "", {0: ""}
-        open_at, commits = 0, 0
+        """Ids of a character stream.
+
+        ``last[e]`` is the piece that ends the best path to e. The window holds
+        what follows the last common boundary; it is looked for again whenever
+        the window has grown by the longest piece.
+        """
+        ids, starts, fits = self.ids, self.starts, self.fits
+        window, last, live, due = "", {0: ""}, [0], 2 * self.longest
         for ch in chars:
             window += ch
             end = len(window)
-            if ch not in self.ids:
+            if ch not in ids:
                 # No piece holds this character: every path passes both of its sides.
-                yield from self._path(window, last, open_at, end - 1)
-                yield from (self.byte_ids[b] for b in ch.encode())
-                window, last, open_at = "", {0: ""}, 0
+                yield from self._path(last, 0, end - 1)
+                yield from (self.byte_ids[b] for b in ch.encode("utf-8", "replace"))
+                window, last, live, due = "", {0: ""}, [0], 2 * self.longest
                 continue
-            for start in range(max(0, end - self.longest), end):
+            live = [s for s in live if window[s:end] in starts]
+            for start in live:
                 piece = window[start:end]
-                if piece in self.ids and start in last and (not last[start] or self.compatible(last[start], piece)):
-                    last[end] = piece
-                    break
-            # Survivors are the ends that a later piece can still reach from.
-            reach = [e for e in range(max(0, end - self.longest + 1), end + 1) if e in last and (e == end or window[e:] in self.starts)]
-            meet = self._meet(last, reach)
-            if meet > 0:
-                yield from self._path(window, last, 0, meet)
-                commits += 1
-                kept = last[meet]
-                window, last = window[meet:], {e - meet: p for e, p in last.items() if e >= meet}
-                last[0] = kept
-        yield from self._path(window, last, 0, len(window))
+                if piece in ids:
+                    before = last[start]
+                    ok = not before or fits.get((before, piece))
+                    if ok is None:
+                        ok = self.compatible(before, piece)
+                    if ok:
+                        last[end] = piece
+                        live.append(end)
+                        break
+            if end >= due:
+                meet = self._meet(last, live)
+                if meet > 0:
+                    yield from self._path(last, 0, meet)
+                    window, last, live = window[meet:], {e - meet: p for e, p in last.items() if e >= meet}, [s - meet for s in live]
+                due = len(window) + self.longest
+        yield from self._path(last, 0, len(window))
 
     @staticmethod
     def _meet(last: dict[int, str], ends: list[int]) -> int:
-        """The furthest boundary on the backpointer paths of all ends; 0 if they only meet at the start."""
+        """The furthest boundary on the backpointer paths of all surviving ends; 0 if they only meet at the start."""
         ends = sorted(set(ends))
         while len(ends) > 1:
             top = ends.pop()
             ends = sorted({*ends, top - len(last[top])}) if top else [0]
         return ends[0] if ends else 0
 
-    def _path(self, window: str, last: dict[int, str], start: int, end: int) -> list[int]:
+    def _path(self, last: dict[int, str], start: int, end: int) -> list[int]:
         out = []
         while end > start:
             out.append(self.ids[last[end]])
             end -= len(last[end])
         return out[::-1]
 
-    def _many(self, parts: list[str], starts: bool) -> list[bytes]:
+    def _many(self, parts: list[str]) -> list[bytes]:
         out = []
         for p in parts:
-            ids = list(self.stream(SPACE + p))
+            ids = list(self.stream(p.replace(" ", SPACE)))
             out.append(struct.pack(f"<{len(ids)}I", *ids))
         return out
 
     def _whole(self, text: str) -> bytes:
-        ids = list(self.stream(SPACE + text.replace(" ", SPACE))) if text else []
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return self._many([SPACE + text])[0] if text else b""
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; an empty text has none."""

@@ -42,11 +42,27 @@ def encoder(tokenizer_file: str) -> SegmentEncoder:
         tok = Tokenizer.from_file(tokenizer_file)
         tok.encode_special_tokens = True
 
-        def many(parts: list[str], starts: bool) -> list[bytes]:
-            texts = parts if starts else [" " + p for p in parts]
-            return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-        _ENCODERS[tokenizer_file] = SegmentEncoder(many, lambda text: many([text], True)[0])
+        def ids(text: str) -> np.ndarray:
+            return np.array(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+        tab = ids("\t")
+
+        def many(parts: list[str]) -> list[bytes]:
+            # A tab before a space or a letter is a token of its own, so one call serves many segments.
+            if len(tab) != 1 or any("\t" in p for p in parts):
+                return [ids(p).tobytes() for p in parts]
+            found = ids("\t".join(parts))
+            ends = np.flatnonzero(found == tab[0])
+            if len(ends) != len(parts) - 1:
+                return [ids(p).tobytes() for p in parts]
+            edges = [0, *(ends + 1).tolist(), len(found) + 1]
+            data = found.tobytes()
+            return [data[4 * a : 4 * b - 4] for a, b in zip(edges, edges[1:])]
+
+        def one(text: str) -> bytes:
+            return ids(text).tobytes()
+
+        _ENCODERS[tokenizer_file] = SegmentEncoder(many, one, one)
     return _ENCODERS[tokenizer_file]
 
 
