@@ -57,6 +57,20 @@ def find_windows(docs: DataFrame, grams: DataFrame) -> DataFrame:
     return hits.select("doc_id", "th", "start", (F.col("start") + F.col("len")).alias("stop"), "gid")
 
 
+def _grams(bench: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """Windows by item, and distinct windows with a number."""
+    windows = checkpoint(item_windows(bench, window))
+    return windows, checkpoint(windows.select("gram").distinct().withColumn("gid", F.monotonically_increasing_id()))
+
+
+def without_contaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The input rows, all columns, in which no window of a benchmark item occurs."""
+    hits = find_windows(docs, _grams(bench, window)[1]).select(F.struct(F.col("doc_id").cast("long"), "th").alias("__key")).distinct()
+    keyed = docs.withColumn("__key", F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th")))
+    hits, _ = broadcast_if_small(checkpoint(hits), F.lit(48))
+    return keyed.join(hits, "__key", "left_anti").drop("__key")
+
+
 def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
@@ -64,8 +78,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> Da
     get the answer of that text. Items without words match nothing; with an
     empty benchmark nothing is hit.
     """
-    windows = checkpoint(item_windows(bench, window))
-    grams = checkpoint(windows.select("gram").distinct().withColumn("gid", F.monotonically_increasing_id()))
+    windows, grams = _grams(bench, window)
     hits = checkpoint(find_windows(docs, grams).distinct())
     spans = hits.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"))
     covered = F.aggregate(

@@ -15,6 +15,7 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -165,3 +166,15 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = train(docs, labels)
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     return score(docs, model).select("doc_id", F.coalesce(crc == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The input rows, all columns, whose text the model doesn't call toxic."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+
+    @F.pandas_udf("boolean")
+    def rejected(texts: pd.Series) -> pd.Series:
+        fm = shared.value
+        return pd.Series([fm.score(text_buckets(t)) >= 0.5 for t in texts], dtype=bool)
+
+    return docs.where(~rejected("text"))
