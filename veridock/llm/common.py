@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: a word is a run of digits, a-z and anything outside ASCII, after lower-casing A-Z only.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What lies between words.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: A side is broadcast only below both of these measured sizes.
 BROADCAST_ROWS = 500_000
@@ -40,7 +42,7 @@ def ascii_lower(col: Column) -> Column:
 
 def word_array(col: Column) -> Column:
     """Words of a text in order; null and empty texts have none."""
-    return F.regexp_extract_all(ascii_lower(col), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(ascii_lower(col), BETWEEN), "")
 
 
 def shared_dir(spark: SparkSession) -> str:
