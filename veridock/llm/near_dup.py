@@ -8,8 +8,10 @@ the probability of the weighted Jaccard similarity, without bias. Processes are
 advanced in rounds, only while they can still beat a document's worst component.
 
 Signatures are cut into bands. Members of a bucket are first verified against
-two of its members, which joins large groups of copies into a few components;
-only pairs of a bucket that are still in different components are then compared.
+two of its members, which joins large groups of copies into a few components.
+While buckets still hold many more pairs across components than members, further
+members stand in as hubs, those with most links first. All pairs of a bucket that
+are then still in different components are compared, so no link is lost.
 Verification is exact: overlap of the two multisets.
 """
 
@@ -29,7 +31,9 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 40, 7
 #: Components that must agree, as a share, before a pair is verified: over five deviations below the threshold.
-FLOOR = 0.65
+FLOOR = 0.68
+#: Hubs are tried while a bucket's members have more open pairs each than this, so many a bucket at once, and so many times at most.
+OPEN_PAIRS, HUBS, HUB_ROUNDS = 4, 4, 2
 _WORD = re.compile(WORD)
 _U = np.uint64
 _ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -188,6 +192,43 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(parents, nodes["row"] == parents["v"], "left").select("row", F.coalesce("p", "row").alias("comp"))
 
 
+def fitting(threshold: float):
+    """Two sizes na and nb that allow the threshold."""
+    return F.least("na", "nb") >= threshold * F.greatest("na", "nb")
+
+
+def open_buckets(buckets: DataFrame, comp: DataFrame) -> DataFrame:
+    """band, h, row, n, comp of the buckets whose members are in several components."""
+    placed = buckets.join(comp, "row")
+    mixed = placed.groupBy("band", "h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band", "h")
+    return checkpoint(placed.join(mixed, ["band", "h"], "left_semi"))
+
+
+def hub_pairs(buckets: DataFrame, links: DataFrame, used: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, na, nb) of each bucket's hubs with members of other components; all hubs so far.
+
+    A bucket is dealt by hash into parts. A part's hub is its member with most
+    links that was none before: what is close to most earlier hubs lies in the
+    middle of its group.
+    """
+    degree = links.select(F.explode(F.array("a", "b")).alias("row")).groupBy("row").agg(F.count(F.lit(1)).alias("links"))
+    free = buckets.join(degree, "row", "left").join(used, "row", "left_anti")
+    best = F.max(F.struct(F.coalesce("links", F.lit(0)).alias("links"), (-F.col("row")).alias("r"), "comp", "n")).alias("best")
+    hubs = free.groupBy("band", "h", F.pmod(F.xxhash64("row"), F.lit(HUBS))).agg(best).select("band", "h", (-F.col("best.r")).alias("hub"), F.col("best.comp").alias("hub_comp"), F.col("best.n").alias("nb"))
+    hubs = checkpoint(hubs)
+    pairs = buckets.join(hubs, ["band", "h"]).where("comp <> hub_comp")
+    pairs = pairs.select(F.least("row", "hub").alias("a"), F.greatest("row", "hub").alias("b"), F.col("n").alias("na"), "nb")
+    return pairs, used.union(hubs.select("hub")).distinct()
+
+
+def joined_classes(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """row, comp after further links: components of the graph whose nodes are the components so far."""
+    ends = [comp.select(F.col("row").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab"]
+    edges = links.join(ends[0], "a").join(ends[1], "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+    names = components(comp.select(F.col("comp").alias("row")).distinct(), edges).select(F.col("comp").alias("joined"), F.col("row").alias("comp"))
+    return comp.join(names, "comp").select("row", F.col("joined").alias("comp"))
+
+
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, th (hash of the text), class_id, class_size, kept: one row per input row.
 
@@ -219,16 +260,28 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
     texts = write_table(texts, "near_texts")
     links = write_table(verify(estimate(checkpoint(first), small, FLOOR), texts, threshold), "near_links")
     comp = checkpoint(components(small.select("row"), links))
+    buckets = inside.select("band", "h", "row").join(small.select("row", "n"), "row")
+    tried, used, every = first, inside.select(F.explode(F.array("x", "y")).alias("row")).distinct(), links
+    for _ in range(HUB_ROUNDS):
+        buckets = open_buckets(buckets, comp)
+        sizes = buckets.groupBy("band", "h", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("band", "h")
+        sizes = sizes.agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("own")).agg(F.sum("k"), F.sum((F.col("k") * F.col("k") - F.col("own")) / 2))
+        members, pairs = sizes.first()
+        if (pairs or 0) <= OPEN_PAIRS * (members or 0):
+            break
+        near, used = hub_pairs(buckets, every, used)
+        near = checkpoint(near.where(fitting(threshold)).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+        tried = tried.unionByName(near)
+        more = write_table(verify(estimate(near, small, FLOOR), texts, threshold), "near_hub_links")
+        every, comp = every.unionByName(more), checkpoint(joined_classes(comp, more))
+        buckets = buckets.drop("comp")
     # Exact rest: pairs of a bucket that no link joins yet, each once.
-    placed = inside.select("band", "h", "row").join(comp, "row").join(small.select("row", "n"), "row")
-    mixed = placed.groupBy("band", "h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band", "h")
-    placed = checkpoint(placed.join(mixed, ["band", "h"], "left_semi"))
-    left, right = placed.select("band", "h", F.col("row").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na")), placed.select("band", "h", F.col("row").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
-    rest = left.join(right, ["band", "h"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb")))
-    rest = checkpoint(rest.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"))
+    placed = buckets if "comp" in buckets.columns else open_buckets(buckets, comp)
+    left, right = (placed.select("band", "h", F.col("row").alias(x), F.col("comp").alias(f"c{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
+    rest = left.join(right, ["band", "h"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fitting(threshold))
+    rest = checkpoint(rest.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
     more = write_table(verify(estimate(rest, small, FLOOR), texts, threshold), "near_more")
-    every = links.unionByName(more)
-    comp = checkpoint(components(small.select("row"), every))
+    comp = checkpoint(joined_classes(comp, more))
     classed = ids.join(member, "row").join(comp.withColumnRenamed("row", "rep"), "rep", "left").select("doc_id", "th", "row", F.coalesce("comp", "rep").alias("comp"))
     classed = checkpoint(classed)
     keep = classed.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row")).alias("k"), F.count(F.lit(1)).alias("class_size"))
