@@ -92,19 +92,20 @@ def fit(features: list[list[int]], labels: list[int], n: int, epochs: int = 20,
             pick_rows = order[at : at + 256]
             k = size[pick_rows]
             row = np.repeat(np.arange(len(pick_rows)), k)
-            idx = flat[np.repeat(first[pick_rows] - np.concatenate([[0], np.cumsum(k)])[:-1], k) + np.arange(k.sum())]
+            starts = np.concatenate([[0], np.cumsum(k)])[:-1]
+            idx = flat[np.repeat(first[pick_rows] - starts, k) + np.arange(k.sum())]
             vi = v[idx]
-            s = np.zeros((len(pick_rows), FACTORS))
-            np.add.at(s, row, vi)
-            q = np.zeros(len(pick_rows))
-            np.add.at(q, row, (vi * vi).sum(1))
+            s, q, some = np.zeros((len(pick_rows), FACTORS)), np.zeros(len(pick_rows)), k > 0
+            if some.any():
+                # A row's features lie side by side.
+                s[some] = np.add.reduceat(vi, starts[some])
+                q[some] = np.add.reduceat((vi * vi).sum(1), starts[some])
             z = bias + np.bincount(row, w[idx], len(pick_rows)) + 0.5 * ((s * s).sum(1) - q)
             err = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[pick_rows]
-            touched, back = np.unique(idx, return_inverse=True)
-            dw = np.bincount(back, err[row], len(touched)) / len(pick_rows) + l2 * w[touched]
-            dv = np.zeros((len(touched), FACTORS))
-            np.add.at(dv, back, err[row][:, None] * (s[row] - vi))
-            dv = dv / len(pick_rows) + l2 * v[touched]
+            touched = np.flatnonzero(np.bincount(idx, minlength=n))
+            dw = np.bincount(idx, err[row], n)[touched] / len(pick_rows) + l2 * w[touched]
+            dz = err[row][:, None] * (s[row] - vi)
+            dv = np.stack([np.bincount(idx, dz[:, f], n)[touched] for f in range(FACTORS)], 1) / len(pick_rows) + l2 * v[touched]
             gw[touched] += dw * dw
             gv[touched] += dv * dv
             w[touched] -= rate * dw / np.sqrt(gw[touched])
