@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veridock.functions import geometry, numbers, text
 from veridock.functions.canonical import canonical_json, content_id
 from veridock.operators import budgets, graph, review, rules, search, segments
-from veridock.plans.relational import t
+from veridock.plans.relational import t, whole
 from veridock.sources import evidence
 
 QUERIES: dict = {}
@@ -81,8 +81,8 @@ def reciprocal_rank_fusion(spark, sf):
 
 
 @query("""SELECT user_id, event_type channel, max(value) score, array_to_string(list_sort(list(DISTINCT props)), ' | ') detail FROM events WHERE event_id < 3000 GROUP BY 1, 2""")
-def merged_channels(spark, sf):
-    hits = t(spark, sf, "events").where("event_id < 3000").select("user_id", F.col("event_type").alias("channel"), F.col("value").alias("score"), F.col("props").alias("detail"))
+def merged_channels(spark, sf, rows="event_id < 3000"):
+    hits = t(spark, sf, "events").where(rows).select("user_id", F.col("event_type").alias("channel"), F.col("value").alias("score"), F.col("props").alias("detail"))
     return search.merge_details(hits, "user_id")
 
 
@@ -156,8 +156,8 @@ def issue_roundrobin_budget(spark, sf):
 @query("""WITH c AS (SELECT l_suppkey g, l_returnflag bucket, l_partkey item, row_number() OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey) rank FROM lineitem WHERE l_orderkey < 3000),
 o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY g, item ORDER BY rank, bucket) n FROM c) WHERE n = 1)
 SELECT g, item, place FROM (SELECT g, item, row_number() OVER (PARTITION BY g ORDER BY rank, bucket, item) place FROM o) WHERE place <= 80""")
-def global_interleave(spark, sf):
-    lines = t(spark, sf, "lineitem").where("l_orderkey < 3000").select(F.col("l_suppkey").alias("g"), F.col("l_returnflag").alias("bucket"), F.col("l_partkey").alias("item"), "l_orderkey", "l_linenumber")
+def global_interleave(spark, sf, rows="l_orderkey < 3000"):
+    lines = t(spark, sf, "lineitem").where(rows).select(F.col("l_suppkey").alias("g"), F.col("l_returnflag").alias("bucket"), F.col("l_partkey").alias("item"), "l_orderkey", "l_linenumber")
     ranked = segments.ordinal(lines, ["g", "bucket"], ["l_orderkey", "l_linenumber", "item"], "rank")
     return budgets.interleave(ranked, ["g"], 80).where("selected").select("g", "item", "place")
 
@@ -247,8 +247,8 @@ def review_readiness(spark, sf):
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_tax = 0 THEN 'DIVISION_BY_ZERO' ELSE 'SUCCESS' END status, CASE WHEN l_tax > 0 THEN CASE WHEN CAST(l_discount AS DECIMAL(10,4)) < CAST(l_tax AS DECIMAL(10,4)) * 2 THEN 'BELOW_THRESHOLD' WHEN CAST(l_discount AS DECIMAL(10,4)) > CAST(l_tax AS DECIMAL(10,4)) * 2 THEN 'ABOVE_THRESHOLD' ELSE 'AT_THRESHOLD' END END comparison FROM lineitem WHERE l_orderkey < 2000""")
-def frontage_ratio(spark, sf):
-    lines = t(spark, sf, "lineitem").where("l_orderkey < 2000").withColumns({c: F.col(c).cast("decimal(10,4)").cast("string") for c in ("l_discount", "l_tax")}).withColumn("two", F.lit("2"))
+def frontage_ratio(spark, sf, rows="l_orderkey < 2000"):
+    lines = t(spark, sf, "lineitem").where(rows).withColumns({c: F.col(c).cast("decimal(10,4)").cast("string") for c in ("l_discount", "l_tax")}).withColumn("two", F.lit("2"))
     made = rules.run_formula(lines, "FRONTAGE_RATIO", "1", {"frontage_length_m": "l_discount", "perimeter_length_m": "l_tax", "threshold_ratio": "two"}, "calc")
     return made.select("l_orderkey", "l_linenumber", "l_partkey", "calc.status", "calc.comparison")
 
@@ -280,9 +280,9 @@ def rule_scope_select(spark, sf):
 
 
 @query("""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN l_quantity > 25 AND l_discount > 0.05 THEN true ELSE false END "within" FROM lineitem WHERE l_orderkey < 500""")
-def conditional_threshold(spark, sf):
+def conditional_threshold(spark, sf, rows="l_orderkey < 500"):
     """A fact above the ordinary 25 m and within the conditional 60 m, where a discount makes the second one conditional."""
-    lines = t(spark, sf, "lineitem").where("l_orderkey < 500")
+    lines = t(spark, sf, "lineitem").where(rows)
     fact = F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(" m"))
     rule = F.when(F.col("l_discount") > 0.05, "25 m 이하. " + "가" * 90 + " 다만 60 m 까지").otherwise("25 m 이하")
     made = numbers.conditional_range(F.col("fact"), F.col("rule"))
@@ -306,11 +306,11 @@ def content_ids(spark, sf):
 
 
 @query("""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(100 - (l_quantity + 10), 2) bottom, round(100 - l_quantity, 2) top FROM lineitem WHERE l_orderkey < 800""")
-def box_normalisation(spark, sf):
+def box_normalisation(spark, sf, rows="l_orderkey < 800"):
     q = F.col("l_quantity")
     b = F.struct(q.alias("left"), q.alias("bottom"), (q + 20).alias("right"), (q + 10).alias("top"))
     made = geometry.normalize_box(b, F.lit(200.0), F.lit(100.0), F.lit(0))
-    return t(spark, sf, "lineitem").where("l_orderkey < 800").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", made.alias("b")).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.round("b.bottom", 2).alias("bottom"), F.round("b.top", 2).alias("top"))
+    return t(spark, sf, "lineitem").where(rows).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", made.alias("b")).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.round("b.bottom", 2).alias("bottom"), F.round("b.top", 2).alias("top"))
 
 
 @query(r"""SELECT doc_id, "segment", string_agg(line, chr(10) ORDER BY pos) "text", CAST(count(*) AS BIGINT) n_rows FROM (SELECT *, CAST(sum(CASE WHEN len(string_split(line, ' ')) <= 4 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) "segment" FROM (SELECT doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) pos FROM documents WHERE lang = 'en')) GROUP BY 1, 2""")
@@ -330,3 +330,9 @@ def html_elements(spark, sf):
 def sanitized(spark, sf):
     line = F.concat(F.lit("token="), F.col("user_id").cast("string"))
     return t(spark, sf, "events").where("event_type = 'error'").select("event_id", F.regexp_extract(evidence.sanitize(line), r"=(.*)$", 1).alias("shown"))
+
+
+for _fn, _prefix in (
+    (merged_channels, " WHERE event_id < 3000"), (global_interleave, " WHERE l_orderkey < 3000"), (frontage_ratio, " WHERE l_orderkey < 2000"), (conditional_threshold, " WHERE l_orderkey < 500"), (box_normalisation, " WHERE l_orderkey < 800"),
+):
+    whole(_fn, _prefix, "", QUERIES, ORACLE)
