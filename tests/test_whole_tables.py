@@ -38,6 +38,19 @@ def test_beyond_the_prefix(spark, duck, name):
     assert same_and_more(spark, duck, name)
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")
+@pytest.mark.parametrize("name", ["bfs_budgeted", "json_diff", "clause_segmentation"])
+def test_beyond_the_filter(spark, duck, name):
+    assert same_and_more(spark, duck, name)
+
+
+def test_staleness_follows_edges_of_late_customers(spark, tmp_path):
+    """Nation 3 leads on only through customer 60 and later ones."""
+    spark.createDataFrame([(60, 3), (61, 21), (62, 23)], "c_custkey long, c_nationkey int").write.parquet(str(tmp_path / "customer.parquet"))
+    assert {r.node for r in QUERIES["transitive_staleness_whole"](spark, str(tmp_path)).collect()} == {3, 21, 23, 13}
+    assert {r.node for r in QUERIES["transitive_staleness"](spark, str(tmp_path)).collect()} == {3}
+
+
 def test_every_line_is_counted(spark, tmp_path):
     spark.createDataFrame([(k, "A", "F", float(k)) for k in (1, 499, 500, 70_000)], "l_orderkey long, l_returnflag string, l_linestatus string, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
     assert [tuple(r) for r in QUERIES["conflict_groups_whole"](spark, str(tmp_path)).collect()] == [("A", "F", 4, 4, True)]

@@ -369,8 +369,8 @@ def transition_check(spark, sf):
 
 
 @query("""SELECT event_id, k path, CASE WHEN event_id % 2 = 0 THEN 'CHANGED' ELSE 'REMOVED' END kind FROM (SELECT event_id, 'k' k FROM events WHERE event_id % 3 = 0) WHERE event_id % 2 = 0 OR event_id % 3 = 0""")
-def json_diff(spark, sf):
-    e = t(spark, sf, "events").where("event_id % 3 = 0")
+def json_diff(spark, sf, rows="event_id % 3 = 0"):
+    e = t(spark, sf, "events").where(rows)
     left = lineage.json_entries(e, "event_id", "props")
     right = lineage.json_entries(e.where("event_id % 2 = 0").select("event_id", F.lit('{"k": -1}').alias("props")), "event_id", "props")
     return lineage.structural_diff(left, right, ["event_id", "path"], "value").select("event_id", "path", "kind")
@@ -407,3 +407,4 @@ for _fn, _prefix in (
     (claim_validation, " WHERE o_orderkey < 3000"), (collected_lineage, " WHERE o_orderkey < 2000"), (conflict_groups, " WHERE l_orderkey < 500"), (page_local_ordinal, " WHERE l_orderkey < 1000"),
 ):
     whole(_fn, _prefix, "", QUERIES, ORACLE)
+whole(json_diff, " WHERE event_id % 3 = 0) WHERE event_id % 2 = 0 OR event_id % 3 = 0", ")", QUERIES, ORACLE)

@@ -115,23 +115,23 @@ x2 AS (SELECT fr.qid, f.target, f.source, f.relation, fr.turn, f.slot, row_numbe
 l2 AS (SELECT qid, target, source, relation, turn, slot, target IN (SELECT node FROM k) found FROM x2 WHERE seen = 1 AND (qid, target) NOT IN (SELECT (qid, target) FROM k1)),
 b2 AS (SELECT *, coalesce(sum(found::INT) OVER (PARTITION BY qid ORDER BY turn, slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) bf FROM l2)
 SELECT qid "query", target, source, relation, 1 depth, found FROM k1 UNION ALL SELECT b2.qid, target, source, relation, 2, found FROM b2 JOIN u ON u.qid = b2.qid WHERE bf + used < 12""")
-def bfs_budgeted(spark, sf):
+def bfs_budgeted(spark, sf, rows="c_custkey % 50 = 0"):
     o, p = t(spark, sf, "orders"), t(spark, sf, "part")
     kind = F.when(F.col("o_orderstatus") == "F", "exception").when(F.col("o_orderstatus") == "O", "parent").otherwise("table")
     links = o.select(F.concat(F.lit("c"), "o_custkey").alias("source"), F.concat(F.lit("o"), "o_orderkey").alias("target"), kind.alias("relation"))
     links = links.union(t(spark, sf, "lineitem").select(F.concat(F.lit("o"), "l_orderkey"), F.concat(F.lit("p"), "l_partkey"), F.lit("cited_clause")).distinct())
     known = o.where("o_orderkey % 5 <> 0").select(F.concat(F.lit("o"), "o_orderkey").alias("node")).union(p.where("p_partkey % 7 <> 0").select(F.concat(F.lit("p"), "p_partkey")))
     known = known.select("node", F.lit(True).alias("is_known"), F.lit(None).cast("string").alias("stale"))
-    seeds = t(spark, sf, "customer").where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("query"), F.concat(F.lit("c"), "c_custkey").alias("node"))
+    seeds = t(spark, sf, "customer").where(rows).select(F.col("c_custkey").alias("query"), F.concat(F.lit("c"), "c_custkey").alias("node"))
     return graph.traverse(seeds, links, known, depth=2).select("query", "target", "source", "relation", "depth", "found")
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey % 25 s, (c_nationkey * 7 + c_custkey % 3) % 25 d FROM customer WHERE c_custkey < 60), r(node) AS (SELECT 3 UNION SELECT d FROM e JOIN r ON e.s = r.node) SELECT node FROM r""")
-def transitive_staleness(spark, sf):
+def transitive_staleness(spark, sf, rows="c_custkey < 60"):
     from veridock.sources.session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(spark)
-    c = t(spark, sf, "customer").where("c_custkey < 60")
+    c = t(spark, sf, "customer").where(rows)
     edges = c.select((F.col("c_nationkey") % 25).cast("int").alias("source"), ((F.col("c_nationkey") * 7 + F.col("c_custkey") % 3) % 25).cast("int").alias("target")).distinct()
     return graph.closure(edges, spark.createDataFrame([(3,)], "node int"))
 
@@ -314,9 +314,9 @@ def box_normalisation(spark, sf, rows="l_orderkey < 800"):
 
 
 @query(r"""SELECT doc_id, "segment", string_agg(line, chr(10) ORDER BY pos) "text", CAST(count(*) AS BIGINT) n_rows FROM (SELECT *, CAST(sum(CASE WHEN len(string_split(line, ' ')) <= 4 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) "segment" FROM (SELECT doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) pos FROM documents WHERE lang = 'en')) GROUP BY 1, 2""")
-def clause_segmentation(spark, sf):
+def clause_segmentation(spark, sf, rows="lang = 'en'"):
     """Short lines open a section; the following lines belong to it."""
-    lines = t(spark, sf, "documents").where("lang = 'en'").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = t(spark, sf, "documents").where(rows).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     marked = segments.segment(lines, ["doc_id"], "pos", F.size(F.split("line", " ")) <= 4)
     return segments.fold_segments(marked, ["doc_id"], "pos", "line").select("doc_id", "segment", "text", "n_rows")
 
@@ -334,5 +334,6 @@ def sanitized(spark, sf):
 
 for _fn, _prefix in (
     (merged_channels, " WHERE event_id < 3000"), (global_interleave, " WHERE l_orderkey < 3000"), (frontage_ratio, " WHERE l_orderkey < 2000"), (conditional_threshold, " WHERE l_orderkey < 500"), (box_normalisation, " WHERE l_orderkey < 800"),
+    (bfs_budgeted, " WHERE c_custkey % 50 = 0"), (transitive_staleness, " WHERE c_custkey < 60"), (clause_segmentation, " WHERE lang = 'en'"),
 ):
     whole(_fn, _prefix, "", QUERIES, ORACLE)
