@@ -1,8 +1,8 @@
 """Secret scans with structural confirmation.
 
 Base patterns (assignments, access ids, long hex runs) are reported as found.
-Further candidates, base64 or hex runs, are reported only after they decode and
-their structure holds: token headers that are JSON with an algorithm, DER whose
+Further candidates, base64 or hex runs, also those wrapped over lines, are
+reported only after they decode and their structure holds: token headers that are JSON with an algorithm, DER whose
 nested lengths fill it exactly, OpenSSH containers whose length-prefixed fields
 add up, and encoded text that itself contains an assignment or access id.
 """
@@ -13,7 +13,10 @@ import base64
 import binascii
 import hashlib
 import json
+import math
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +32,15 @@ KINDS = ("assign", "access", "hex", "pem", "token", "openssh", "der", "encoded")
 
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([^-]*)-----END \1-----")
 TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
-HEXRUN = re.compile(r"[0-9A-Fa-f]{32,}")
+#: A line break as it is, or written out in a quoted string.
+BREAK = r"(?:\r?\n|(?:\\+r)?\\+n)"
+#: Twelve bytes are the shortest assignment that is reported: token=abcdef.
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:(?<=\\)[nrt](?=[A-Za-z0-9+/_-]{16}))?([A-Za-z0-9+/_-]{16,}+={0,2})")
+HEXRUN = re.compile(r"[0-9A-Fa-f]{24,}")
+#: Lines of base64 or hex, the first of them at the end of a line.
+WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])(?:(?<=\\)[nrt])?([A-Za-z0-9+/_-]{{16,}}+(?:{BREAK}[ \t]*+[A-Za-z0-9+/_-]++)++={{0,2}})")
+PIECE = re.compile(rf"(?:{BREAK}[ \t]*)|([A-Za-z0-9+/_-]+={{0,2}})")
+LEAST = 16
 
 
 def unbase64(text: str) -> bytes | None:
@@ -44,6 +54,10 @@ def unbase64(text: str) -> bytes | None:
         return None
 
 
+def unhex(text: str) -> bytes | None:
+    return bytes.fromhex(text) if len(text) % 2 == 0 and HEXRUN.fullmatch(text) else None
+
+
 def der_items(data: bytes, depth: int = 0) -> list | None:
     """Tags and contents of DER values that fill ``data`` exactly, nested values parsed; else None."""
     out, at = [], 0
@@ -73,7 +87,7 @@ def is_der_key(data: bytes) -> bool:
     if len(data) < 32 or data[0] != 0x30:
         return False
     items = der_items(data)
-    if not items or len(items) != 1 or len(items[0][1]) < 3:
+    if not items or len(items) != 1 or len(items[0][1]) < 2:
         return False
     first, rest = items[0][1][0], items[0][1][1:]
     numbers = sum(tag == 2 for tag, _ in rest)
@@ -143,24 +157,82 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def der_chars(head: str) -> list[int]:
+    """How many characters, without padding, a base64 or hex text has whose first ones start a DER SEQUENCE."""
+    out = []
+    for data, per in ((unbase64(head[:8]), 4 / 3), (unhex(head[:24]), 2)):
+        if data and data[0] == 0x30:
+            n = data[1] & 0x7F if data[1] & 0x80 else 0
+            size = int.from_bytes(data[2 : 2 + n], "big") if n else data[1]
+            if n <= 3:
+                out.append(math.ceil((2 + n + size) * per))
+    return out
+
+
+def wrapped_spans(text: str) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of candidates joined across line breaks.
+
+    Tried are the lines from each on that make up the length its DER header
+    names, lines of one width with and without a shorter last one, and all lines.
+    """
+    out = []
+    for m in WRAPPED.finditer(text):
+        pieces = [p.span(1) for p in PIECE.finditer(text, *m.span(1)) if p[1]]
+        lines = [text[a:b] for a, b in pieces]
+        sizes = [len(x.rstrip("=")) for x in lines]
+        ends = list(accumulate(sizes))
+        last, i, width_end = len(lines) - 1, 0, -1
+        while i < last:
+            before = ends[i] - sizes[i]
+            tries = [j for n in der_chars(lines[i]) if (j := bisect_left(ends, before + n)) <= last and ends[j] == before + n]
+            if i > width_end:
+                width_end = i
+                while width_end < last and sizes[width_end + 1] == sizes[i]:
+                    width_end += 1
+                tries += [width_end + 1] if width_end < last and sizes[width_end + 1] < sizes[i] else []
+                tries += [width_end]
+            if i == 0:
+                tries.append(last)
+            for j in dict.fromkeys(tries):
+                whole = "".join(lines[i : j + 1])
+                kind = j > i and (_confirm(unbase64(whole)) or _confirm(unhex(whole)))
+                if kind:
+                    out.append((kind, pieces[i][0], pieces[j][1]))
+                    i = width_end = j
+                    break
+            i += 1
+    return out
+
+
 def structural_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of candidates whose decoded structure holds."""
     out = []
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
-            data = unbase64("".join(line for line in m[2].split("\n") if ":" not in line).replace("\r", "").replace(" ", ""))
+            # In a quoted string line breaks are written out and slashes may be escaped.
+            data = unbase64(re.sub(r"\\+r|[\s\\]", "", "".join(line for line in re.split(r"\n|\\+n", m[2]) if ":" not in line)))
             if data and (is_der_key(data) or is_openssh_key(data)):
                 out.append(("pem", *m.span()))
     if "eyJ" in text:
         out += [("token", *m.span()) for m in TOKEN.finditer(text) if is_signed_token(m[0])]
-    if max(map(len, text.split()), default=0) < 32:
+    if max(map(len, text.split()), default=0) < LEAST:
         return out
     taken = [(s, e) for _, s, e in out]
-    for pattern, decode in ((BASE64, unbase64), (HEXRUN, lambda x: bytes.fromhex(x) if len(x) % 2 == 0 else None)):
+
+    def free(start: int, end: int) -> bool:
+        return not any(s < end and start < e for s, e in taken)
+
+    for kind, start, end in wrapped_spans(text):
+        if free(start, end):
+            out.append((kind, start, end))
+            taken.append((start, end))
+    for pattern, decode in ((BASE64, unbase64), (HEXRUN, unhex)):
         for m in pattern.finditer(text):
-            if not any(s < m.end() and m.start() < e for s, e in taken) and (kind := _confirm(decode(m[0]))):
-                out.append((kind, *m.span()))
-                taken.append(m.span())
+            # A letter after a backslash may belong to the run or to an escape.
+            for start, end in dict.fromkeys([m.span(pattern.groups), m.span()]):
+                if free(start, end) and (kind := _confirm(decode(text[start:end]))):
+                    out.append((kind, start, end))
+                    taken.append((start, end))
     return out
 
 
