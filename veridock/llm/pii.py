@@ -14,7 +14,7 @@ import hashlib
 import hmac
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_slices
@@ -147,7 +147,7 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
         gender, _, name = entity.partition(":")
         script = "cyrillic" if any("Ѐ" <= c <= "ӿ" for c in name) else "latin"
         given = GIVEN[script, gender or "mf"[draw.below(2)]]
-        family = "".join(SYLLABLES[script][draw.below(len(SYLLABLES[script]))] for _ in range(3 + draw.below(2)))
+        family = "".join(SYLLABLES[script][draw.below(len(SYLLABLES[script]))] for _ in range(4 + draw.below(2) + attempt // 3))
         words = name.split(" ")
         return f"{gender}:" + (family if len(words) == 1 else f"{given[draw.below(len(given))].casefold()} {family}")
     if kind == "ip":
@@ -191,6 +191,12 @@ def mentions(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "th", F.explode("m").alias("m")).select("doc_id", "th", "m.kind", "m.entity")
 
 
+def _written(column: str) -> Column:
+    """What must be distinct: a name's family word as it is written, without gender and given name; else the whole value."""
+    name = F.regexp_extract(column, "[^: ]*$", 0)
+    return F.when(F.col("kind") == "name", name).otherwise(F.col(column)).alias("form")
+
+
 def assign(entities: DataFrame, key: bytes) -> DataFrame:
     """kind, entity, attempt, value: one distinct surrogate per entity, none of them a real entity of the corpus."""
 
@@ -198,13 +204,14 @@ def assign(entities: DataFrame, key: bytes) -> DataFrame:
         return [kinds, names, attempts, [surrogate(key, k, e, a) for k, e, a in zip(kinds, names, attempts, strict=True)]]
 
     schema = "kind string, entity string, attempt int, value string"
-    real = entities.select("kind", F.col("entity").alias("value"))
+    real = entities.select("kind", _written("entity")).distinct()
     current = checkpoint(map_slices(entities.select("kind", "entity", F.lit(0).alias("attempt")), draw, schema))
     while True:
         # Of entities that share a surrogate the one of fewest attempts, then the smallest, keeps it.
-        owner = current.groupBy("kind", "value").agg(F.min(F.struct("attempt", "entity")).alias("o"), F.count(F.lit(1)).alias("n")).where("n > 1").select("kind", "value", F.col("o.entity").alias("owner"))
-        clash = current.join(owner, ["kind", "value"]).where("entity <> owner").select("kind", "entity")
-        clash = checkpoint(clash.union(current.join(real, ["kind", "value"], "left_semi").select("kind", "entity")).distinct())
+        shown = current.select("kind", "entity", "attempt", _written("value"))
+        owner = shown.groupBy("kind", "form").agg(F.min(F.struct("attempt", "entity")).alias("o"), F.count(F.lit(1)).alias("n")).where("n > 1").select("kind", "form", F.col("o.entity").alias("owner"))
+        clash = shown.join(owner, ["kind", "form"]).where("entity <> owner").select("kind", "entity")
+        clash = checkpoint(clash.union(shown.join(real, ["kind", "form"], "left_semi").select("kind", "entity")).distinct())
         if clash.limit(1).count() == 0:
             return current
         again = current.join(clash, ["kind", "entity"], "left_semi").select("kind", "entity", F.col("attempt") + 1)
