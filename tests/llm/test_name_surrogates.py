@@ -20,3 +20,31 @@ def test_written_names_are_distinct_and_no_real_names(spark, monkeypatch):
     forms = [written(r.value) for r in got]
     assert len(set(forms)) == len(names) == len({f.split(" ")[-1] for f in forms})
     assert not {f.split(" ")[-1] for f in forms} & {"babakoko", "kokobaba", "bakobako"}
+
+
+def shown(spark, *texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.text for r in sorted(pii.pseudonymize(rows, KEY).collect())]
+
+
+def test_one_name_under_all_titles(spark):
+    one, other = shown(spark, "Mr Smith, Dr Smith; Prof. Smith. Mr Alex Doe, Dr Alex Doe.", "Mrs Smith.")
+    a, b, c = re.findall(r"(?:Mr|Dr|Prof\.) (\w+)[,;.] ", one)[:3]
+    assert a == b == c != "Smith" and other == f"Mrs {a}."
+    d, e = re.findall(r"(?:Mr|Dr) (\w+ \w+)", one)
+    assert d == e and d.split()[0] in pii.GIVEN["latin", "m"]
+
+
+def test_untitled_mentions_go_with_the_titled_one(spark):
+    one, two = shown(spark, "Smith called. Mrs Anna Smith, then Anna Smith and SMITH; a smith, Smithson.", "Anna Smith has no title here.")
+    given, family = re.search(r"Mrs (\w+) (\w+),", one).groups()
+    assert one == f"{family} called. Mrs {given} {family}, then {given} {family} and {family.upper()}; a smith, Smithson."
+    assert given in pii.GIVEN["latin", "f"] and two == "Anna Smith has no title here."
+
+
+def test_mentions_keep_together_when_drawn_again(spark, monkeypatch):
+    """A surrogate that is someone's real name is drawn again for all mentions, whole or in part."""
+    family = pii.surrogate(KEY, "name", "f:anna smith").split(" ")[-1]
+    one, _ = shown(spark, "Mrs Anna Smith, Dr Anna Smith, Smith.", f"Mr {family.capitalize()}.")
+    given, first = re.search(r"Mrs (\w+) (\w+),", one).groups()
+    assert first.lower() != family and one == f"Mrs {given} {first}, Dr {given} {first}, {first}."

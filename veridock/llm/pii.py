@@ -3,7 +3,9 @@
 A mention's entity is its kind and its canonical form. A keyed hash of the entity
 draws a surrogate of the same type and shape: digits for digits with separators
 and prefixes kept and check digits valid, letters for letters of the same script
-and case, given names of the gender that the title shows. Entities are gathered
+and case, given names of the gender that a title in the document shows. A name is
+one entity under all its titles, and where a document has a titled name, further
+mentions of it or of its last word go with it. Entities are gathered
 over the whole corpus; where two would share a surrogate, or a surrogate is
 someone's real value, the later entity draws again until none collides.
 """
@@ -102,13 +104,28 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
     for m in NAME.finditer(text):
         if all(w[0].isupper() for w in m[2].split()):
             add("name", m.start(2), m.end(2))
+    if again := untitled([text[s:e] for k, s, e in found if k == "name"]):
+        for m in again.finditer(text):
+            if all(w[0].isupper() for w in m[0].split(" ")):
+                add("name", *m.span())
     return sorted(found, key=lambda x: x[1])
 
 
-def gender_of(text: str, start: int) -> str:
-    """Gender that the title before a name shows."""
+def untitled(names: list[str]) -> re.Pattern | None:
+    """Finds names, and last words of two letters at least, also without a title; None if there are no names."""
+    known = {*names, *(n.split(" ")[-1] for n in names if " " in n)}
+    words = sorted({re.escape(n) for n in known if len(n) > 1}, key=lambda n: (-len(n), n))
+    return re.compile(rf"(?<!\w)(?:{'|'.join(words)})(?!\w)", re.IGNORECASE) if words else None
+
+
+def title_of(text: str, start: int) -> str | None:
+    """Gender that the title before a name shows; None if there is no title."""
     m = re.search(r"([^\W\d_-]+(?:-[^\W\d_]+)?)\.? $", text[max(0, start - 12) : start])
-    return TITLES.get(m[1], "") if m else ""
+    return TITLES.get(m[1]) if m else None
+
+
+def gender_of(text: str, start: int) -> str:
+    return title_of(text, start) or ""
 
 
 def canonical(kind: str, text: str, start: int, end: int) -> str:
@@ -121,6 +138,29 @@ def canonical(kind: str, text: str, start: int, end: int) -> str:
     return re.sub(r"[^0-9A-Za-z]" if kind != "ip" else r"[^0-9.]", "", value)
 
 
+def resolve(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, str, bool]]:
+    """Per span: entity, gender, and if it is only the last word of the entity's name. Names are entities without gender."""
+    shown: dict[str, set[str]] = {}
+    for kind, start, end in spans:
+        if kind == "name" and (title := title_of(text, start)) is not None:
+            shown.setdefault(text[start:end].casefold(), set()).add(title)
+    by_last: dict[str, str] = {}
+    for name in shown:
+        if " " in name:
+            by_last.setdefault(name.split(" ")[-1], name)
+    out = []
+    for kind, start, end in spans:
+        if kind != "name":
+            out.append((canonical(kind, text, start, end), "", False))
+            continue
+        value = text[start:end].casefold()
+        part = value not in shown and value in by_last
+        entity = by_last[value] if part else value
+        seen = shown.get(entity, set()) - {""}
+        out.append((entity, gender_of(text, start) or (next(iter(seen)) if len(seen) == 1 else ""), part))
+    return out
+
+
 def _letters(draw: Draw, like: str) -> str:
     """Letters and digits drawn, other characters, script and case kept."""
     out = []
@@ -144,9 +184,12 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
         name, dot, zone = domain.partition(".")
         return f"{_letters(draw, local)}@{_letters(draw, name)}{dot}{zone}"
     if kind == "name":
-        gender, _, name = entity.partition(":")
+        # The gender chooses the list of given names and nothing else.
+        gender, _, name = entity.rpartition(":")
+        draw = Draw(key, kind, name, attempt)
         script = "cyrillic" if any("Ѐ" <= c <= "ӿ" for c in name) else "latin"
-        given = GIVEN[script, gender or "mf"[draw.below(2)]]
+        either = "mf"[draw.below(2)]
+        given = GIVEN[script, gender or either]
         family = "".join(SYLLABLES[script][draw.below(len(SYLLABLES[script]))] for _ in range(4 + draw.below(2) + attempt // 3))
         words = name.split(" ")
         return f"{gender}:" + (family if len(words) == 1 else f"{given[draw.below(len(given))].casefold()} {family}")
@@ -184,7 +227,8 @@ def mentions(docs: DataFrame) -> DataFrame:
     def run(ids, ths, texts):
         out = []
         for text in texts:
-            out.append(sorted({(k, canonical(k, text or "", s, e)) for k, s, e in find(text)}))
+            spans = find(text)
+            out.append(sorted({(k, entity) for (k, _, _), (entity, _, _) in zip(spans, resolve(text or "", spans), strict=True)}))
         return [ids, ths, [[{"kind": k, "entity": c} for k, c in r] for r in out]]
 
     found = map_slices(docs.select("doc_id", "th", "text"), run, "doc_id long, th long, m array<struct<kind:string,entity:string>>")
@@ -229,19 +273,19 @@ def pseudonymize(docs: DataFrame, key: bytes) -> DataFrame:
     found = write_table(mentions(rows), "pii_mentions")
     table = assign(found.select("kind", "entity").distinct(), key)
     # Only entities that had to draw again differ from what the key alone gives.
-    redrawn = found.join(table.where("attempt > 0").select("kind", "entity", "value"), ["kind", "entity"])
-    redrawn = redrawn.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("kind", "entity", "value"))).alias("redrawn"))
+    redrawn = found.join(table.where("attempt > 0").select("kind", "entity", "attempt"), ["kind", "entity"])
+    redrawn = redrawn.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("kind", "entity", "attempt"))).alias("redrawn"))
     redrawn, _ = broadcast_if_small(checkpoint(redrawn.withColumnsRenamed({"doc_id": "d", "th": "t"})), F.size("redrawn") * 128)
     joined = rows.join(redrawn, rows["doc_id"].eqNullSafe(F.col("d")) & (rows["th"] == F.col("t")), "left").select("doc_id", "text", "redrawn")
 
     def run(ids, texts, redrawn):
         out = [ids, [], [], []]
         for text, more in zip(texts, redrawn, strict=True):
-            special = {(r["kind"], r["entity"]): r["value"] for r in more or []}
+            special = {(r["kind"], r["entity"]): r["attempt"] for r in more or []}
             spans, parts, at = find(text), [], 0
-            for kind, start, end in spans:
-                entity = canonical(kind, text, start, end)
-                value = special.get((kind, entity)) or surrogate(key, kind, entity)
+            for (kind, start, end), (entity, gender, last) in zip(spans, resolve(text or "", spans), strict=True):
+                value = surrogate(key, kind, f"{gender}:{entity}" if kind == "name" else entity, special.get((kind, entity), 0))
+                value = ":" + value.split(" ")[-1] if last else value
                 parts += [text[at:start], dress(kind, text[start:end], value)]
                 at = end
             out[1].append(text if not spans else "".join(parts) + text[at:])
