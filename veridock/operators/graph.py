@@ -60,15 +60,25 @@ def traverse(seeds: DataFrame, links: DataFrame, known: DataFrame, depth: int =
     return out
 
 
-def closure(edges: DataFrame, starts: DataFrame, rounds: int = 20) -> DataFrame:
-    """node: everything reachable from the starts along edges(source, target), starts included; semi-joins until no growth."""
-    reached = starts.select("node").distinct().checkpoint()
-    for _ in range(rounds):
-        grown = reached.union(edges.join(reached, edges["source"] == reached["node"], "left_semi").select("target")).distinct().checkpoint()
-        if grown.count() == reached.count():
-            return grown
-        reached = grown
-    return reached
+def closure(edges: DataFrame, starts: DataFrame, rounds: int | None = None) -> DataFrame:
+    """node: everything reachable from the starts along edges(source, target), starts included.
+
+    Each round joins the nodes that the last one added, until a round adds none;
+    more than ``rounds`` of them, where given, are an error.
+    """
+    reached = frontier = starts.select("node").distinct().checkpoint()
+    done = 0
+    while True:
+        step = edges.join(frontier, edges["source"] == frontier["node"], "left_semi").select(F.col("target").alias("next")).distinct()
+        fresh = step.join(reached, step["next"].eqNullSafe(reached["node"]), "left_anti").select(F.col("next").alias("node")).checkpoint()
+        if fresh.isEmpty():
+            return reached
+        if done == rounds:
+            raise ValueError(f"nodes further than {rounds} links from the starts")
+        done += 1
+        # Partitions would add up over the rounds.
+        reached = reached.union(fresh) if done % 8 else reached.union(fresh).repartition("node").checkpoint()
+        frontier = fresh
 
 
 def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
