@@ -21,10 +21,11 @@ class SegmentEncoder:
 
     ``many(segments)`` encodes segments, each with its leading space if it has
     one; ``first(segment)`` one that begins a text; ``whole(text)`` a text whose
-    spacing is irregular. The memo has two generations, so frequent segments stay.
+    spacing is irregular or that holds one of the ``added`` tokens. The memo has two generations, so frequent segments stay.
     """
 
-    def __init__(self, many: Callable[[list[str]], list[bytes]], first: Callable[[str], bytes], whole: Callable[[str], bytes], limit: int = MEMO_SEGMENTS):
+    def __init__(self, many: Callable[[list[str]], list[bytes]], first: Callable[[str], bytes], whole: Callable[[str], bytes], limit: int = MEMO_SEGMENTS, added: tuple[str, ...] = ()):
+        self.added = added
         self.many, self.first, self.whole, self.limit = many, first, whole, limit
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -32,7 +33,7 @@ class SegmentEncoder:
 
     def encode(self, text: str) -> bytes:
         head, *parts = text.split(" ")
-        if not head or head[0].isspace() or head[-1].isspace():
+        if not head or head[0].isspace() or head[-1].isspace() or any(x in text for x in self.added):
             return self.whole(text)
         got = list(map(self.memo.get, parts))
         if None in got:

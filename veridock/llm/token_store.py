@@ -35,12 +35,12 @@ _ENCODERS: dict[str, SegmentEncoder] = {}
 
 
 def encoder(tokenizer_file: str) -> SegmentEncoder:
-    """One per worker process; ids as little-endian unsigned 32-bit integers. Special strings are ordinary text."""
+    """One per worker process; ids as little-endian unsigned 32-bit integers. Added tokens in a text have their own ids, as the library gives them."""
     if tokenizer_file not in _ENCODERS:
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(tokenizer_file)
-        tok.encode_special_tokens = True
+        added = tuple(t.content for t in tok.get_added_tokens_decoder().values())
 
         def ids(text: str) -> np.ndarray:
             return np.array(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -62,7 +62,7 @@ def encoder(tokenizer_file: str) -> SegmentEncoder:
         def one(text: str) -> bytes:
             return ids(text).tobytes()
 
-        _ENCODERS[tokenizer_file] = SegmentEncoder(many, one, one)
+        _ENCODERS[tokenizer_file] = SegmentEncoder(many, one, one, added=added)
     return _ENCODERS[tokenizer_file]
 
 
