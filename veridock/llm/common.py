@@ -7,6 +7,7 @@ are one document and get the same answer on each row.
 
 from __future__ import annotations
 
+import re
 import string
 import tempfile
 import uuid
@@ -45,10 +46,28 @@ def word_array(col: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(col), BETWEEN), "")
 
 
+def by_position(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The rows under the column names c0, c1, ... and the new name of each column (of repeated names the first).
+
+    Operators that give all columns back work on these names, so names that
+    differ in case only, repeat, or look like an operator's own can't clash.
+    ``docs.columns`` in order are what ``back`` restores.
+    """
+    names = docs.columns
+    return docs.toDF(*[f"c{i}" for i in range(len(names))]), {n: f"c{i}" for i, n in reversed(list(enumerate(names)))}
+
+
+def back(df: DataFrame, names: list[str]) -> DataFrame:
+    """Columns c0, c1, ... under their own names again; others go."""
+    return df.select(*[f"c{i}" for i in range(len(names))]).toDF(*names)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one is made only where none is set."""
+    """The folder all executors share; a temporary one only in local mode, where driver and executors are one process."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^\[]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="veridock-")
         spark.sparkContext.setCheckpointDir(base)
     return base
@@ -67,6 +86,30 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A group of any size is dealt into so many parts before it is aggregated or joined.
+SALTS = 64
+
+
+def join_groups(df: DataFrame, keys: list[str], unit: str, partial: list[Column], whole: list[Column], having: str = "true") -> DataFrame:
+    """The rows with the aggregates of their group, of groups for which ``having`` holds.
+
+    ``partial`` aggregates rows, ``whole`` what ``partial`` gave. A group is dealt
+    by a hash of column ``unit`` into parts, for aggregation and for the join
+    back, so no task gets all rows of a hot key.
+    """
+    salted = df.withColumn("salt_", F.pmod(F.xxhash64(unit), F.lit(SALTS)))
+    parts = salted.groupBy(*keys, "salt_").agg(*partial)
+    groups = parts.groupBy(*keys).agg(*whole, F.collect_set("salt_").alias("salts_")).where(having)
+    return salted.join(groups.withColumn("salt_", F.explode("salts_")).drop("salts_"), [*keys, "salt_"]).drop("salt_")
+
+
+def join_hot(df: DataFrame, key: str, unit: str, table: DataFrame, how: str = "inner") -> DataFrame:
+    """``df`` joined with the one row of ``table`` for each key, where many rows of ``df`` may share a key."""
+    salted = df.withColumn("salt_", F.pmod(F.xxhash64(unit), F.lit(SALTS)))
+    found = salted.select(key, "salt_").distinct().join(table, key)
+    return salted.join(found, [key, "salt_"], how).drop("salt_")
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder, for small tables that are used again."""
     shared_dir(df.sparkSession)

@@ -7,12 +7,14 @@ components; each component keeps its earliest point. Two components agree with
 the probability of the weighted Jaccard similarity, without bias. Processes are
 advanced in rounds, only while they can still beat a document's worst component.
 
-Signatures are cut into bands. Members of a bucket are first verified against
-two of its members, which joins large groups of copies into a few components.
-While buckets still hold many more pairs across components than members, further
-members stand in as hubs, those with most links first. All pairs of a bucket that
-are then still in different components are compared, so no link is lost.
-Verification is exact: overlap of the two multisets.
+Signatures are cut into bands, equal bands share a bucket. A bucket's members are
+verified against its most widely banded member first, which joins large groups of
+copies into few components. What stands in a bucket with several components goes
+on to a set join that loses nothing: two multisets of similarity 0.8 or more share
+one of their rarest shingles, so only documents that share one, lie in different
+components, and pass the length and positional bounds are compared. Members of a
+large group that differ too much from all others have rare shingles of their own
+and meet nobody. Verification is exact: overlap of the two multisets.
 """
 
 from __future__ import annotations
@@ -21,19 +23,21 @@ import re
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import map_slices
-from .common import WORD, checkpoint, pick, write_table
+from .common import WORD, back, by_position, checkpoint, join_groups, join_hot, pick, write_table
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 40, 7
-#: Components that must agree, as a share, before a pair is verified: over five deviations below the threshold.
+#: Share of components that must agree before a bucket's member is verified against its hub; what fails here is left to the set join.
 FLOOR = 0.68
-#: Hubs are tried while a bucket's members have more open pairs each than this, so many a bucket at once, and so many times at most.
-OPEN_PAIRS, HUBS, HUB_ROUNDS = 4, 4, 2
+#: While rare shingles leave more open pairs a document than this, each is tried against one document per shingle first, so many times at most.
+OPEN_PAIRS, HUB_ROUNDS = 16, 6
+#: Documents of one rare shingle that meet in a task.
+SHARE_ROWS = 128
 _WORD = re.compile(WORD)
 _U = np.uint64
 _ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -132,11 +136,16 @@ def _agree(a: bytes, b: bytes) -> float:
     return float((np.frombuffer(a, np.uint8) == np.frombuffer(b, np.uint8)).mean())
 
 
-def estimate(pairs: DataFrame, sigs: DataFrame, floor: float) -> DataFrame:
+def fitting(threshold: float):
+    """Two sizes na and nb that allow the threshold."""
+    return F.least("na", "nb") >= threshold * F.greatest("na", "nb")
+
+
+def estimate(pairs: DataFrame, sigs: DataFrame, floor: float, threshold: float = THRESHOLD) -> DataFrame:
     """Keep pairs (a, b) whose signatures agree on ``floor`` of the components and whose sizes allow the threshold."""
     left = sigs.select(F.col("row").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
     right = sigs.select(F.col("row").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
-    sized = pairs.join(left, "a").join(right, "b").where((F.least("na", "nb") >= THRESHOLD * F.greatest("na", "nb")) & (F.col("na") > 0))
+    sized = join_hot(join_hot(pairs.select("a", "b"), "b", "a", right), "a", "b", left).where(fitting(threshold) & (F.col("na") > 0))
 
     def run(a, b, sa, sb):
         on = [k for k, (x, y) in enumerate(zip(sa, sb, strict=True)) if _agree(x, y) >= floor]
@@ -147,10 +156,8 @@ def estimate(pairs: DataFrame, sigs: DataFrame, floor: float) -> DataFrame:
 
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) whose shingle multisets have weighted Jaccard similarity of at least ``threshold``."""
-    ends = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct()
-    used = texts.join(ends, "row", "left_semi")
-    one, two = used.select(F.col("row").alias("a"), F.col("text").alias("ta")), used.select(F.col("row").alias("b"), F.col("text").alias("tb"))
-    joined = pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb")
+    one, two = texts.select(F.col("row").alias("a"), F.col("text").alias("ta")), texts.select(F.col("row").alias("b"), F.col("text").alias("tb"))
+    joined = join_hot(join_hot(pairs.select("a", "b"), "b", "a", two), "a", "b", one).select("a", "b", "ta", "tb")
 
     def run(a, b, ta, tb):
         memo: dict[int, tuple] = {}
@@ -179,8 +186,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("m").alias("u"), "v").where("u < v").distinct()
+        near = join_groups(both, ["u"], "v", [F.min("v").alias("m")], [F.min("m").alias("m")])
+        large = near.where("v > u").select(F.least("m", "u").alias("u"), "v").distinct()
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v").select(F.col("m").alias("p"), "u", "v")
         edges = checkpoint(small.select(F.col("p").alias("u"), "v").union(small.select(F.col("p").alias("u"), F.col("u").alias("v")).where("u < v")).distinct())
@@ -192,41 +199,67 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(parents, nodes["row"] == parents["v"], "left").select("row", F.coalesce("p", "row").alias("comp"))
 
 
-def fitting(threshold: float):
-    """Two sizes na and nb that allow the threshold."""
-    return F.least("na", "nb") >= threshold * F.greatest("na", "nb")
+def joined_classes(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """row, comp after further links: components of the graph whose nodes are the components so far."""
+    ends = [comp.select(F.col("row").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab"]
+    edges = join_hot(join_hot(links.select("a", "b"), "b", "a", ends[1]), "a", "b", ends[0]).where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+    names = components(comp.select(F.col("comp").alias("row")).distinct(), edges).select(F.col("comp").alias("joined"), F.col("row").alias("comp"))
+    return join_hot(comp, "comp", "row", names).select("row", F.col("joined").alias("comp"))
+
 
+def rare_postings(texts: DataFrame, threshold: float) -> DataFrame:
+    """row, n, h, pos: the shared shingles among a document's rarest, as many as any partner must share one of.
 
-def open_buckets(buckets: DataFrame, comp: DataFrame) -> DataFrame:
-    """band, h, row, n, comp of the buckets whose members are in several components."""
-    placed = buckets.join(comp, "row")
-    mixed = placed.groupBy("band", "h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band", "h")
-    return checkpoint(placed.join(mixed, ["band", "h"], "left_semi"))
+    Shingles are ordered by the number of these documents that have them, then by
+    hash. Of n shingles, counted with repeats, the first n - ceil(threshold * n) + 1
+    are needed; pos is the number before this one.
+    """
+
+    def run(rows, texts):
+        bags = [_bag(t)[:2] for t in texts]
+        return [rows, [int(w.sum()) for _, w in bags], [[{"h": int(x), "w": int(k)} for x, k in zip(h.view(np.int64), w, strict=True)] for h, w in bags]]
 
+    bags = map_slices(texts.select("row", "text"), run, "row long, n long, bag array<struct<h:long,w:int>>", rows=64)
+    tokens = bags.select("row", "n", F.explode("bag").alias("t")).select("row", "n", "t.h", "t.w")
+    ranked = join_groups(tokens, ["h"], "row", [F.count(F.lit(1)).alias("df")], [F.sum("df").alias("df")])
+    upto = F.sum("w").over(Window.partitionBy("row").orderBy("df", "h").rowsBetween(Window.unboundedPreceding, 0))
+    placed = ranked.withColumn("pos", upto - F.col("w"))
+    return placed.where((F.col("pos") < F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-6) + 1) & (F.col("df") > 1)).select("row", "n", "h", "pos")
 
-def hub_pairs(buckets: DataFrame, links: DataFrame, used: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b, na, nb) of each bucket's hubs with members of other components; all hubs so far.
 
-    A bucket is dealt by hash into parts. A part's hub is its member with most
-    links that was none before: what is close to most earlier hubs lies in the
-    middle of its group.
+def open_shingles(postings: DataFrame, comp: DataFrame) -> DataFrame:
+    """row, n, h, pos, comp, major, total: postings of the shingles that several components share.
+
+    major is the component with most documents of the shingle, total the number of its documents.
     """
-    degree = links.select(F.explode(F.array("a", "b")).alias("row")).groupBy("row").agg(F.count(F.lit(1)).alias("links"))
-    free = buckets.join(degree, "row", "left").join(used, "row", "left_anti")
-    best = F.max(F.struct(F.coalesce("links", F.lit(0)).alias("links"), (-F.col("row")).alias("r"), "comp", "n")).alias("best")
-    hubs = free.groupBy("band", "h", F.pmod(F.xxhash64("row"), F.lit(HUBS))).agg(best).select("band", "h", (-F.col("best.r")).alias("hub"), F.col("best.comp").alias("hub_comp"), F.col("best.n").alias("nb"))
-    hubs = checkpoint(hubs)
-    pairs = buckets.join(hubs, ["band", "h"]).where("comp <> hub_comp")
-    pairs = pairs.select(F.least("row", "hub").alias("a"), F.greatest("row", "hub").alias("b"), F.col("n").alias("na"), "nb")
-    return pairs, used.union(hubs.select("hub")).distinct()
+    placed = postings.join(comp, "row")
+    sizes = placed.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("h")
+    groups = sizes.agg(F.max(F.struct("k", "comp")).alias("m"), F.sum("k").alias("total"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    return join_hot(placed, "h", "row", groups.select("h", F.col("m.comp").alias("major"), "total"))
 
 
-def joined_classes(comp: DataFrame, links: DataFrame) -> DataFrame:
-    """row, comp after further links: components of the graph whose nodes are the components so far."""
-    ends = [comp.select(F.col("row").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab"]
-    edges = links.join(ends[0], "a").join(ends[1], "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
-    names = components(comp.select(F.col("comp").alias("row")).distinct(), edges).select(F.col("comp").alias("joined"), F.col("row").alias("comp"))
-    return comp.join(names, "comp").select("row", F.col("joined").alias("comp"))
+def open_pairs(shared: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of different components that share a rare shingle and pass the length and positional bounds.
+
+    Documents outside a shingle's major component meet all others; the major
+    component is dealt into shares, so none of its own pairs is ever formed.
+    """
+    shares = F.ceil(F.col("total") / SHARE_ROWS).cast("int")
+    right = shared.select("h", "major", F.col("row").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"), F.pmod(F.xxhash64("row"), shares).cast("int").alias("share"))
+    left = shared.where("comp <> major").select("h", F.col("row").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"), F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"))
+    once = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("major")) | (F.col("a") < F.col("b")))
+    need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-6)
+    able = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need
+    found = left.join(right, ["h", "share"]).where(once & fitting(threshold) & able)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def hub_pairs(shared: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of each open shingle's documents with one of its major component, another at every turn."""
+    order = F.struct(F.xxhash64("row", F.lit(turn)).alias("o"), "row")
+    hubs = shared.where("comp = major").groupBy("h").agg(F.max(order).alias("hub")).select("h", F.col("hub.row").alias("b"))
+    pairs = join_hot(shared.where("comp <> major").select("h", F.col("row").alias("a")), "h", "a", hubs)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -244,48 +277,39 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
     table = pick(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text")
     # Names hold because they are written before anything uses them.
     sigs = write_table(signatures(table.withColumn("row", F.monotonically_increasing_id()), bands, rows), "near_sigs")
-    ids = sigs.select("row", "doc_id", "th")
-    same = sigs.groupBy("body").agg(F.min("row").alias("rep"))
-    member = sigs.select("row", "body").join(same, "body").select("row", "rep")
-    member = checkpoint(member)
-    reps = sigs.join(member.select("rep").distinct(), sigs["row"] == F.col("rep"), "left_semi")
+    member = join_groups(sigs.select("row", "doc_id", "th", "body"), ["body"], "row", [F.min("row").alias("rep")], [F.min("rep").alias("rep")])
+    member = checkpoint(member.select("row", "doc_id", "th", "rep"))
+    reps = sigs.join(member.where("row = rep").select("row"), "row", "left_semi")
     flat = reps.where("n > 0").select("row", F.posexplode("bands").alias("band", "h"))
-    # Two members of each bucket, by different orders, stand in for it at first.
-    buckets = flat.groupBy("band", "h").agg(F.min("row").alias("x"), F.max(F.struct(F.xxhash64("row").alias("o"), "row")).alias("y"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    inside = write_table(flat.join(buckets, ["band", "h"]).select("band", "h", "row", "x", F.col("y.row").alias("y")), "near_buckets")
-    first = inside.select(F.explode(F.array("x", "y")).alias("c"), "row").where("c <> row").select(F.least("c", "row").alias("a"), F.greatest("c", "row").alias("b")).distinct()
+    inside = write_table(join_groups(flat, ["band", "h"], "row", [F.count(F.lit(1)).alias("k")], [F.sum("k").alias("k")], "k > 1"), "near_buckets")
     small = write_table(reps.join(inside.select("row").distinct(), "row", "left_semi").select("row", "doc_id", "th", "n", "sig"), "near_members")
     where = small.select("row", F.col("doc_id").alias("d"), F.col("th").alias("t"))
     texts = table.join(where, table["doc_id"].eqNullSafe(where["d"]) & (table["th"] == where["t"])).select("row", "text").dropDuplicates(["row"])
     texts = write_table(texts, "near_texts")
-    links = write_table(verify(estimate(checkpoint(first), small, FLOOR), texts, threshold), "near_links")
+    # A bucket's hub is its member with most company over all bands: the middle of a group, and the same one in most of its buckets.
+    reach = inside.groupBy("row").agg(F.sum("k").alias("reach"))
+    best = F.max(F.struct("reach", (-F.col("row")).alias("r"))).alias("hub")
+    hubs = join_groups(inside.join(reach, "row"), ["band", "h"], "row", [best], [F.max("hub").alias("hub")])
+    first = checkpoint(hubs.select(F.col("row").alias("a"), (-F.col("hub.r")).alias("b")).where("a <> b").distinct())
+    links = write_table(verify(estimate(first, small, FLOOR, threshold), texts, threshold), "near_links")
     comp = checkpoint(components(small.select("row"), links))
-    buckets = inside.select("band", "h", "row").join(small.select("row", "n"), "row")
-    tried, used, every = first, inside.select(F.explode(F.array("x", "y")).alias("row")).distinct(), links
-    for _ in range(HUB_ROUNDS):
-        buckets = open_buckets(buckets, comp)
-        sizes = buckets.groupBy("band", "h", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("band", "h")
-        sizes = sizes.agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("own")).agg(F.sum("k"), F.sum((F.col("k") * F.col("k") - F.col("own")) / 2))
-        members, pairs = sizes.first()
-        if (pairs or 0) <= OPEN_PAIRS * (members or 0):
+    mixed = join_groups(inside.join(comp, "row"), ["band", "h"], "row", [F.min("comp").alias("lo"), F.max("comp").alias("hi")], [F.min("lo").alias("lo"), F.max("hi").alias("hi")], "lo < hi")
+    postings = write_table(rare_postings(texts.join(mixed.select("row").distinct(), "row", "left_semi"), threshold), "near_postings")
+    for turn in range(HUB_ROUNDS):
+        shared = checkpoint(open_shingles(postings, comp))
+        minor = F.col("comp") != F.col("major")
+        documents, pairs = shared.agg(F.count_distinct("row"), F.sum(F.when(minor, F.col("total")))).first()
+        if (pairs or 0) <= OPEN_PAIRS * documents:
             break
-        near, used = hub_pairs(buckets, every, used)
-        near = checkpoint(near.where(fitting(threshold)).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
-        tried = tried.unionByName(near)
-        more = write_table(verify(estimate(near, small, FLOOR), texts, threshold), "near_hub_links")
-        every, comp = every.unionByName(more), checkpoint(joined_classes(comp, more))
-        buckets = buckets.drop("comp")
-    # Exact rest: pairs of a bucket that no link joins yet, each once.
-    placed = buckets if "comp" in buckets.columns else open_buckets(buckets, comp)
-    left, right = (placed.select("band", "h", F.col("row").alias(x), F.col("comp").alias(f"c{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
-    rest = left.join(right, ["band", "h"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fitting(threshold))
-    rest = checkpoint(rest.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
-    more = write_table(verify(estimate(rest, small, FLOOR), texts, threshold), "near_more")
-    comp = checkpoint(joined_classes(comp, more))
-    classed = ids.join(member, "row").join(comp.withColumnRenamed("row", "rep"), "rep", "left").select("doc_id", "th", "row", F.coalesce("comp", "rep").alias("comp"))
-    classed = checkpoint(classed)
-    keep = classed.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row")).alias("k"), F.count(F.lit(1)).alias("class_size"))
-    return classed.join(keep, "comp").select("doc_id", "th", F.col("k.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("k.row")).alias("kept"))
+        comp = checkpoint(joined_classes(comp, write_table(verify(hub_pairs(shared, turn), texts, threshold), "near_hub_links")))
+    else:
+        shared = open_shingles(postings, comp)
+    rest = checkpoint(open_pairs(shared, threshold))
+    comp = checkpoint(joined_classes(comp, write_table(verify(rest, texts, threshold), "near_more")))
+    classed = join_hot(member, "rep", "row", comp.withColumnRenamed("row", "rep"), "left").select("doc_id", "th", "row", F.coalesce("comp", "rep").alias("comp"))
+    first_row = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row")
+    classed = join_groups(checkpoint(classed), ["comp"], "row", [F.min(first_row).alias("k"), F.count(F.lit(1)).alias("class_size")], [F.min("k").alias("k"), F.sum("class_size").alias("class_size")])
+    return classed.select("doc_id", "th", F.col("k.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("k.row")).alias("kept"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -294,7 +318,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each_class(docs: DataFrame) -> DataFrame:
-    """The input rows, all columns, that stay when one document of each class does."""
-    keep = near_classes(docs).where("kept").select(F.struct("doc_id", "th").alias("__key"))
-    keyed = docs.withColumn("__key", F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th")))
-    return keyed.join(keep, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    """The input rows, all columns, that stay when one document of each class does.
+
+    See near_classes for nulls, empty texts and ties; rows that repeat id and
+    text are one document, of which one row stays. Extra columns may have any
+    names. An empty table stays empty.
+    """
+    plain, at = by_position(docs)
+    keep = near_classes(docs).where("kept").select(F.struct("doc_id", "th").alias("key_"))
+    keyed = plain.withColumn("key_", F.struct(F.col(at["doc_id"]).cast("long").alias("doc_id"), F.xxhash64(at["text"]).alias("th")))
+    return back(keyed.join(keep, "key_", "left_semi").dropDuplicates(["key_"]), docs.columns)
