@@ -100,14 +100,15 @@ def join_groups(df: DataFrame, keys: list[str], unit: str, partial: list[Column]
     salted = df.withColumn("salt_", F.pmod(F.xxhash64(unit), F.lit(SALTS)))
     parts = salted.groupBy(*keys, "salt_").agg(*partial)
     groups = parts.groupBy(*keys).agg(*whole, F.collect_set("salt_").alias("salts_")).where(having)
-    return salted.join(groups.withColumn("salt_", F.explode("salts_")).drop("salts_"), [*keys, "salt_"]).drop("salt_")
+    dealt = groups.withColumn("salt_", F.explode("salts_")).drop("salts_")
+    return salted.join(dealt.hint("merge"), [*keys, "salt_"]).drop("salt_")
 
 
 def join_hot(df: DataFrame, key: str, unit: str, table: DataFrame, how: str = "inner") -> DataFrame:
     """``df`` joined with the one row of ``table`` for each key, where many rows of ``df`` may share a key."""
     salted = df.withColumn("salt_", F.pmod(F.xxhash64(unit), F.lit(SALTS)))
-    found = salted.select(key, "salt_").distinct().join(table, key)
-    return salted.join(found, [key, "salt_"], how).drop("salt_")
+    found = salted.select(key, "salt_").distinct().join(table.hint("merge"), key)
+    return salted.join(found.hint("merge"), [key, "salt_"], how).drop("salt_")
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

@@ -32,10 +32,9 @@ from .common import WORD, back, by_position, checkpoint, join_groups, join_hot,
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 40, 7
-#: Share of components that must agree before a bucket's member is verified against its hub; what fails here is left to the set join.
-FLOOR = 0.68
-#: While rare shingles leave more open pairs a document than this, each is tried against one document per shingle first, so many times at most.
-OPEN_PAIRS, HUB_ROUNDS = 16, 6
+#: While rare shingles bring more meetings a document than this, counted once a shingle, each is tried against one document
+#: per shingle first, as long as a turn halves their number.
+OPEN_MEETINGS = 200
 #: Documents of one rare shingle that meet in a task.
 SHARE_ROWS = 128
 _WORD = re.compile(WORD)
@@ -113,7 +112,7 @@ def _bag(text: str | None) -> tuple[np.ndarray, np.ndarray, list[str]]:
 
 
 def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """row, doc_id, th, body (digest of the word sequence), n (shingles), sig (a byte per component), bands (hash per band)."""
+    """row, doc_id, th, body (digest of the word sequence), n (shingles), bands (hash per band)."""
 
     def run(row, ids, ths, texts):
         bags, bodies = [], []
@@ -126,14 +125,9 @@ def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
             keys = np.zeros((len(bags), bands), _U)
             for k in range(rows):
                 keys = _mix(keys * _U(0x9E3779B97F4A7C15) + sig[:, k::rows])
-        small = (sig & _U(0xFF)).astype(np.uint8)
-        return [row, ids, ths, bodies, [int(w.sum()) for _, w in bags], [s.tobytes() for s in small], list(keys.view(np.int64))]
+        return [row, ids, ths, bodies, [int(w.sum()) for _, w in bags], list(keys.view(np.int64))]
 
-    return map_slices(docs.select("row", "doc_id", "th", "text"), run, "row long, doc_id long, th long, body binary, n long, sig binary, bands array<long>")
-
-
-def _agree(a: bytes, b: bytes) -> float:
-    return float((np.frombuffer(a, np.uint8) == np.frombuffer(b, np.uint8)).mean())
+    return map_slices(docs.select("row", "doc_id", "th", "text"), run, "row long, doc_id long, th long, body binary, n long, bands array<long>")
 
 
 def fitting(threshold: float):
@@ -141,19 +135,6 @@ def fitting(threshold: float):
     return F.least("na", "nb") >= threshold * F.greatest("na", "nb")
 
 
-def estimate(pairs: DataFrame, sigs: DataFrame, floor: float, threshold: float = THRESHOLD) -> DataFrame:
-    """Keep pairs (a, b) whose signatures agree on ``floor`` of the components and whose sizes allow the threshold."""
-    left = sigs.select(F.col("row").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
-    right = sigs.select(F.col("row").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
-    sized = join_hot(join_hot(pairs.select("a", "b"), "b", "a", right), "a", "b", left).where(fitting(threshold) & (F.col("na") > 0))
-
-    def run(a, b, sa, sb):
-        on = [k for k, (x, y) in enumerate(zip(sa, sb, strict=True)) if _agree(x, y) >= floor]
-        return [[a[k] for k in on], [b[k] for k in on]]
-
-    return map_slices(sized.select("a", "b", "sa", "sb"), run, "a long, b long")
-
-
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) whose shingle multisets have weighted Jaccard similarity of at least ``threshold``."""
     one, two = texts.select(F.col("row").alias("a"), F.col("text").alias("ta")), texts.select(F.col("row").alias("b"), F.col("text").alias("tb"))
@@ -282,28 +263,26 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
     reps = sigs.join(member.where("row = rep").select("row"), "row", "left_semi")
     flat = reps.where("n > 0").select("row", F.posexplode("bands").alias("band", "h"))
     inside = write_table(join_groups(flat, ["band", "h"], "row", [F.count(F.lit(1)).alias("k")], [F.sum("k").alias("k")], "k > 1"), "near_buckets")
-    small = write_table(reps.join(inside.select("row").distinct(), "row", "left_semi").select("row", "doc_id", "th", "n", "sig"), "near_members")
-    where = small.select("row", F.col("doc_id").alias("d"), F.col("th").alias("t"))
+    reach = checkpoint(inside.groupBy("row").agg(F.sum("k").alias("reach")))
+    where = reach.join(sigs, "row").select("row", F.col("doc_id").alias("d"), F.col("th").alias("t"))
     texts = table.join(where, table["doc_id"].eqNullSafe(where["d"]) & (table["th"] == where["t"])).select("row", "text").dropDuplicates(["row"])
     texts = write_table(texts, "near_texts")
     # A bucket's hub is its member with most company over all bands: the middle of a group, and the same one in most of its buckets.
-    reach = inside.groupBy("row").agg(F.sum("k").alias("reach"))
     best = F.max(F.struct("reach", (-F.col("row")).alias("r"))).alias("hub")
     hubs = join_groups(inside.join(reach, "row"), ["band", "h"], "row", [best], [F.max("hub").alias("hub")])
     first = checkpoint(hubs.select(F.col("row").alias("a"), (-F.col("hub.r")).alias("b")).where("a <> b").distinct())
-    links = write_table(verify(estimate(first, small, FLOOR, threshold), texts, threshold), "near_links")
-    comp = checkpoint(components(small.select("row"), links))
+    links = write_table(verify(first, texts, threshold), "near_links")
+    comp = checkpoint(components(reach.select("row"), links))
     mixed = join_groups(inside.join(comp, "row"), ["band", "h"], "row", [F.min("comp").alias("lo"), F.max("comp").alias("hi")], [F.min("lo").alias("lo"), F.max("hi").alias("hi")], "lo < hi")
     postings = write_table(rare_postings(texts.join(mixed.select("row").distinct(), "row", "left_semi"), threshold), "near_postings")
-    for turn in range(HUB_ROUNDS):
+    turn, before = 0, None
+    while True:
         shared = checkpoint(open_shingles(postings, comp))
-        minor = F.col("comp") != F.col("major")
-        documents, pairs = shared.agg(F.count_distinct("row"), F.sum(F.when(minor, F.col("total")))).first()
-        if (pairs or 0) <= OPEN_PAIRS * documents:
+        documents, meetings = shared.agg(F.count_distinct("row"), F.sum(F.when(F.col("comp") != F.col("major"), F.col("total")))).first()
+        if (meetings or 0) <= OPEN_MEETINGS * documents or before is not None and meetings > before / 2:
             break
         comp = checkpoint(joined_classes(comp, write_table(verify(hub_pairs(shared, turn), texts, threshold), "near_hub_links")))
-    else:
-        shared = open_shingles(postings, comp)
+        turn, before = turn + 1, meetings
     rest = checkpoint(open_pairs(shared, threshold))
     comp = checkpoint(joined_classes(comp, write_table(verify(rest, texts, threshold), "near_more")))
     classed = join_hot(member, "rep", "row", comp.withColumnRenamed("row", "rep"), "left").select("doc_id", "th", "row", F.coalesce("comp", "rep").alias("comp"))
