@@ -3,30 +3,54 @@
 The lattice has a node after every character and an edge for every piece. For a
 merge-based vocabulary a path scores 0 if each pair of neighbouring pieces is
 what merging would leave of the two, else minus infinity; every prefix then has
-one best path, and it equals the merges' result. The stream keeps a window of
-the longest piece, and commits ids as soon as all surviving backpointer paths
-meet on one boundary. Such a boundary stands before every single space, so what
-lies between two of them is remembered by worker processes in a bounded memo.
+one best path, and it equals the merges' result. Whether two pieces are
+compatible is read from tables made once per model.
+
+A stream keeps the starts from which a piece can still go on, never more than the
+longest piece back, with their backpointers, and commits ids as soon as all
+surviving backpointer paths meet on one boundary. No piece holds a space after
+another character, so the paths always meet before a run of spaces. The short
+stretches between such boundaries are streamed side by side, one character of
+each at a time, and what a stretch commits is remembered in a bounded memo of the
+worker process. Long stretches are streamed one by one.
 """
 
 from __future__ import annotations
 
 import hashlib
-import struct
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_slices
 from .common import pick
-from .segments import SegmentEncoder
 
 SPACE = "▁"
+#: Characters of a stretch that is streamed beside others; longer ones are streamed alone.
+LANE = 64
+#: Stretches that a worker process remembers; an older and a newer half take turns.
+MEMO = 200_000
+_STRETCH = re.compile(" +[^ ]*|[^ ]+")
+_NEVER = 1 << 30
 _CODECS: dict[str, Codec] = {}
 
 
+class Lookup:
+    """Values of whole-number keys, many at a time; -1 for what isn't there."""
+
+    def __init__(self, table: dict[int, int]):
+        self.keys = np.array(sorted(table), np.int64)
+        self.values = np.array([table[k] for k in self.keys.tolist()], np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.values[at], -1)
+
+
 class Codec:
     """Pieces of a SentencePiece merge model with byte fallback; text is taken as it is, with a leading space mark."""
 
@@ -34,132 +58,239 @@ class Codec:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
-        self.ids: dict[str, int] = {}
-        self.rank: dict[str, float] = {}
-        self.text: list[str | int] = []
+        self.size = sp.get_piece_size()
         self.byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         of_byte = {i: b for b, i in enumerate(self.byte_ids)}
-        for i in range(sp.get_piece_size()):
+        plain, raw = {}, []
+        for i in range(self.size):
             piece = sp.id_to_piece(i)
             if i in of_byte:
-                self.text.append(of_byte[i])
+                raw.append(bytes([of_byte[i]]))
             elif sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i):
-                self.text.append("")
+                raw.append(b"")
             else:
+                plain[piece] = i
+                raw.append(piece.replace(SPACE, " ").encode())
+        # Bytes of all pieces in a row, and where each begins: decoding copies them.
+        self.bytes = np.frombuffer(b"".join(raw), np.uint8)
+        self.byte_count = np.array([len(r) for r in raw], np.int64)
+        self.byte_start = np.cumsum(self.byte_count) - self.byte_count
+        self.rank = {p: k for k, p in enumerate(sorted((p for p in plain if len(p) > 1), key=lambda p: (-sp.get_score(plain[p]), p)))}
+        # Order of a piece's merge; -1 for single characters. Halves that its last merge joined.
+        self.order = np.full(self.size, -1, np.int64)
+        self.left, self.right = np.zeros(self.size, np.int64), np.zeros(self.size, np.int64)
+        self.ids: dict[str, int] = {}
+        for piece, i in plain.items():
+            parts, halves = self.merge(piece)
+            if parts == [piece] and all(c in plain for c in piece):
                 self.ids[piece] = i
-                self.rank[piece] = sp.get_score(i)
-                self.text.append(piece.replace(SPACE, " "))
+                if halves:
+                    self.order[i], self.left[i], self.right[i] = self.rank[piece], plain[halves[0]], plain[halves[1]]
+        self.joins = {}
+        for piece, i in self.ids.items():
+            for k in range(1, len(piece)):
+                a, b = self.ids.get(piece[:k]), self.ids.get(piece[k:])
+                if a is not None and b is not None:
+                    self.joins[a * self.size + b] = int(self.order[i])
+        self.join_table = Lookup(self.joins)
+        if any(SPACE in p.lstrip(SPACE) for p in self.ids):
+            raise ValueError("a piece holds a space after another character: stretches between spaces depend on each other")
+        self.chars = {c: k + 1 for k, c in enumerate(sorted({c for p in self.ids for c in p}))}
+        self.char_code = np.zeros(0x110000, np.int32)
+        self.char_code[[ord(c) for c in self.chars]] = list(self.chars.values())
+        # Prefixes of pieces are nodes, 0 the empty one.
+        nodes, steps, at_node = {"": 0}, {}, [-1]
+        for piece in self.ids:
+            for k in range(1, len(piece) + 1):
+                if piece[:k] not in nodes:
+                    nodes[piece[:k]] = len(at_node)
+                    at_node.append(self.ids.get(piece[:k], -1))
+                    steps[nodes[piece[: k - 1]] * (len(self.chars) + 1) + self.chars[piece[k - 1]]] = nodes[piece[:k]]
+        self.starts, self.step, self.piece_at = nodes, Lookup(steps), np.array(at_node, np.int64)
         self.longest = max(map(len, self.ids))
-        self.starts = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
-        # A space mark after another character, or a stop after a letter, would let a piece run over a segment's start.
-        pairs = {(a, b) for p in self.ids for a, b in zip(p, p[1:])}
-        self.split_at_spaces = not any(b == SPACE != a or (a.isalpha() and b in ".,\n") or (a == "\n" and b.isalpha()) for a, b in pairs)
-        self.fits: dict[tuple[str, str], bool] = {}
-        self.encoder = SegmentEncoder(self._many, self._whole, self._whole)
-
-    def merge(self, text: str) -> list[str]:
-        """Pieces that greedy merging leaves: best score first, leftmost of equals."""
-        parts = list(text)
+        self.lengths = np.zeros(self.size, np.int64)
+        for piece, i in self.ids.items():
+            self.lengths[i] = len(piece)
+        self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def merge(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
+        """Pieces that greedy merging leaves, best score first, leftmost of equals; and the last two parts it joined."""
+        parts, halves = list(text), None
         while len(parts) > 1:
-            best = max((self.rank.get(a + b, -1e30), -k) for k, (a, b) in enumerate(zip(parts, parts[1:])))
-            if best[0] <= -1e30:
+            best, k = min((self.rank.get(a + b, _NEVER), k) for k, (a, b) in enumerate(zip(parts, parts[1:])))
+            if best == _NEVER:
                 break
-            k = -best[1]
+            halves = parts[k], parts[k + 1]
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
-        return parts
+        return parts, halves
+
+    def compatible(self, left: int, right: int) -> bool:
+        """Whether merging the text of two pieces leaves just these two.
+
+        The merges that made them are undone, the latest first. If the parts that
+        then touch could have been joined before the merge undone last, merging
+        would have joined them; of equal merges the leftmost comes first.
+        """
+        limit = _NEVER
+        while True:
+            if self.joins.get(left * self.size + right, _NEVER) < limit:
+                return False
+            a, b = self.order[left], self.order[right]
+            if a < 0 and b < 0:
+                return True
+            if a > b:
+                limit, left = a, int(self.right[left])
+            else:
+                limit, right = b + 1, int(self.left[right])
 
-    def compatible(self, left: str, right: str) -> bool:
-        got = self.fits.get((left, right))
-        if got is None:
-            if len(self.fits) > 600_000:
-                self.fits.clear()
-            got = self.fits[left, right] = self.merge(left + right) == [left, right]
-        return got
+    def all_compatible(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``compatible`` of many pairs."""
+        out = np.ones(len(left), bool)
+        on, limit = np.arange(len(left)), np.full(len(left), _NEVER, np.int64)
+        while len(on):
+            joined = self.join_table.get(left * self.size + right)
+            bad = (joined >= 0) & (joined < limit)
+            out[on[bad]] = False
+            a, b = self.order[left], self.order[right]
+            go = ~bad & ((a >= 0) | (b >= 0))
+            on, left, right, a, b = on[go], left[go], right[go], a[go], b[go]
+            undo = a > b
+            limit = np.where(undo, a, b + 1)
+            left, right = np.where(undo, self.right[left], left), np.where(undo, right, self.left[right])
+        return out
 
     def stream(self, chars: Iterable[str]) -> Iterator[int]:
-        """Ids of a character stream.
+        """Ids of a character stream (spaces as space marks), as soon as they are certain.
 
-        ``last[e]`` is the piece that ends the best path to e. The window holds
-        what follows the last common boundary; it is looked for again whenever
-        the window has grown by the longest piece.
+        ``last[e]`` is the piece that ends the best path to place e of the window,
+        ``root[e]`` that path's first boundary. ``live`` are the places from which
+        a piece can still go on. When all of them have one root, everything up to
+        it is committed and the window begins there.
         """
-        ids, starts, fits = self.ids, self.starts, self.fits
-        window, last, live, due = "", {0: ""}, [0], 2 * self.longest
+        window, last, root, live = "", [-1], [0], [0]
         for ch in chars:
-            window += ch
-            end = len(window)
-            if ch not in ids:
+            if ch not in self.chars:
                 # No piece holds this character: every path passes both of its sides.
-                yield from self._path(last, 0, end - 1)
+                yield from self._path(last)
                 yield from (self.byte_ids[b] for b in ch.encode("utf-8", "replace"))
-                window, last, live, due = "", {0: ""}, [0], 2 * self.longest
+                window, last, root, live = "", [-1], [0], [0]
                 continue
-            live = [s for s in live if window[s:end] in starts]
-            for start in live:
-                piece = window[start:end]
-                if piece in ids:
-                    before = last[start]
-                    ok = not before or fits.get((before, piece))
-                    if ok is None:
-                        ok = self.compatible(before, piece)
-                    if ok:
-                        last[end] = piece
-                        live.append(end)
-                        break
-            if end >= due:
-                meet = self._meet(last, live)
-                if meet > 0:
-                    yield from self._path(last, 0, meet)
-                    window, last, live = window[meet:], {e - meet: p for e, p in last.items() if e >= meet}, [s - meet for s in live]
-                due = len(window) + self.longest
-        yield from self._path(last, 0, len(window))
-
-    @staticmethod
-    def _meet(last: dict[int, str], ends: list[int]) -> int:
-        """The furthest boundary on the backpointer paths of all surviving ends; 0 if they only meet at the start."""
-        ends = sorted(set(ends))
-        while len(ends) > 1:
-            top = ends.pop()
-            ends = sorted({*ends, top - len(last[top])}) if top else [0]
-        return ends[0] if ends else 0
-
-    def _path(self, last: dict[int, str], start: int, end: int) -> list[int]:
-        out = []
-        while end > start:
-            out.append(self.ids[last[end]])
-            end -= len(last[end])
+            window += ch
+            end = len(window)
+            live = [s for s in live if window[s:end] in self.starts]
+            last.append(-1)
+            root.append(0)
+            for s in live:
+                piece = self.ids.get(window[s:end])
+                if piece is not None and (last[s] < 0 or self.compatible(last[s], piece)):
+                    last[end], root[end] = piece, root[s] or end
+                    live.append(end)
+                    break
+            while len({root[s] for s in live}) == 1 and (meet := root[live[0]]):
+                yield last[meet]
+                window, last, live = window[meet:], last[meet:], [s - meet for s in live]
+                root = [0]
+                for e in range(1, len(last)):
+                    # Paths that don't pass the boundary lead to no live place.
+                    s = e - int(self.lengths[last[e]]) if last[e] >= 0 else -1
+                    root.append((root[s] or e) if s >= 0 else 0)
+        yield from self._path(last)
+
+    def _path(self, last: list[int]) -> list[int]:
+        out, end = [], len(last) - 1
+        while end > 0:
+            out.append(last[end])
+            end -= int(self.lengths[last[end]])
         return out[::-1]
 
-    def _many(self, parts: list[str]) -> list[bytes]:
-        out = []
-        for p in parts:
-            ids = list(self.stream(p.replace(" ", SPACE)))
-            out.append(struct.pack(f"<{len(ids)}I", *ids))
-        return out
+    def lanes(self, stretches: list[str]) -> list[bytes]:
+        """Ids of stretches, which hold pieces' characters only, streamed side by side."""
+        sizes = np.array([len(x) for x in stretches], np.int64)
+        rank = np.argsort(-sizes, kind="stable")
+        codes = np.zeros((len(stretches), int(sizes.max())), np.int32)
+        flat = self.char_code[np.frombuffer("".join(stretches).encode("utf-32-le"), "<u4")]
+        codes[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
+        codes, sizes = codes[rank], sizes[rank]
+        last = np.full((len(sizes), codes.shape[1] + 1), -1, np.int64)
+        lane, start, node = (np.zeros(0, np.int64) for _ in range(3))
+        width = len(self.chars) + 1
+        for end in range(1, codes.shape[1] + 1):
+            # Lanes lie in order of length, so those still running come first.
+            running = int(np.searchsorted(-sizes, -end, "right"))
+            fresh = np.flatnonzero(last[:running, end - 1] >= 0) if end > 1 else np.arange(running)
+            on = lane < running
+            lane = np.concatenate([lane[on], fresh])
+            start = np.concatenate([start[on], np.full(len(fresh), end - 1)])
+            node = self.step.get(np.concatenate([node[on], np.zeros(len(fresh), np.int64)]) * width + codes[lane, end - 1])
+            on = node >= 0
+            lane, start, node = lane[on], start[on], node[on]
+            piece = self.piece_at[node]
+            found = np.flatnonzero(piece >= 0)
+            l, p, before = lane[found], piece[found], last[lane[found], start[found]]
+            fits = before < 0
+            inner = np.flatnonzero(~fits)
+            fits[inner] = self.all_compatible(before[inner], p[inner])
+            last[l[fits], end] = p[fits]
+        at, column, steps = sizes.copy(), np.arange(len(sizes)), []
+        while True:
+            on = at > 0
+            if not on.any():
+                break
+            piece = np.where(on, last[column, at], -1)
+            steps.append(piece)
+            at = np.where(on, at - self.lengths[piece], 0)
+        path = np.stack(steps[::-1], 1)
+        counts = np.zeros(len(sizes), np.int64)
+        counts[rank] = (path >= 0).sum(1)
+        back = np.empty_like(rank)
+        back[rank] = np.arange(len(rank))
+        path = path[back]
+        data = path[path >= 0].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(counts)).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
 
-    def _whole(self, text: str) -> bytes:
-        return self._many([SPACE + text])[0] if text else b""
+    def learn(self, stretches: list[str]) -> None:
+        """Put the ids of new stretches into the memo."""
+        new = [s for s in dict.fromkeys(stretches) if s not in self.memo]
+        for s in new:
+            if s in self.old:
+                self.memo[s] = self.old[s]
+        new = [s for s in new if s not in self.memo]
+        marked = [s.replace(" ", SPACE) for s in new]
+        known = self.char_code[np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4")] > 0 if new else np.zeros(0, bool)
+        sizes = np.array([len(m) for m in marked], np.int64)
+        # A stretch with a character that no piece holds streams alone too.
+        plain = np.add.reduceat(known, np.cumsum(sizes) - sizes, dtype=np.int64) == sizes if new else known
+        short = [k for k, (m, p) in enumerate(zip(marked, plain.tolist(), strict=True)) if p and len(m) <= LANE]
+        for at in range(0, len(short), 4096):
+            part = short[at : at + 4096]
+            self.memo.update(zip([new[k] for k in part], self.lanes([marked[k] for k in part]), strict=True))
+        for s, m in zip(new, marked, strict=True):
+            if s not in self.memo:
+                self.memo[s] = np.fromiter(self.stream(m), "<u4").tobytes()
 
-    def encode(self, text: str) -> bytes:
+    def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers; an empty text has none."""
-        if not text:
-            return b""
-        return self.encoder.encode(text) if self.split_at_spaces else self._whole(text)
+        texts = [t.replace(SPACE, " ") if SPACE in t else t for t in texts]
+        cut = [_STRETCH.findall(" " + t) if t[:1] == " " or "  " in t or t[-1:] == " " else [" " + x for x in t.split(" ")] if t else [] for t in texts]
+        missing = [s for c in cut for s in c if s not in self.memo]
+        if missing:
+            self.learn(missing)
+        out = [b"".join(map(self.memo.__getitem__, c)) for c in cut]
+        if len(self.memo) > MEMO:
+            self.old, self.memo = self.memo, {}
+        return out
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
 
     def decode(self, ids: Iterable[int]) -> str:
         """Text of ids: runs of byte pieces are UTF-8, space marks are spaces, the leading one goes."""
-        table, out, raw = self.text, [], bytearray()
-        for piece in map(table.__getitem__, ids):
-            if piece.__class__ is int:
-                raw.append(piece)
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw.clear()
-            out.append(piece)
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
-        text = "".join(out)
+        ids = np.asarray(ids, np.int64)
+        n = self.byte_count[ids]
+        index = np.repeat(self.byte_start[ids] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        text = self.bytes[index].tobytes().decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
 
@@ -182,10 +313,9 @@ def sentencepiece_codec(docs: DataFrame, model_file: str) -> DataFrame:
     def run(doc_ids, texts):
         c = codec(model_file)
         cols = [doc_ids, [], [], [], [], []]
-        for text in texts:
-            text = text or ""
-            packed = c.encode(text)
-            ids = struct.unpack(f"<{len(packed) // 4}I", packed)
+        texts = [t or "" for t in texts]
+        for text, packed in zip(texts, c.encode_all(texts), strict=True):
+            ids = np.frombuffer(packed, "<i4")
             back = c.decode(ids)
             for col, v in zip(cols[1:], (ids, len(ids), zlib.crc32(packed), hashlib.sha256(back.encode("utf-8", "replace")).hexdigest(), back == text.replace(SPACE, " ")), strict=True):
                 col.append(v)
