@@ -70,7 +70,7 @@ def test_secret_scan_edges(spark):
     assert secret_scan(table(spark, [])).count() == 0
 
 
-TRICKY = ["", " ", "a", "Hello, world!  two  spaces\n\nnew\tline", "don't we'll 123 4567.89", " lead and trail ", "ünï ça 漢字 🙂", "a.b,c...", "x\n y \nz", "A" * 5000, "tab\there \t there", "word,\nNext.", "a b" * 5000]
+TRICKY = ["", " ", "a", "a <|endoftext|> b", "<|endoftext|>", "Hello, world!  two  spaces\n\nnew\tline", "don't we'll 123 4567.89", " lead and trail ", "ünï ça 漢字 🙂", "a.b,c...", "x\n y \nz", "A" * 5000, "tab\there \t there", "word,\nNext.", "a b" * 5000]
 
 
 @pytest.fixture(scope="module")
@@ -86,7 +86,6 @@ def test_segment_encoding_equals_the_library(real_texts):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     enc = token_store.encoder(tokenizer_path("byte_bpe_50k.json"))
     for text in TRICKY + real_texts:
         assert np.frombuffer(enc.encode(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, text[:80]
@@ -96,7 +95,6 @@ def test_token_files_hold_every_document(spark, tmp_path):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     rows = [(k, t) for k, t in enumerate(TRICKY)] + [(100, None), (101, "same"), (101, "same")]
     got = sorted(token_store.token_output(table(spark, rows).selectExpr("doc_id", "text", "0L start"), tokenizer_path("byte_bpe_50k.json")).collect())
     at, want = 0, []
@@ -117,33 +115,57 @@ def test_a_foreign_dictionary_is_refused():
     assert token_store.frame_of(token_store.pack_block([b"ab", b"", b"c"], b""), 2) == b"c"
 
 
-def test_viterbi_equals_the_library(real_texts):
-    import sentencepiece
+@pytest.fixture(scope="module")
+def codec():
+    return sp_codec.Codec(tokenizer_path("piece_bpe_32k.model"))
 
-    path = tokenizer_path("piece_bpe_32k.model")
-    sp, codec = sentencepiece.SentencePieceProcessor(model_file=path), sp_codec.Codec(path)
-    for text in ["a", "Hello, world!", "ünï ça 漢字 🙂", "word,\nNext.", "in 12,345.67 ways"] + real_texts[:400]:
-        if "  " not in text and text == text.strip():
-            assert np.frombuffer(codec.encode(text), "<u4").tolist() == sp.encode(text), text[:80]
 
+def test_viterbi_equals_the_library(real_texts, codec):
+    """Streams, alone and side by side, give the library's ids, also for odd spacing and characters without a piece."""
+    import sentencepiece
 
-def test_codec_round_trips_and_streams_in_a_window(spark):
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    rng = np.random.default_rng(3)
+    letters = list("ab  .\n aeiouéßж漢🙂▁1234thng")
+    odd = ["".join(rng.choice(letters, rng.integers(0, 200))) for _ in range(300)] + ["x" * 3000, "anan" * 900, " "]
+    for text, packed in zip(TRICKY + odd + real_texts, codec.encode_all(TRICKY + odd + real_texts), strict=True):
+        assert np.frombuffer(packed, "<u4").tolist() == sp.encode(text), text[:80]
+    for text in odd + real_texts[:30]:
+        assert not text or list(codec.stream(f"▁{text}".replace(" ", "▁"))) == sp.encode(text), text[:80]
+
+
+def test_compatibility_is_what_merging_leaves(codec):
+    rng = np.random.default_rng(5)
+    pieces = sorted(codec.ids, key=codec.ids.get)
+    pairs = [(pieces[i], pieces[j]) for i, j in rng.integers(0, len(pieces), (400, 2))]
+    for k in range(0, 4000, 10):
+        word = pieces[k]
+        pairs += [(word[:n], word[n:]) for n in range(1, len(word)) if word[:n] in codec.ids and word[n:] in codec.ids]
+    want = [codec.merge(a + b)[0] == [a, b] for a, b in pairs]
+    left, right = (np.array([codec.ids[p[x]] for p in pairs]) for x in (0, 1))
+    assert codec.all_compatible(left, right).tolist() == want == [codec.compatible(int(a), int(b)) for a, b in zip(left, right)]
+    assert any(want) and not all(want)
+
+
+def test_codec_round_trips_and_streams_in_a_window(spark, codec):
     path = tokenizer_path("piece_bpe_32k.model")
     rows = [(k, t) for k, t in enumerate(TRICKY)] + [(100, None), (None, "x"), (None, "x")]
     got = sp_codec.sentencepiece_codec(table(spark, rows).selectExpr("doc_id", "text", "0 ids"), path).collect()
     assert len(got) == len(rows) and all(r.round_trip for r in got)
     assert all(r.n_tokens == len(r.ids) for r in got)
-    codec = sp_codec.Codec(path)
+    given, spoken, behind = 0, 0, 0
 
     def chars(n):
+        nonlocal given, behind
         for k in range(n):
-            consumed.append(k)
-            yield "abcd▁"[k % 5]
-
-    consumed = []
-    stream = codec.stream(chars(10_000))
-    next(stream)
-    assert len(consumed) <= 4 * codec.longest
+            behind = max(behind, given - spoken)
+            given += 1
+            yield "internationalisation"[k % 20]
+
+    # No spaces at all: ids are committed wherever the surviving paths meet.
+    for i in codec.stream(chars(10_000)):
+        spoken += codec.lengths[i]
+    assert spoken == 10_000 and behind <= 2 * codec.longest
 
 
 def test_interactions_are_learned():

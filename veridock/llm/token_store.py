@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 from .arrow import map_slices, slices
 from .common import broadcast_if_small, checkpoint, pick, shared_dir
-from .segments import SegmentEncoder
 
 MAGIC = b"TIDB"
 END_ID = 2
@@ -31,38 +30,85 @@ BLOCK_DOCS = 1024
 DICT_DOCS, DICT_IDS, DICT_BYTES = 4000, 4096, 64 * 1024
 LEVEL = 3
 
-_ENCODERS: dict[str, SegmentEncoder] = {}
+#: Segments that a worker process remembers; an older and a newer half take turns.
+MEMO_SEGMENTS = 400_000
+_ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(tokenizer_file: str) -> SegmentEncoder:
-    """One per worker process; ids as little-endian unsigned 32-bit integers. Added tokens in a text have their own ids, as the library gives them."""
-    if tokenizer_file not in _ENCODERS:
-        from tokenizers import Tokenizer
+class Encoder:
+    """Ids of the tokenizers library as little-endian unsigned 32-bit integers, with a bounded memo of segments.
 
-        tok = Tokenizer.from_file(tokenizer_file)
-        added = tuple(t.content for t in tok.get_added_tokens_decoder().values())
+    The library treats what begins at a single space between two characters that
+    aren't white space alone. So segments are encoded once, many in one call; a
+    tab before a space or a letter is a token of its own and keeps them apart.
+    Texts of other spacing, and those that hold an added token, go to the library
+    whole.
+    """
 
-        def ids(text: str) -> np.ndarray:
-            return np.array(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+    def __init__(self, tokenizer_file: str):
+        from tokenizers import Tokenizer
 
-        tab = ids("\t")
+        self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.memo: dict[str, bytes | None] = {}
+        self.old: dict[str, bytes | None] = {}
+        self.tab = self.ids("\t")
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def many(self, parts: list[str]) -> list[bytes]:
+        """Ids of every part, by one call where its ids can be told apart."""
+        if len(self.tab) == 1 and not any("\t" in p for p in parts):
+            found = self.ids("\t".join(parts))
+            ends = np.flatnonzero(found == self.tab[0])
+            if len(ends) == len(parts) - 1:
+                edges = [0, *(4 * (ends + 1)).tolist(), 4 * (len(found) + 1)]
+                data = found.tobytes()
+                return [data[a : b - 4] for a, b in zip(edges, edges[1:])]
+        return [self.ids(p).tobytes() for p in parts]
+
+    def learn(self, segments: list[str]) -> None:
+        """Put new segments into the memo, None for those of irregular spacing."""
+        new = []
+        for s in dict.fromkeys(segments):
+            if s in self.old:
+                self.memo[s] = self.old[s]
+            elif not s or s[0].isspace() or s[-1].isspace():
+                self.memo[s] = None
+            else:
+                new.append(s)
+        odd = [s for s in new if "\t" in s]
+        plain = [s for s in new if "\t" not in s] if odd else new
+        for part in (plain, odd):
+            if part:
+                self.memo.update(zip(part, self.many([" " + s for s in part]), strict=True))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        whole = [not t or t[0].isspace() or any(x in t for x in self.added) for t in texts]
+        cut = [[] if w else t.split(" ") for t, w in zip(texts, whole, strict=True)]
+        memo = self.memo
+        if missing := [s for c in cut for s in c[1:] if s not in memo]:
+            self.learn(missing)
+        out = []
+        for text, direct, parts in zip(texts, whole, cut, strict=True):
+            if direct or parts[0][-1].isspace():
+                out.append(self.ids(text).tobytes())
+                continue
+            got = list(map(memo.__getitem__, parts[1:]))
+            out.append(self.ids(text).tobytes() if None in got else self.ids(parts[0]).tobytes() + b"".join(got))
+        if len(memo) > MEMO_SEGMENTS:
+            self.old, self.memo = memo, {}
+        return out
 
-        def many(parts: list[str]) -> list[bytes]:
-            # A tab before a space or a letter is a token of its own, so one call serves many segments.
-            if len(tab) != 1 or any("\t" in p for p in parts):
-                return [ids(p).tobytes() for p in parts]
-            found = ids("\t".join(parts))
-            ends = np.flatnonzero(found == tab[0])
-            if len(ends) != len(parts) - 1:
-                return [ids(p).tobytes() for p in parts]
-            edges = [0, *(ends + 1).tolist(), len(found) + 1]
-            data = found.tobytes()
-            return [data[4 * a : 4 * b - 4] for a, b in zip(edges, edges[1:])]
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
 
-        def one(text: str) -> bytes:
-            return ids(text).tobytes()
 
-        _ENCODERS[tokenizer_file] = SegmentEncoder(many, one, one, added=added)
+def encoder(tokenizer_file: str) -> Encoder:
+    """One per worker process."""
+    if tokenizer_file not in _ENCODERS:
+        _ENCODERS[tokenizer_file] = Encoder(tokenizer_file)
     return _ENCODERS[tokenizer_file]
 
 
@@ -122,7 +168,7 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, path: str, end_id: int =
     def run(batches):
         shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         squeeze = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared)
-        encode, named = encoder(tokenizer_file).encode, dict_hash(dictionary).hex()
+        encode_all, named = encoder(tokenizer_file).encode_all, dict_hash(dictionary).hex()
         part, block, before, size = 0, 0, 0, 0
         ids, counts, frames = [], [], []
 
@@ -132,8 +178,8 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, path: str, end_id: int =
 
         for parts, doc_ids, texts in slices(batches):
             part = parts[0]
-            for doc_id, text in zip(doc_ids, texts, strict=True):
-                data = encode(text) + end
+            for doc_id, packed in zip(doc_ids, encode_all(texts), strict=True):
+                data = packed + end
                 ids.append(doc_id)
                 counts.append(len(data) // 4)
                 frames.append(squeeze.compress(narrow(data)))
