@@ -10,7 +10,7 @@ import pytest
 
 from veridock.llm import near_dup
 from veridock.llm.common import WORD
-from veridock.llm.line_dedup import cut_repeated_runs, line_dedup, windows
+from veridock.llm.line_dedup import cut_repeated_runs, line_dedup, window_minima, winnow
 from veridock.llm.near_dup import bag_signatures, near_classes, near_duplicates, one_of_each_class
 
 SF = "/root/testdata/sf0.001"
@@ -70,16 +70,35 @@ def test_line_dedup_is_brute_force(spark):
     assert any(got[k] != t for k, t in docs)
 
 
-def test_windows_are_guaranteed():
-    """Whatever repeats with min_words words or more holds a window, wherever it stands."""
+def test_fingerprints_are_guaranteed_and_selected():
+    """Whatever repeats with min_words words or more shares a selected gram, wherever it stands; not every window adds one."""
     rng = random.Random(1)
-    for _ in range(200):
+    selected = windows = 0
+    for _ in range(300):
         shared = [(rng.getrandbits(40), rng.randrange(0, 5)) for _ in range(rng.randrange(2, 12))]
         around = [[(rng.getrandbits(40), rng.randrange(1, 5)) for _ in range(rng.randrange(0, 6))] for _ in range(4)]
         one, two = around[0] + shared + around[1], around[2] + shared + around[3]
-        prints = [{(b, h[a]) for b, a, _, _ in windows(h, [n for _, n in d], 10)} for d in (one, two) for h in [[h for h, _ in d]]]
-        if sum(n for _, n in shared) >= 10 and shared[0][1]:
+        prints = []
+        for d in (one, two):
+            h, n = [x for x, _ in d], [x for _, x in d]
+            prints.append({g for g, _, _, _ in winnow(h, n, 16)})
+            selected, windows = selected + len(prints[-1]), windows + len(window_minima(h, n, 16))
+        if sum(n for _, n in shared) >= 16 and shared[0][1]:
             assert prints[0] & prints[1]
+    assert selected < 0.7 * windows
+
+
+def test_text_whose_fingerprint_stood_elsewhere_first(spark):
+    """The first place of a shared boilerplate isn't the first place of what surrounds it."""
+    rng = random.Random(8)
+    plate = [sentence(rng, 6) for _ in range(3)]
+    docs = []
+    for k in range(40):
+        around = [sentence(random.Random(k // 2), 5, 10**9), *plate, sentence(random.Random(k // 2 + 100), 5, 10**9)]
+        docs.append((k, "\n".join([f"own {k}", *around, f"end {k}"])))
+    got = {r.doc_id: r.text for r in line_dedup(table(spark, docs), 24).collect()}
+    assert got == brute_line_dedup(docs, 24)
+    assert all((got[k] == t) == (k % 2 == 0) for k, t in docs)
 
 
 PASSAGE = "\n".join(f"line {k} of a passage that many documents share word for word" for k in range(8))

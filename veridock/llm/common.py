@@ -105,7 +105,10 @@ def join_groups(df: DataFrame, keys: list[str], unit: str, partial: list[Column]
 
 
 def join_hot(df: DataFrame, key: str, unit: str, table: DataFrame, how: str = "inner") -> DataFrame:
-    """``df`` joined with the one row of ``table`` for each key, where many rows of ``df`` may share a key."""
+    """``df`` joined with the one row of ``table`` for each key, where many rows of ``df`` may share a key.
+
+    Parts of a key, dealt by a hash of column ``unit``, fetch its row once each.
+    """
     salted = df.withColumn("salt_", F.pmod(F.xxhash64(unit), F.lit(SALTS)))
     found = salted.select(key, "salt_").distinct().join(table.hint("merge"), key)
     return salted.join(found.hint("merge"), [key, "salt_"], how).drop("salt_")
