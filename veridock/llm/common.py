@@ -76,14 +76,31 @@ def shared_dir(spark: SparkSession) -> str:
 def write_table(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder and read it back.
 
-    The table survives lost executors and is removed when the application ends.
+    The table survives lost executors; ``drop_table`` removes it, at the latest the
+    end of the application does.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/veridock/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_at = path
+    release_shuffles(spark)
+    return table
+
+
+def drop_table(*tables: DataFrame) -> None:
+    """Remove tables of ``write_table`` that nothing unwritten depends on any more."""
+    for table in tables:
+        spark = table.sparkSession
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(table.written_at)
+        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let the driver notice that finished jobs' shuffles aren't referred to, so executors delete their files now and not in half an hour."""
+    spark._jvm.System.gc()
 
 
 #: A group of any size is dealt into so many parts before it is aggregated or joined.
@@ -104,20 +121,23 @@ def join_groups(df: DataFrame, keys: list[str], unit: str, partial: list[Column]
     return salted.join(dealt.hint("merge"), [*keys, "salt_"]).drop("salt_")
 
 
-def join_hot(df: DataFrame, key: str, unit: str, table: DataFrame, how: str = "inner") -> DataFrame:
+def join_hot(df: DataFrame, key: str | list[str], unit: str, table: DataFrame, how: str = "inner") -> DataFrame:
     """``df`` joined with the one row of ``table`` for each key, where many rows of ``df`` may share a key.
 
     Parts of a key, dealt by a hash of column ``unit``, fetch its row once each.
     """
+    keys = [key] if isinstance(key, str) else key
     salted = df.withColumn("salt_", F.pmod(F.xxhash64(unit), F.lit(SALTS)))
-    found = salted.select(key, "salt_").distinct().join(table.hint("merge"), key)
-    return salted.join(found.hint("merge"), [key, "salt_"], how).drop("salt_")
+    found = salted.select(*keys, "salt_").distinct().join(table.hint("merge"), keys)
+    return salted.join(found.hint("merge"), [*keys, "salt_"], how).drop("salt_")
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder, for small tables that are used again."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    kept = df.checkpoint()
+    release_shuffles(df.sparkSession)
+    return kept
 
 
 def broadcast_if_small(df: DataFrame, size: Column | None = None) -> tuple[DataFrame, bool]:

@@ -27,11 +27,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import map_slices
-from .common import WORD, back, by_position, checkpoint, join_groups, join_hot, pick, write_table
+from .common import WORD, back, by_position, checkpoint, drop_table, join_groups, join_hot, pick, write_table
 
 SHINGLE = 5
 THRESHOLD = 0.8
-BANDS, ROWS = 40, 7
+#: A pair at the threshold shares a band with a probability of 0.9998; what shares one by chance costs little, as the set join drops it.
+BANDS, ROWS = 22, 5
 #: While rare shingles bring more meetings a document than this, counted once a shingle, each is tried against one document
 #: per shingle first, as long as a turn halves their number.
 OPEN_MEETINGS = 200
@@ -112,7 +113,7 @@ def _bag(text: str | None) -> tuple[np.ndarray, np.ndarray, list[str]]:
 
 
 def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """row, doc_id, th, body (digest of the word sequence), n (shingles), bands (hash per band)."""
+    """row, doc_id, th, body (digest of the word sequence), n (shingles), buckets (one per band: a hash of band number and components)."""
 
     def run(row, ids, ths, texts):
         bags, bodies = [], []
@@ -122,12 +123,12 @@ def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
             bodies.append(xxhash.xxh3_128_digest(" ".join(words)))
         sig = bag_signatures(bags, bands * rows)
         with np.errstate(over="ignore"):
-            keys = np.zeros((len(bags), bands), _U)
+            keys = np.tile(np.arange(1, bands + 1, dtype=_U), (len(bags), 1))
             for k in range(rows):
                 keys = _mix(keys * _U(0x9E3779B97F4A7C15) + sig[:, k::rows])
         return [row, ids, ths, bodies, [int(w.sum()) for _, w in bags], list(keys.view(np.int64))]
 
-    return map_slices(docs.select("row", "doc_id", "th", "text"), run, "row long, doc_id long, th long, body binary, n long, bands array<long>")
+    return map_slices(docs.select("row", "doc_id", "th", "text"), run, "row long, doc_id long, th long, body binary, n long, buckets array<long>")
 
 
 def fitting(threshold: float):
@@ -259,35 +260,39 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
     # Names hold because they are written before anything uses them.
     sigs = write_table(signatures(table.withColumn("row", F.monotonically_increasing_id()), bands, rows), "near_sigs")
     member = join_groups(sigs.select("row", "doc_id", "th", "body"), ["body"], "row", [F.min("row").alias("rep")], [F.min("rep").alias("rep")])
-    member = checkpoint(member.select("row", "doc_id", "th", "rep"))
+    member = write_table(member.select("row", "doc_id", "th", "rep"), "near_same")
     reps = sigs.join(member.where("row = rep").select("row"), "row", "left_semi")
-    flat = reps.where("n > 0").select("row", F.posexplode("bands").alias("band", "h"))
-    inside = write_table(join_groups(flat, ["band", "h"], "row", [F.count(F.lit(1)).alias("k")], [F.sum("k").alias("k")], "k > 1"), "near_buckets")
+    flat = reps.where("n > 0").select("row", F.explode("buckets").alias("bucket"))
+    inside = write_table(join_groups(flat, ["bucket"], "row", [F.count(F.lit(1)).alias("k")], [F.sum("k").alias("k")], "k > 1"), "near_buckets")
     reach = checkpoint(inside.groupBy("row").agg(F.sum("k").alias("reach")))
     where = reach.join(sigs, "row").select("row", F.col("doc_id").alias("d"), F.col("th").alias("t"))
     texts = table.join(where, table["doc_id"].eqNullSafe(where["d"]) & (table["th"] == where["t"])).select("row", "text").dropDuplicates(["row"])
     texts = write_table(texts, "near_texts")
     # A bucket's hub is its member with most company over all bands: the middle of a group, and the same one in most of its buckets.
     best = F.max(F.struct("reach", (-F.col("row")).alias("r"))).alias("hub")
-    hubs = join_groups(inside.join(reach, "row"), ["band", "h"], "row", [best], [F.max("hub").alias("hub")])
-    first = checkpoint(hubs.select(F.col("row").alias("a"), (-F.col("hub.r")).alias("b")).where("a <> b").distinct())
+    hubs = join_groups(inside.join(reach, "row"), ["bucket"], "row", [best], [F.max("hub").alias("hub")])
+    drop_table(sigs)
+    first = write_table(hubs.select(F.col("row").alias("a"), (-F.col("hub.r")).alias("b")).where("a <> b").distinct(), "near_pairs")
     links = write_table(verify(first, texts, threshold), "near_links")
     comp = checkpoint(components(reach.select("row"), links))
-    mixed = join_groups(inside.join(comp, "row"), ["band", "h"], "row", [F.min("comp").alias("lo"), F.max("comp").alias("hi")], [F.min("lo").alias("lo"), F.max("hi").alias("hi")], "lo < hi")
+    mixed = join_groups(inside.join(comp, "row"), ["bucket"], "row", [F.min("comp").alias("lo"), F.max("comp").alias("hi")], [F.min("lo").alias("lo"), F.max("hi").alias("hi")], "lo < hi")
     postings = write_table(rare_postings(texts.join(mixed.select("row").distinct(), "row", "left_semi"), threshold), "near_postings")
+    drop_table(inside, first)
     turn, before = 0, None
     while True:
-        shared = checkpoint(open_shingles(postings, comp))
+        shared = write_table(open_shingles(postings, comp), "near_open")
         documents, meetings = shared.agg(F.count_distinct("row"), F.sum(F.when(F.col("comp") != F.col("major"), F.col("total")))).first()
         if (meetings or 0) <= OPEN_MEETINGS * documents or before is not None and meetings > before / 2:
             break
         comp = checkpoint(joined_classes(comp, write_table(verify(hub_pairs(shared, turn), texts, threshold), "near_hub_links")))
+        drop_table(shared)
         turn, before = turn + 1, meetings
-    rest = checkpoint(open_pairs(shared, threshold))
+    rest = write_table(open_pairs(shared, threshold), "near_rest")
     comp = checkpoint(joined_classes(comp, write_table(verify(rest, texts, threshold), "near_more")))
+    drop_table(postings, shared, rest, texts, links)
     classed = join_hot(member, "rep", "row", comp.withColumnRenamed("row", "rep"), "left").select("doc_id", "th", "row", F.coalesce("comp", "rep").alias("comp"))
     first_row = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row")
-    classed = join_groups(checkpoint(classed), ["comp"], "row", [F.min(first_row).alias("k"), F.count(F.lit(1)).alias("class_size")], [F.min("k").alias("k"), F.sum("class_size").alias("class_size")])
+    classed = join_groups(write_table(classed, "near_classes"), ["comp"], "row", [F.min(first_row).alias("k"), F.count(F.lit(1)).alias("class_size")], [F.min("k").alias("k"), F.sum("class_size").alias("class_size")])
     return classed.select("doc_id", "th", F.col("k.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("k.row")).alias("kept"))
 
 
