@@ -7,7 +7,9 @@ the same level and name are byte-equal after lower-casing A-Z, and only those.
 
 Blocks travel as two 64-bit hashes. Contents behind equal hashes are compared
 over the whole corpus before the hashes may stand for them; on a collision the
-blocks are hashed again with another seed, so names are free of collisions.
+blocks are hashed again with another seed, so names are free of collisions. A
+block or a text may stand in any share of all rows: rows of one name are dealt
+into parts for every join.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, checkpoint, name_by_sort, pick, write_table
+from .common import ascii_lower, checkpoint, join_groups, join_hot, name_by_sort, pick, write_table
 
 BLOCK_BYTES = 4096
 
@@ -59,7 +61,7 @@ def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     )
     flat = rows.select("row", F.size("hs").alias("left"), F.posexplode("hs").alias("pos", "h")).select("row", "left", "pos", "h.h1", "h.h2")
     names = name_by_sort(flat, "h1", "h2")
-    current = flat.join(names, ["h1", "h2"]).select("row", "left", "pos", "name")
+    current = join_hot(flat, ["h1", "h2"], "row", names).select("row", "left", "pos", "name")
     longest = rows.agg(F.max(F.size("hs"))).first()[0] or 1
     done, level = [], 0
     while True:
@@ -73,16 +75,15 @@ def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         )
         pairs = checkpoint(pairs)
         names = name_by_sort(pairs, "a", "b")
-        current = pairs.join(names, ["a", "b"]).select("row", F.expr("cast((left + 1) div 2 as int)").alias("left"), F.col("at").alias("pos"), "name")
+        current = join_hot(pairs, ["a", "b"], "row", names).select("row", F.expr("cast((left + 1) div 2 as int)").alias("left"), F.col("at").alias("pos"), "name")
         longest, level = (longest + 1) // 2, level + 1
     identity = done[0]
     for part in done[1:]:
         identity = identity.unionByName(part)
     named = checkpoint(rows.select("row", "doc_id", "text_sha256").join(identity, "row"))
-    groups = named.groupBy("level", "name").agg(
-        F.max(F.struct("doc_id", (-F.col("row")).alias("r"))).alias("keep"), F.count(F.lit(1)).alias("group_size")
-    )
-    return named.join(groups, ["level", "name"]).select(
+    best = F.max(F.struct("doc_id", (-F.col("row")).alias("r"))).alias("keep")
+    grouped = join_groups(named, ["level", "name"], "row", [best, F.count(F.lit(1)).alias("group_size")], [F.max("keep").alias("keep"), F.sum("group_size").alias("group_size")])
+    return grouped.select(
         "doc_id",
         F.col("keep.doc_id").alias("keep_id"),
         "group_size",
