@@ -1,6 +1,7 @@
 """Exact dedup, decontamination and license scans against brute force, with edge cases."""
 
 import hashlib
+import math
 import re
 import string
 
@@ -8,6 +9,7 @@ import pytest
 
 from veridock.llm.decontaminate import decontaminate, find_windows, without_contaminated
 from veridock.llm.exact_dedup import exact_dedup
+from veridock.llm import licenses
 from veridock.llm.licenses import BASE_PHRASES, license_scan
 from veridock.llm.common import WORD
 
@@ -153,6 +155,43 @@ def test_license_base_is_brute_force(spark):
     assert license_scan(clashing(spark, LICENSED)).count() == len(LICENSED)
 
 
+def brute_licenses(texts):
+    """(labels, score) of every text: every template tried at every place of every text."""
+    rows, docs = licenses.template_rows(), [words(t) for t in texts]
+    df = {w: sum(w in set(d) for d in docs) for r in rows for w in r[3]}
+    idf = {w: math.log(1 + (len(docs) + 1) / (n + 1)) for w, n in df.items()}
+    weight = [sum(idf[w] for w in r[3]) for r in rows]
+    longest = {r[2]: max(x for x, q in zip(weight, rows, strict=True) if q[2] == r[2]) for r in rows}
+    out = []
+    for d in docs:
+        labels, score = set(), 0.0
+        for own, (_, kind, label, ws, key, key_at) in zip(weight, rows, strict=True):
+            first = sorted((-idf[w], k, w) for k, w in enumerate(ws) if ws.index(w) == k)
+            rare = first[: 1 if kind == "base" else licenses.RARE_WORDS]
+            for at in range(-len(ws), len(d)):
+                if at + key_at < 0 or d[at + key_at : at + key_at + len(key)] != key:
+                    continue
+                stands = lambda k, w: 0 <= at + k < len(d) and d[at + k] == w  # noqa: B023, E731
+                agree = sum(-n for n, k, w in rare if stands(k, w))
+                if kind == "base" or agree and agree >= licenses.AGREE * sum(-n for n, _, _ in rare) - 1e-9:
+                    labels.add(label)
+                    share = sum(idf[w] for k, w in enumerate(ws) if stands(k, w))
+                    score = max(score, share / (longest[label] if kind == "base" else own))
+        out.append((",".join(sorted(labels)), round(min(1.0, score), 4)))
+    return out
+
+
+def test_license_labels_and_score_are_brute_force(spark):
+    """Whole wordings score near 1, damaged ones less, mentions little; also cut at the start and in a long text."""
+    mit, bsd, apache = (licenses.TEXTS[k][1] for k in (0, 1, 5))
+    texts = [t for _, t in LICENSED] + [f"x y {mit} z", mit.replace("Software", "Work"), bsd, " ".join(bsd.split()[20:]), "le " * 3000 + mit + " le" * 3000, apache, "mit mit mit", "see the MIT license"]
+    got = sorted(license_scan(table(spark, list(enumerate(texts)))).collect())
+    want = brute_licenses(texts)
+    assert [(r.labels, round(r.score, 4)) for r in got] == want
+    by_text = {t: w for t, w in zip(texts, want, strict=True)}
+    assert by_text[f"x y {mit} z"] == ("mit", 1.0) and 0 < by_text["see the MIT license"][1] < 0.2 and by_text["mit mit mit"] == ("", 0.0)
+
+
 def test_license_templates_need_their_key_phrase(spark):
     rows = {r.doc_id: r for r in license_scan(table(spark, LICENSED[:10])).collect()}
     assert rows[7].labels == "mit" and rows[7].n_base == 0 and rows[7].score == 1.0
