@@ -3,8 +3,10 @@
 Terms are words and their first letters, hashed into buckets. Every term has a
 weight and a vector; the product of two vectors is the weight of the pair, so an
 insult beside a group mention can count for more than either alone. Buckets are
-chosen by their association with the label over the training rows, counted on
-the cluster; only the chosen buckets of a bounded sample reach the trainer.
+chosen by their association with the label, over all labelled training rows and
+again over those that hold a suspicious bucket, so that a term which tells nothing
+alone can still enter pairs. Both are counted on the cluster; only the chosen
+buckets of a bounded sample of rows reach the trainer.
 """
 
 from __future__ import annotations
@@ -20,13 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_slices
-from .common import WORD, checkpoint, pick
+from .common import WORD, back, broadcast_if_small, by_position, checkpoint, drop_table, pick, write_table
 
 BUCKETS = 1 << 20
 #: Bound of the labelled sample that the model is fitted on (rows in order of a hash of doc_id).
 MAX_TRAIN_ROWS = 20_000
-#: Bound of the buckets that get weights.
-MAX_FEATURES = 4096
+#: Least chi-square against the label, and least rows, of a bucket that gets weights.
+LEAST_GAIN, LEAST_ROWS = 6.0, 3
 FACTORS = 8
 _WORD = re.compile(WORD)
 _CACHE: dict[str, tuple[int, ...]] = {}
@@ -116,30 +118,46 @@ def fit(features: list[list[int]], labels: list[int], n: int, epochs: int = 20,
     return bias, w, v
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, max_features: int = MAX_FEATURES) -> FactorizationMachine:
-    """Fit on labelled rows whose crc32(doc_id as text) mod 5 is not 0; without any, every score is near 0."""
-    known = pick(labels, doc_id="doc_id", toxic="toxic").where("doc_id IS NOT NULL AND toxic IS NOT NULL")
-    known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sample = checkpoint(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
-    texts = pick(docs, doc_id="doc_id", text="text").join(F.broadcast(sample), "doc_id").select("toxic", "text")
-
-    def buckets(toxic, text):
-        return [[int(x > 0) for x in toxic], [sorted(text_buckets(t)) for t in text]]
-
-    rows = map_slices(texts, buckets, "toxic int, buckets array<int>")
-    total, positive = sample.agg(F.count("*"), F.coalesce(F.sum((F.col("toxic") > 0).cast("int")), F.lit(0))).first()
+def associated(rows: DataFrame) -> list[tuple[int, bool]]:
+    """(bucket, if it is found in toxic rows more than twice as often) of the buckets associated with the label in these rows."""
+    total, positive = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    share = positive / max(total, 1)
     counts = rows.select("toxic", F.explode("buckets").alias("b")).groupBy("b").agg(F.count("*").alias("n"), F.sum("toxic").alias("p"))
-    # Chi-square of presence against the label; rare buckets carry no evidence.
-    expected = F.col("n") * F.lit(positive / max(total, 1))
+    expected = F.col("n") * F.lit(share)
     gain = (F.col("p") - expected) ** 2 / F.greatest(expected, F.lit(1e-9))
-    chosen = counts.where("n >= 3").select("b", gain.alias("gain")).where("gain >= 6").orderBy(F.desc("gain"), "b").limit(max_features).collect()
-    names = np.array(sorted(r["b"] for r in chosen), int)
+    # At most one row per bucket, of which there is a fixed number.
+    return [tuple(r) for r in counts.where((F.col("n") >= LEAST_ROWS) & (gain >= LEAST_GAIN)).select("b", F.col("p") > 2 * expected).collect()]
+
+
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> FactorizationMachine:
+    """Fit on labelled rows whose crc32(doc_id as text) mod 5 is not 0; without any, every score is near 0.
+
+    Buckets are chosen over all such rows, weights fitted on at most ``max_rows``
+    of them. A doc_id with several labels counts as toxic if one of them says so;
+    of its texts the one of smallest hash is taken.
+    """
+    known = pick(labels, doc_id="doc_id", toxic="toxic").where("doc_id IS NOT NULL AND toxic IS NOT NULL")
+    known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).groupBy("doc_id").agg(F.max(F.col("toxic") > 0).cast("int").alias("toxic"))
+    known, _ = broadcast_if_small(checkpoint(known), F.lit(16))
+
+    def buckets(ids, toxic, text):
+        return [ids, toxic, [sorted(text_buckets(t)) for t in text]]
+
+    texts = pick(docs, doc_id="doc_id", text="text").join(known, "doc_id").select("doc_id", "toxic", "text")
+    rows = write_table(map_slices(texts, buckets, "doc_id long, toxic int, buckets array<int>"), "toxic_terms")
+    marginal = associated(rows)
+    suspicious = sorted(b for b, more in marginal if more)
+    held = rows.where(F.arrays_overlap("buckets", F.array(*map(F.lit, suspicious)))) if suspicious else rows.limit(0)
+    names = np.array(sorted({b for b, _ in marginal} | {b for b, _ in associated(held)}), int)
     index = {int(b): k for k, b in enumerate(names)}
+    sample = checkpoint(rows.groupBy("doc_id").agg(F.min(F.hash("buckets")).alias("pick")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
+    one = rows.join(F.broadcast(sample), "doc_id").where(F.hash("buckets") == F.col("pick")).dropDuplicates(["doc_id"]).select("toxic", "buckets")
 
-    def kept(toxic, text):
-        return [[int(x > 0) for x in toxic], [sorted(index[b] for b in text_buckets(t) if b in index) for t in text]]
+    def kept(toxic, buckets):
+        return [toxic, [[index[b] for b in bs if b in index] for bs in buckets]]
 
-    data = map_slices(texts, kept, "toxic int, f array<int>").collect() if total else []
+    data = map_slices(one, kept, "toxic int, f array<int>").collect()
+    drop_table(rows)
     data.sort(key=lambda r: (r["toxic"], r["f"]))
     bias, w, v = fit([r["f"] for r in data], [r["toxic"] for r in data], len(names)) if data else (-6.0, np.zeros(len(names)), np.zeros((len(names), FACTORS)))
     return FactorizationMachine(names, float(bias), w, v)
@@ -170,7 +188,12 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The input rows, all columns, whose text the model doesn't call toxic."""
+    """The input rows, all columns, whose text the model doesn't call toxic.
+
+    Null and empty texts stay, unless the model's prior calls them toxic; repeated
+    rows stay or go together. Extra columns may have any names. An empty table
+    stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 
     @F.pandas_udf("boolean")
@@ -178,4 +201,5 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
         fm = shared.value
         return pd.Series([fm.score(text_buckets(t)) >= 0.5 for t in texts], dtype=bool)
 
-    return docs.where(~rejected("text"))
+    plain, at = by_position(docs)
+    return back(plain.where(~rejected(at["text"])), docs.columns)
