@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, checkpoint, pick, word_array
+from .common import back, broadcast_if_small, by_position, checkpoint, pick, word_array
 
 WINDOW = 10
 
@@ -64,11 +64,17 @@ def _grams(bench: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
 
 
 def without_contaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The input rows, all columns, in which no window of a benchmark item occurs."""
-    hits = find_windows(docs, _grams(bench, window)[1]).select(F.struct(F.col("doc_id").cast("long"), "th").alias("__key")).distinct()
-    keyed = docs.withColumn("__key", F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th")))
+    """The input rows, all columns, in which no window of a benchmark item occurs.
+
+    Null and empty texts stay; rows that repeat id and text stay or go together.
+    Extra columns may have any names. An empty table stays empty, and an empty
+    benchmark lets all rows stay.
+    """
+    hits = find_windows(docs, _grams(bench, window)[1]).select(F.struct(F.col("doc_id").cast("long"), "th").alias("key_")).distinct()
     hits, _ = broadcast_if_small(checkpoint(hits), F.lit(48))
-    return keyed.join(hits, "__key", "left_anti").drop("__key")
+    plain, at = by_position(docs)
+    keyed = plain.withColumn("key_", F.struct(F.col(at["doc_id"]).cast("long").alias("doc_id"), F.xxhash64(at["text"]).alias("th")))
+    return back(keyed.join(hits, "key_", "left_anti"), docs.columns)
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
