@@ -31,13 +31,15 @@ def traverse(seeds: DataFrame, links: DataFrame, known: DataFrame, depth: int =
         raise ValueError("depth must be between 0 and 3")
     ranked = links.withColumn("priority", relation_priority(F.col("relation")))
     fan = Window.partitionBy("source").orderBy("priority", "target")
-    limited = ranked.withColumn("slot", F.row_number().over(fan)).where(F.col("slot") <= max_fanout)
     visited = seeds.select("query", F.col("node").alias("target")).distinct()
     order = Window.partitionBy("query").orderBy("source")
     frontier = seeds.select("query", F.col("node").alias("source")).distinct().withColumn("turn", F.row_number().over(order))
     used = None
     out = None
     for level in range(1, depth + 1):
+        # Only links that leave the frontier are ranked.
+        near = ranked.join(frontier.select("source").distinct(), "source", "left_semi")
+        limited = near.withColumn("slot", F.row_number().over(fan)).where(F.col("slot") <= max_fanout)
         step = frontier.join(limited, "source")
         first = Window.partitionBy("query", "target").orderBy("turn", "slot")
         fresh = step.withColumn("seen", F.row_number().over(first)).where("seen = 1").join(visited, ["query", "target"], "left_anti")

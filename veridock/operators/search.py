@@ -6,6 +6,8 @@ only the top rows of a channel are sorted, ranked and fused.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,7 +20,10 @@ CHANNEL_WEIGHTS = {
     "structured_exact": 1.00, "clause_id": 0.95, "rule_source": 0.90, "linked_visual_table": 0.60, "fts_phrase": 0.55, "fts_entity": 0.40,
     "fts_korean_compound": 0.35, "fts_numeric": 0.20, "fts_token_and": 0.15, "fts_token_prefix_and": 0.12, "fts_concept": 0.10, "structural_context": 0.08,
 }
-K1, B = 1.2, 0.75
+#: Parameters of BM25, and the least weight of a term.
+K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+#: A table of queries that meets every row is broadcast; more of them are asked in blocks of this size.
+MOST_QUERIES = 10_000
 
 
 def postings(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -42,34 +47,51 @@ def has_prefixes(text: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [one(w) for w in words])
 
 
-def bm25(df: DataFrame, key: str, text: str, words: list[str], k: int) -> DataFrame:
-    """key, score: the k best rows that hold any of the words, Okapi BM25, ties by key. Two scans, no shuffle of text."""
-    words = list(dict.fromkeys(words))
-    base = df.select(key, tokens(F.col(text)).alias("ws"))
-
-    def occurrences(w: str) -> Column:
-        return F.size("ws") - F.size(F.array_remove("ws", w))
+def _ranked(counted: DataFrame, key: str, n_terms: int, every: bool, k: int) -> DataFrame:
+    """key, score: the k best rows by BM25 of ``dl`` tokens and term counts f0, f1, ..., ties by key.
 
-    tf = base.select(key, F.size("ws").alias("dl"), *[occurrences(w).alias(f"tf{i}") for i, w in enumerate(words)])
-    stats = tf.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))])
+    A term that more than half of the rows have counts almost nothing. Rows need
+    every term, or any. Two scans, no shuffle of text; stats are one row.
+    """
+    terms = range(n_terms)
+    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"df{i}") for i in terms])
 
     def part(i: int) -> Column:
-        idf = F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
-        f = F.col(f"tf{i}")
+        f, df = F.col(f"f{i}"), F.col(f"df{i}")
+        idf = F.greatest(F.log((F.col("n") - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
         return idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
 
-    hit = reduce(lambda a, b: a | b, [F.col(f"tf{i}") > 0 for i in range(len(words))])
-    score = F.round(reduce(lambda a, b: a + b, [part(i) for i in range(len(words))]), 6)
-    # stats is one row by construction
-    return tf.where(hit).crossJoin(F.broadcast(stats)).select(key, score.alias("score")).orderBy(F.desc("score"), key).limit(k)
+    hit = reduce(lambda a, b: a & b if every else a | b, [F.col(f"f{i}") > 0 for i in terms])
+    score = F.round(reduce(lambda a, b: a + b, [part(i) for i in terms]), 12)
+    return counted.where(hit).crossJoin(F.broadcast(stats)).select(key, score.alias("score")).orderBy(F.desc("score"), key).limit(k)
+
+
+def bm25(df: DataFrame, key: str, text: str, words: list[str], k: int) -> DataFrame:
+    """key, score: the k best rows that hold any of the words, by BM25, ties by key."""
+    return _ranked(counted(df, key, text, list(dict.fromkeys(words)), "fts_token_and"), key, len(set(words)), False, k)
+
+
+def _starts_with(word: str) -> Callable[[Column], Column]:
+    return lambda x: x.startswith(word)
+
+
+def counted(df: DataFrame, key: str, text: str, words: list[str], kind: str) -> DataFrame:
+    """key, dl, f0, f1, ...: a row's tokens and the places of each term: the whole phrase, a word, or what a word begins."""
+    base = df.select(key, tokens(F.col(text)).alias("__t"), token_text(F.col(text)).alias("__b"))
+    if kind == "fts_phrase":
+        # A space before the phrase is one place of it, also where places overlap.
+        places = [F.regexp_count("__b", F.lit(" (?=" + " ".join(map(re.escape, words)) + " )"))]
+    elif kind == "fts_token_and":
+        places = [F.size("__t") - F.size(F.array_remove("__t", w)) for w in words]
+    else:
+        places = [F.size(F.filter("__t", _starts_with(w))) for w in words]
+    return base.select(key, F.size("__t").alias("dl"), *[p.alias(f"f{i}") for i, p in enumerate(places)])
 
 
 def channel(df: DataFrame, key: str, text: str, words: list[str], kind: str, k: int) -> DataFrame:
-    """key, channel, rank, score 1/rank: top k of a channel, shortest texts first, ties by key."""
-    base = df.select(key, F.col(text), tokens(F.col(text)).alias("__t"))
-    test = {"fts_phrase": has_phrase, "fts_token_and": has_tokens, "fts_token_prefix_and": has_prefixes}[kind](F.col(text), words)
-    top = base.where(test).select(key, F.size("__t").alias("n")).orderBy("n", key).limit(k)
-    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy("n", key)))
+    """key, channel, rank, score 1/rank: top k of a channel by BM25 of its terms, ties by key."""
+    top = _ranked(counted(df, key, text, words, kind), key, 1 if kind == "fts_phrase" else len(words), True, k)
+    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)))
     return ranked.select(key, F.lit(kind).alias("channel"), "rank", (1 / F.col("rank")).alias("score"))
 
 
@@ -99,9 +121,11 @@ def neighbours(df: DataFrame, group: str, order: str, seeds: DataFrame, radius:
 def cascade(df: DataFrame, key: str, text: str, queries: DataFrame, k: int = 5) -> DataFrame:
     """q, stage, key, rank: per query the hits of its first stage that has any.
 
-    ``queries`` (q, terms) is a small table of the driver's making. Stages:
-    1 phrase, 2 all tokens, 3 all prefixes, 4 a shorter sub-query.
+    ``queries`` (q, terms) is a block of at most MOST_QUERIES; more are an error.
+    Stages: 1 phrase, 2 all tokens, 3 all prefixes, 4 a shorter sub-query.
     """
+    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
+        raise ValueError(f"ask at most {MOST_QUERIES} queries at once")
     base = df.select(key, token_text(F.col(text)).alias("body"), tokens(F.col(text)).alias("ws"))
     asked = queries.select("q", "terms", F.transform(sub_queries(F.col("terms")), lambda s: F.concat(F.lit(" "), s, F.lit(" "))).alias("subs"))
     pairs = base.crossJoin(F.broadcast(asked))

@@ -13,10 +13,6 @@ QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
 
-#: A condition that holds for every row.
-EVERY = "true"
-
-
 def query(sql: str | None):
     def keep(fn):
         QUERIES[fn.__name__] = fn
@@ -27,20 +23,6 @@ def query(sql: str | None):
     return keep
 
 
-def whole(fn, prefix: str, all_rows: str, queries: dict, oracle: dict) -> None:
-    """Register NAME_whole: ``fn`` over whole tables, beside the query of a subset that its own SQL fixes."""
-    sql = oracle[fn.__name__]
-    if prefix not in sql:
-        raise ValueError(f"{fn.__name__}: SQL without {prefix}")
-
-    def run(spark, sf):
-        return fn(spark, sf, EVERY)
-
-    run.__name__ = f"{fn.__name__}_whole"
-    queries[run.__name__] = run
-    oracle[run.__name__] = sql.replace(prefix, all_rows)
-
-
 def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -159,17 +141,17 @@ def citation_mismatch_codes(spark, sf):
     return t(spark, sf, "orders").where("o_totalprice > 490000").join(c, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", code.alias("code"))
 
 
-@query("""WITH claims AS (SELECT o_orderkey claim_id, [o_orderpriority] issue_ids FROM orders WHERE o_orderkey < 3000),
+@query("""WITH claims AS (SELECT o_orderkey claim_id, [o_orderpriority] issue_ids FROM orders),
 cit AS (SELECT l_orderkey claim_id, l_returnflag <> 'R' resolved, [CASE WHEN l_linestatus = 'F' THEN '1-URGENT' ELSE '5-LOW' END] issues FROM lineitem WHERE l_quantity > 45)
 SELECT claim_id, 'UNCITED' code FROM claims WHERE claim_id NOT IN (SELECT claim_id FROM cit)
 UNION SELECT c.claim_id, CASE WHEN NOT t.resolved THEN 'UNRESOLVED' ELSE 'CROSS_ISSUE' END FROM claims c JOIN cit t USING (claim_id) WHERE NOT t.resolved OR NOT list_has_any(c.issue_ids, t.issues)""")
-def claim_validation(spark, sf, rows="o_orderkey < 3000"):
+def claim_validation(spark, sf):
     lines = t(spark, sf, "lineitem").where("l_quantity > 45").select(
         "l_orderkey", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("citation_id"), (F.col("l_returnflag") != "R").alias("resolved"),
         F.array(F.when(F.col("l_linestatus") == "F", "1-URGENT").otherwise("5-LOW")).alias("issue_ids"),
     )
     cited = lines.groupBy("l_orderkey").agg(F.collect_set("citation_id").alias("citation_ids"))
-    orders = t(spark, sf, "orders").where(rows).select("o_orderkey", F.array("o_orderpriority").alias("issue_ids"))
+    orders = t(spark, sf, "orders").select("o_orderkey", F.array("o_orderpriority").alias("issue_ids"))
     claims = orders.join(cited, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.col("o_orderkey").alias("claim_id"), "issue_ids", F.coalesce("citation_ids", F.array().cast("array<string>")).alias("citation_ids"))
     return lineage.validate_claims(claims, lines.select("citation_id", "issue_ids", "resolved").dropDuplicates(["citation_id"]))
 
@@ -233,9 +215,9 @@ def reconcile_issue_results(spark, sf):
     return t(spark, sf, "customer").join(counts, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", n.alias("n_claims"), r.alias("n_rejected"), status.alias("status"))
 
 
-@query("""SELECT o_orderkey, list_sort(list(DISTINCT l_returnflag || ':' || l_linestatus)) lineage FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey < 2000 GROUP BY 1""")
-def collected_lineage(spark, sf, rows="l_orderkey < 2000"):
-    pairs = t(spark, sf, "lineitem").where(rows).join(t(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+@query("""SELECT o_orderkey, list_sort(list(DISTINCT l_returnflag || ':' || l_linestatus)) lineage FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1""")
+def collected_lineage(spark, sf):
+    pairs = t(spark, sf, "lineitem").join(t(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     return pairs.groupBy("o_orderkey").agg(F.array_sort(F.collect_set(F.concat_ws(":", "l_returnflag", "l_linestatus"))).alias("lineage"))
 
 
@@ -261,9 +243,9 @@ def set_equality_check(spark, sf):
     return lineage.set_equal(o, o.where("o_orderkey % 11 <> 0")).select("only_left", F.col("only_right").cast("int").alias("only_right"))
 
 
-@query("""SELECT l_returnflag, l_linestatus, count(*) n, count(DISTINCT l_quantity) n_values, count(DISTINCT l_quantity) > 1 AS conflict FROM lineitem WHERE l_orderkey < 500 GROUP BY 1, 2""")
-def conflict_groups(spark, sf, rows="l_orderkey < 500"):
-    return t(spark, sf, "lineitem").where(rows).groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("l_quantity").alias("n_values"), (F.count_distinct("l_quantity") > 1).alias("conflict"))
+@query("""SELECT l_returnflag, l_linestatus, count(*) n, count(DISTINCT l_quantity) n_values, count(DISTINCT l_quantity) > 1 AS conflict FROM lineitem GROUP BY 1, 2""")
+def conflict_groups(spark, sf):
+    return t(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("l_quantity").alias("n_values"), (F.count_distinct("l_quantity") > 1).alias("conflict"))
 
 
 @query("""SELECT sha256(text) source_hash, min(doc_id) id, count(*) n, count(DISTINCT source) > 1 conflict FROM documents GROUP BY 1""")
@@ -313,9 +295,9 @@ def sibling_links(spark, sf):
     return segments.siblings(t(spark, sf, "customer"), ["c_nationkey"], "c_custkey", "c_custkey")
 
 
-@query("""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) ordinal FROM lineitem WHERE l_orderkey < 1000""")
-def page_local_ordinal(spark, sf, rows="l_orderkey < 1000"):
-    lines = t(spark, sf, "lineitem").where(rows)
+@query("""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) ordinal FROM lineitem""")
+def page_local_ordinal(spark, sf):
+    lines = t(spark, sf, "lineitem")
     return segments.ordinal(lines, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "ordinal")
 
 
@@ -368,9 +350,9 @@ def transition_check(spark, sf):
     return eventlog.check_sequence(events, "user_id", "event_id", "state", F.lit("TRANSITION")).select("user_id", "event_id", "error")
 
 
-@query("""SELECT event_id, k path, CASE WHEN event_id % 2 = 0 THEN 'CHANGED' ELSE 'REMOVED' END kind FROM (SELECT event_id, 'k' k FROM events WHERE event_id % 3 = 0) WHERE event_id % 2 = 0 OR event_id % 3 = 0""")
-def json_diff(spark, sf, rows="event_id % 3 = 0"):
-    e = t(spark, sf, "events").where(rows)
+@query("""SELECT event_id, k path, CASE WHEN event_id % 2 = 0 THEN 'CHANGED' ELSE 'REMOVED' END kind FROM (SELECT event_id, 'k' k FROM events)""")
+def json_diff(spark, sf):
+    e = t(spark, sf, "events")
     left = lineage.json_entries(e, "event_id", "props")
     right = lineage.json_entries(e.where("event_id % 2 = 0").select("event_id", F.lit('{"k": -1}').alias("props")), "event_id", "props")
     return lineage.structural_diff(left, right, ["event_id", "path"], "value").select("event_id", "path", "kind")
@@ -402,9 +384,3 @@ def sessions(spark, sf):
     marked = t(spark, sf, "events").withColumn("p", F.lag("ts").over(w)).withColumn("session", F.sum(gap.cast("int")).over(w))
     return marked.groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("n"))
 
-
-for _fn, _prefix in (
-    (claim_validation, " WHERE o_orderkey < 3000"), (collected_lineage, " WHERE o_orderkey < 2000"), (conflict_groups, " WHERE l_orderkey < 500"), (page_local_ordinal, " WHERE l_orderkey < 1000"),
-):
-    whole(_fn, _prefix, "", QUERIES, ORACLE)
-whole(json_diff, " WHERE event_id % 3 = 0) WHERE event_id % 2 = 0 OR event_id % 3 = 0", ")", QUERIES, ORACLE)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veridock.functions import geometry, numbers, text
 from veridock.functions.canonical import canonical_json, content_id
 from veridock.operators import budgets, graph, review, rules, search, segments
-from veridock.plans.relational import t, whole
+from veridock.plans.relational import t
 from veridock.sources import evidence
 
 QUERIES: dict = {}
@@ -58,7 +58,7 @@ def postings_terms(spark, sf):
 
 BM25 = f"""WITH d AS (SELECT doc_id, {TOK} w FROM documents), s AS (SELECT count(*) n, avg(len(w)) avgdl FROM d), q AS (SELECT unnest(['the', 'was', 'this']) term),
 tf AS (SELECT doc_id, len(w) dl, term, len(list_filter(w, lambda x: x = term)) f FROM d, q), df AS (SELECT term, count_if(f > 0) df FROM tf GROUP BY 1)
-SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) score FROM tf JOIN df USING (term), s WHERE f > 0 GROUP BY 1 ORDER BY score DESC, doc_id LIMIT 20"""
+SELECT doc_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))), 12) score FROM tf JOIN df USING (term), s WHERE f > 0 GROUP BY 1 ORDER BY score DESC, doc_id LIMIT 20"""
 
 
 @query(BM25)
@@ -66,10 +66,24 @@ def bm25_topk(spark, sf):
     return search.bm25(_docs(spark, sf), "doc_id", "text", ["the", "was", "this"], 20)
 
 
-@query(f"""WITH d AS (SELECT doc_id, {TOK} w, {BODY} b FROM documents), h AS (
-SELECT * FROM (SELECT doc_id, 'fts_phrase' c, row_number() OVER (ORDER BY len(w), doc_id) r FROM d WHERE contains(b, ' of the ')) WHERE r <= 20
-UNION ALL SELECT * FROM (SELECT doc_id, 'fts_token_and', row_number() OVER (ORDER BY len(w), doc_id) r FROM d WHERE list_contains(w, 'of') AND list_contains(w, 'the')) WHERE r <= 20
-UNION ALL SELECT * FROM (SELECT doc_id, 'fts_token_prefix_and', row_number() OVER (ORDER BY len(w), doc_id) r FROM d WHERE len(list_filter(w, lambda x: starts_with(x, 'of'))) > 0 AND len(list_filter(w, lambda x: starts_with(x, 'the'))) > 0) WHERE r <= 20)
+def _channel_sql(name: str, counts: list[str]) -> str:
+    """A channel's 20 best rows: BM25 over the counts f0, f1, ... of its terms."""
+    fs = ", ".join(f"{c} f{i}" for i, c in enumerate(counts))
+    dfs = ", ".join(f"count_if(f{i} > 0) df{i}" for i in range(len(counts)))
+    score = " + ".join(f"greatest(ln((n - df{i} + 0.5) / (df{i} + 0.5)), 1e-6) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i in range(len(counts)))
+    hit = " AND ".join(f"f{i} > 0" for i in range(len(counts)))
+    return f"""SELECT * FROM (SELECT doc_id, '{name}' c, row_number() OVER (ORDER BY round({score}, 12) DESC, doc_id) r
+FROM (SELECT doc_id, len(w) dl, {fs} FROM d) x, (SELECT count(*) n, avg(dl) avgdl, {dfs} FROM (SELECT len(w) dl, {fs} FROM d)) y WHERE {hit}) WHERE r <= 20"""
+
+
+CHANNELS = " UNION ALL ".join((
+    _channel_sql("fts_phrase", ["len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the'))"]),
+    _channel_sql("fts_token_and", ["len(list_filter(w, lambda x: x = 'of'))", "len(list_filter(w, lambda x: x = 'the'))"]),
+    _channel_sql("fts_token_prefix_and", ["len(list_filter(w, lambda x: starts_with(x, 'of')))", "len(list_filter(w, lambda x: starts_with(x, 'the')))"]),
+))
+
+
+@query(f"""WITH d AS (SELECT doc_id, {TOK} w FROM documents), h AS ({CHANNELS})
 SELECT doc_id, round(sum((1.0 / r) * CASE c WHEN 'fts_phrase' THEN 0.55 WHEN 'fts_token_and' THEN 0.15 ELSE 0.12 END), 6) final_score, string_agg(c, '|' ORDER BY c) channels FROM h GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20""")
 def reciprocal_rank_fusion(spark, sf):
     docs, words = _docs(spark, sf), ["of", "the"]
@@ -80,9 +94,9 @@ def reciprocal_rank_fusion(spark, sf):
     return search.fuse(hits, "doc_id").orderBy(F.desc("final_score"), "doc_id").limit(20)
 
 
-@query("""SELECT user_id, event_type channel, max(value) score, array_to_string(list_sort(list(DISTINCT props)), ' | ') detail FROM events WHERE event_id < 3000 GROUP BY 1, 2""")
-def merged_channels(spark, sf, rows="event_id < 3000"):
-    hits = t(spark, sf, "events").where(rows).select("user_id", F.col("event_type").alias("channel"), F.col("value").alias("score"), F.col("props").alias("detail"))
+@query("""SELECT user_id, event_type channel, max(value) score, array_to_string(list_sort(list(DISTINCT props)), ' | ') detail FROM events GROUP BY 1, 2""")
+def merged_channels(spark, sf):
+    hits = t(spark, sf, "events").select("user_id", F.col("event_type").alias("channel"), F.col("value").alias("score"), F.col("props").alias("detail"))
     return search.merge_details(hits, "user_id")
 
 
@@ -94,10 +108,13 @@ def fallback_cascade(spark, sf):
     return search.cascade(_docs(spark, sf), "doc_id", "text", asked, 5)
 
 
-@query(None)
+@query(f"""WITH i AS (SELECT item_id, {TOK} w, len({TOK}) n FROM benchmark),
+v AS (SELECT item_id, list_concat(CASE WHEN n >= 2 THEN [w[k] || w[k + 1] FOR k IN range(1, n)] ELSE [] END, CASE WHEN n >= 3 THEN [w[k] || w[k + 1] || w[k + 2] FOR k IN range(1, n - 1)] ELSE [] END) c,
+list_concat(CASE WHEN n >= 3 THEN [array_to_string(list_concat(w[1:k - 1], w[k + 1:]), ' ') FOR k IN range(1, n + 1)] ELSE [] END, CASE WHEN n > 3 THEN [array_to_string(w[k:k + 2], ' ') FOR k IN range(1, n - 1)] ELSE [] END, CASE WHEN n > 2 THEN [array_to_string(w[k:k + 1], ' ') FOR k IN range(1, n)] ELSE [] END) s FROM i)
+SELECT item_id, list_filter(c, lambda x, k: list_position(c, x) = k) compounds, list_filter(s, lambda x, k: list_position(s, x) = k)[1:10] sub_queries FROM v""")
 def query_variants(spark, sf):
-    """Compounds and sub-queries of the first words of each benchmark item."""
-    words = F.slice(text.tokens(F.col("text")), 1, 5)
+    """Compounds and sub-queries of each benchmark item."""
+    words = text.tokens(F.col("text"))
     return t(spark, sf, "benchmark").select("item_id", text.compounds(words).alias("compounds"), text.sub_queries(words).alias("sub_queries"))
 
 
@@ -107,7 +124,7 @@ k AS (SELECT 'o' || o_orderkey node FROM orders WHERE o_orderkey % 5 <> 0 UNION
 f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY pr, target) slot FROM e) WHERE slot <= 6)"""
 
 
-@query(f"""WITH {EDGES}, s AS (SELECT 'c' || c_custkey node, c_custkey qid FROM customer WHERE c_custkey % 50 = 0),
+@query(f"""WITH {EDGES}, s AS (SELECT 'c' || c_custkey node, c_custkey qid FROM customer),
 l1 AS (SELECT qid, target, source, relation, slot, target IN (SELECT node FROM k) found FROM s JOIN f ON f.source = s.node),
 b1 AS (SELECT *, coalesce(sum(found::INT) OVER (PARTITION BY qid ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) bf FROM l1), k1 AS (SELECT * FROM b1 WHERE bf < 12),
 fr AS (SELECT qid, target source, row_number() OVER (PARTITION BY qid ORDER BY slot) turn FROM k1 WHERE found), u AS (SELECT qid, count_if(found) used FROM k1 GROUP BY 1),
@@ -115,23 +132,23 @@ x2 AS (SELECT fr.qid, f.target, f.source, f.relation, fr.turn, f.slot, row_numbe
 l2 AS (SELECT qid, target, source, relation, turn, slot, target IN (SELECT node FROM k) found FROM x2 WHERE seen = 1 AND (qid, target) NOT IN (SELECT (qid, target) FROM k1)),
 b2 AS (SELECT *, coalesce(sum(found::INT) OVER (PARTITION BY qid ORDER BY turn, slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) bf FROM l2)
 SELECT qid "query", target, source, relation, 1 depth, found FROM k1 UNION ALL SELECT b2.qid, target, source, relation, 2, found FROM b2 JOIN u ON u.qid = b2.qid WHERE bf + used < 12""")
-def bfs_budgeted(spark, sf, rows="c_custkey % 50 = 0"):
+def bfs_budgeted(spark, sf):
     o, p = t(spark, sf, "orders"), t(spark, sf, "part")
     kind = F.when(F.col("o_orderstatus") == "F", "exception").when(F.col("o_orderstatus") == "O", "parent").otherwise("table")
     links = o.select(F.concat(F.lit("c"), "o_custkey").alias("source"), F.concat(F.lit("o"), "o_orderkey").alias("target"), kind.alias("relation"))
     links = links.union(t(spark, sf, "lineitem").select(F.concat(F.lit("o"), "l_orderkey"), F.concat(F.lit("p"), "l_partkey"), F.lit("cited_clause")).distinct())
     known = o.where("o_orderkey % 5 <> 0").select(F.concat(F.lit("o"), "o_orderkey").alias("node")).union(p.where("p_partkey % 7 <> 0").select(F.concat(F.lit("p"), "p_partkey")))
     known = known.select("node", F.lit(True).alias("is_known"), F.lit(None).cast("string").alias("stale"))
-    seeds = t(spark, sf, "customer").where(rows).select(F.col("c_custkey").alias("query"), F.concat(F.lit("c"), "c_custkey").alias("node"))
+    seeds = t(spark, sf, "customer").select(F.col("c_custkey").alias("query"), F.concat(F.lit("c"), "c_custkey").alias("node"))
     return graph.traverse(seeds, links, known, depth=2).select("query", "target", "source", "relation", "depth", "found")
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey % 25 s, (c_nationkey * 7 + c_custkey % 3) % 25 d FROM customer WHERE c_custkey < 60), r(node) AS (SELECT 3 UNION SELECT d FROM e JOIN r ON e.s = r.node) SELECT node FROM r""")
-def transitive_staleness(spark, sf, rows="c_custkey < 60"):
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey % 25 s, (c_nationkey * 7 + c_custkey % 3) % 25 d FROM customer), r(node) AS (SELECT 3 UNION SELECT d FROM e JOIN r ON e.s = r.node) SELECT node FROM r""")
+def transitive_staleness(spark, sf):
     from veridock.sources.session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(spark)
-    c = t(spark, sf, "customer").where(rows)
+    c = t(spark, sf, "customer")
     edges = c.select((F.col("c_nationkey") % 25).cast("int").alias("source"), ((F.col("c_nationkey") * 7 + F.col("c_custkey") % 3) % 25).cast("int").alias("target")).distinct()
     return graph.closure(edges, spark.createDataFrame([(3,)], "node int"))
 
@@ -153,11 +170,11 @@ def issue_roundrobin_budget(spark, sf):
     return budgets.requests_for_issues(req).select("issue", "request", "place", "selected")
 
 
-@query("""WITH c AS (SELECT l_suppkey g, l_returnflag bucket, l_partkey item, row_number() OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey) rank FROM lineitem WHERE l_orderkey < 3000),
+@query("""WITH c AS (SELECT l_suppkey g, l_returnflag bucket, l_partkey item, row_number() OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey) rank FROM lineitem),
 o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY g, item ORDER BY rank, bucket) n FROM c) WHERE n = 1)
 SELECT g, item, place FROM (SELECT g, item, row_number() OVER (PARTITION BY g ORDER BY rank, bucket, item) place FROM o) WHERE place <= 80""")
-def global_interleave(spark, sf, rows="l_orderkey < 3000"):
-    lines = t(spark, sf, "lineitem").where(rows).select(F.col("l_suppkey").alias("g"), F.col("l_returnflag").alias("bucket"), F.col("l_partkey").alias("item"), "l_orderkey", "l_linenumber")
+def global_interleave(spark, sf):
+    lines = t(spark, sf, "lineitem").select(F.col("l_suppkey").alias("g"), F.col("l_returnflag").alias("bucket"), F.col("l_partkey").alias("item"), "l_orderkey", "l_linenumber")
     ranked = segments.ordinal(lines, ["g", "bucket"], ["l_orderkey", "l_linenumber", "item"], "rank")
     return budgets.interleave(ranked, ["g"], 80).where("selected").select("g", "item", "place")
 
@@ -246,9 +263,9 @@ def review_readiness(spark, sf):
     return review.review_readiness(att, "run").select("run", "state")
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_tax = 0 THEN 'DIVISION_BY_ZERO' ELSE 'SUCCESS' END status, CASE WHEN l_tax > 0 THEN CASE WHEN CAST(l_discount AS DECIMAL(10,4)) < CAST(l_tax AS DECIMAL(10,4)) * 2 THEN 'BELOW_THRESHOLD' WHEN CAST(l_discount AS DECIMAL(10,4)) > CAST(l_tax AS DECIMAL(10,4)) * 2 THEN 'ABOVE_THRESHOLD' ELSE 'AT_THRESHOLD' END END comparison FROM lineitem WHERE l_orderkey < 2000""")
-def frontage_ratio(spark, sf, rows="l_orderkey < 2000"):
-    lines = t(spark, sf, "lineitem").where(rows).withColumns({c: F.col(c).cast("decimal(10,4)").cast("string") for c in ("l_discount", "l_tax")}).withColumn("two", F.lit("2"))
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_tax = 0 THEN 'DIVISION_BY_ZERO' ELSE 'SUCCESS' END status, CASE WHEN l_tax > 0 THEN CASE WHEN CAST(l_discount AS DECIMAL(10,4)) < CAST(l_tax AS DECIMAL(10,4)) * 2 THEN 'BELOW_THRESHOLD' WHEN CAST(l_discount AS DECIMAL(10,4)) > CAST(l_tax AS DECIMAL(10,4)) * 2 THEN 'ABOVE_THRESHOLD' ELSE 'AT_THRESHOLD' END END comparison FROM lineitem""")
+def frontage_ratio(spark, sf):
+    lines = t(spark, sf, "lineitem").withColumns({c: F.col(c).cast("decimal(10,4)").cast("string") for c in ("l_discount", "l_tax")}).withColumn("two", F.lit("2"))
     made = rules.run_formula(lines, "FRONTAGE_RATIO", "1", {"frontage_length_m": "l_discount", "perimeter_length_m": "l_tax", "threshold_ratio": "two"}, "calc")
     return made.select("l_orderkey", "l_linenumber", "l_partkey", "calc.status", "calc.comparison")
 
@@ -279,20 +296,21 @@ def rule_scope_select(spark, sf):
     return rules.select_rules(rule_list, ctx, ["region", "parity"])
 
 
-@query("""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN l_quantity > 25 AND l_discount > 0.05 THEN true ELSE false END "within" FROM lineitem WHERE l_orderkey < 500""")
-def conditional_threshold(spark, sf, rows="l_orderkey < 500"):
+@query("""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN l_quantity > 25 AND l_discount > 0.05 THEN true ELSE false END "within" FROM lineitem""")
+def conditional_threshold(spark, sf):
     """A fact above the ordinary 25 m and within the conditional 60 m, where a discount makes the second one conditional."""
-    lines = t(spark, sf, "lineitem").where(rows)
+    lines = t(spark, sf, "lineitem")
     fact = F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(" m"))
     rule = F.when(F.col("l_discount") > 0.05, "25 m 이하. " + "가" * 90 + " 다만 60 m 까지").otherwise("25 m 이하")
     made = numbers.conditional_range(F.col("fact"), F.col("rule"))
     return lines.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", numbers.measures(fact).alias("fact"), numbers.measures(rule).alias("rule")).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", made.alias("within"))
 
 
-@query(r"""SELECT p_partkey, CAST(len(regexp_extract_all(x, '[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+')) AS INT) n FROM (SELECT p_partkey, p_size || ' of ' || format('{:,}', CAST(p_retailprice AS BIGINT)) x FROM part)""")
+@query(r"""SELECT p_partkey, CAST(len(regexp_extract_all(x, '[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+')) AS INT) n, array_to_string(regexp_extract_all(x, '[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+'), '|') numbers FROM (SELECT p_partkey, p_size || ' of ' || format('{:,}', CAST(floor(p_retailprice) AS BIGINT)) x FROM part)""")
 def numeric_scan(spark, sf):
     line = F.concat_ws(" ", F.col("p_size").cast("string"), F.lit("of"), F.format_number(F.floor("p_retailprice"), 0))
-    return t(spark, sf, "part").select("p_partkey", F.size(numbers.numeric_tokens(line)).alias("n"))
+    found = t(spark, sf, "part").select("p_partkey", numbers.numeric_tokens(line).alias("found"))
+    return found.select("p_partkey", F.size("found").alias("n"), F.array_join(F.transform("found", lambda x: x["text"]), "|").alias("numbers"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_totalprice < 250000 THEN 'LESS' WHEN o_totalprice > 250000 THEN 'GREATER' ELSE 'EQUAL' END cmp FROM orders""")
@@ -305,23 +323,26 @@ def content_ids(spark, sf):
     return t(spark, sf, "orders").select("o_orderkey", content_id("CALC-", canonical_json(status=F.col("o_orderstatus"), order=F.col("o_orderkey").cast("string"))).alias("id"))
 
 
-@query("""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(100 - (l_quantity + 10), 2) bottom, round(100 - l_quantity, 2) top FROM lineitem WHERE l_orderkey < 800""")
-def box_normalisation(spark, sf, rows="l_orderkey < 800"):
+@query("""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(100 - (l_quantity + 10), 2) bottom, round(100 - l_quantity, 2) top FROM lineitem""")
+def box_normalisation(spark, sf):
     q = F.col("l_quantity")
     b = F.struct(q.alias("left"), q.alias("bottom"), (q + 20).alias("right"), (q + 10).alias("top"))
     made = geometry.normalize_box(b, F.lit(200.0), F.lit(100.0), F.lit(0))
-    return t(spark, sf, "lineitem").where(rows).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", made.alias("b")).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.round("b.bottom", 2).alias("bottom"), F.round("b.top", 2).alias("top"))
+    return t(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", made.alias("b")).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.round("b.bottom", 2).alias("bottom"), F.round("b.top", 2).alias("top"))
 
 
-@query(r"""SELECT doc_id, "segment", string_agg(line, chr(10) ORDER BY pos) "text", CAST(count(*) AS BIGINT) n_rows FROM (SELECT *, CAST(sum(CASE WHEN len(string_split(line, ' ')) <= 4 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) "segment" FROM (SELECT doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) pos FROM documents WHERE lang = 'en')) GROUP BY 1, 2""")
-def clause_segmentation(spark, sf, rows="lang = 'en'"):
+@query(r"""SELECT doc_id, "segment", string_agg(line, chr(10) ORDER BY pos) "text", CAST(count(*) AS BIGINT) n_rows FROM (SELECT *, CAST(sum(CASE WHEN len(string_split(line, ' ')) <= 4 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) "segment" FROM (SELECT doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) pos FROM documents)) GROUP BY 1, 2""")
+def clause_segmentation(spark, sf):
     """Short lines open a section; the following lines belong to it."""
-    lines = t(spark, sf, "documents").where(rows).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = t(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     marked = segments.segment(lines, ["doc_id"], "pos", F.size(F.split("line", " ")) <= 4)
     return segments.fold_segments(marked, ["doc_id"], "pos", "line").select("doc_id", "segment", "text", "n_rows")
 
 
-@query(None)
+@query(r"""WITH b AS (SELECT page_id, regexp_replace(html, '<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', ' ', 'gis') h FROM pages),
+m AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(h, '<(/?)(title|h1|h2|h3|p|li|td)\b[^>]*>', chr(1) || '\1\2' || chr(2), 'gis'), '<br\b[^>]*>', ' ', 'gis'), '<[^>]*>', '', 'g') h FROM b),
+e AS (SELECT page_id, list_filter(string_split(h, chr(1)), lambda x: contains(x, chr(2)) AND NOT starts_with(x, '/')) l FROM m)
+SELECT page_id, CAST(o AS INT) ordinal, lower(string_split(x, chr(2))[1]) tag, trim(regexp_replace(string_split(x, chr(2))[2], '\s+', ' ', 'g')) "text" FROM (SELECT page_id, unnest(l) x, generate_subscripts(l, 1) o FROM e)""")
 def html_elements(spark, sf):
     return evidence.html_elements(t(spark, sf, "pages"))
 
@@ -331,9 +352,3 @@ def sanitized(spark, sf):
     line = F.concat(F.lit("token="), F.col("user_id").cast("string"))
     return t(spark, sf, "events").where("event_type = 'error'").select("event_id", F.regexp_extract(evidence.sanitize(line), r"=(.*)$", 1).alias("shown"))
 
-
-for _fn, _prefix in (
-    (merged_channels, " WHERE event_id < 3000"), (global_interleave, " WHERE l_orderkey < 3000"), (frontage_ratio, " WHERE l_orderkey < 2000"), (conditional_threshold, " WHERE l_orderkey < 500"), (box_normalisation, " WHERE l_orderkey < 800"),
-    (bfs_budgeted, " WHERE c_custkey % 50 = 0"), (transitive_staleness, " WHERE c_custkey < 60"), (clause_segmentation, " WHERE lang = 'en'"),
-):
-    whole(_fn, _prefix, "", QUERIES, ORACLE)

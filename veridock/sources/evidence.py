@@ -122,13 +122,19 @@ def lint(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
 
 
 def html_elements(pages: DataFrame, tags: tuple[str, ...] = ("title", "h1", "h2", "h3", "p", "li", "td")) -> DataFrame:
-    """page_id, ordinal, tag, text: elements of raw pages in order, scripts and styles left out."""
-    body = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " ")
-    names = "|".join(tags)
-    found = F.regexp_extract_all(body, F.lit(rf"(?is)<(?:{names})\b[^>]*>[^<]*"), F.lit(0))
-    flat = pages.select("page_id", F.posexplode(found).alias("pos", "piece"))
-    text = F.regexp_replace(F.regexp_replace("piece", r"(?s)^<[^>]*>", ""), r"\s+", " ")
-    return flat.select("page_id", (F.col("pos") + 1).alias("ordinal"), F.lower(F.regexp_extract("piece", r"^<([A-Za-z0-9]+)", 1)).alias("tag"), F.trim(text).alias("text"))
+    """page_id, ordinal, tag, text: elements of raw pages in order, scripts and styles left out.
+
+    An element's text runs to the next start or end of one of the tags; other tags
+    inside it are dropped and their text stays.
+    """
+    body = F.regexp_replace("html", r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", " ")
+    # Starts and ends of the wanted tags become marks before all other tags go.
+    marked = F.regexp_replace(body, rf"(?is)<(/?)({'|'.join(tags)})\b[^>]*>", "\x01$1$2\x02")
+    plain = F.regexp_replace(F.regexp_replace(marked, r"(?is)<br\b[^>]*>", " "), "<[^>]*>", "")
+    pieces = F.filter(F.split(plain, "\x01"), lambda x: x.contains("\x02") & ~x.startswith("/"))
+    flat = pages.select("page_id", F.posexplode(pieces).alias("pos", "piece"))
+    text = F.regexp_replace(F.substring_index("piece", "\x02", -1), r"\s+", " ")
+    return flat.select("page_id", (F.col("pos") + 1).alias("ordinal"), F.lower(F.substring_index("piece", "\x02", 1)).alias("tag"), F.trim(text).alias("text"))
 
 
 def tree_elements(files: DataFrame, document_id: str, revision_id: str) -> DataFrame:
