@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import hashlib
 import hmac
-from bisect import bisect_left
 
 import regex as re
 from pyspark.sql import Column, DataFrame
@@ -22,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .arrow import map_slices
 from .common import broadcast_if_small, checkpoint, pick, write_table
+from .spans import Spans
 
 KINDS = ("email", "iban", "card", "ssn", "ip", "phone", "name")
 EMAIL = re.compile(r"(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)+")
@@ -108,20 +108,6 @@ def fold(text: str) -> str:
     return "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
-class Spans:
-    """Spans without overlap: what comes first stays."""
-
-    def __init__(self):
-        self.starts: list[int] = []
-        self.found: list[tuple[str, int, int]] = []
-
-    def add(self, kind: str, start: int, end: int) -> None:
-        k = bisect_left(self.starts, end)
-        if k == 0 or self.found[k - 1][2] <= start:
-            self.starts.insert(k, start)
-            self.found.insert(k, (kind, start, end))
-
-
 def find(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end), in order and without overlap; of overlapping finds the earlier kind of KINDS stays.
 

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .arrow import map_slices
 from .common import pick
+from .spans import Spans
 
 #: The base patterns. Group 2 of an assignment needs 6 characters, an access id 20, a hex run 24.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -217,22 +218,17 @@ def structural_spans(text: str) -> list[tuple[str, int, int]]:
         out += [("token", *m.span()) for m in TOKEN.finditer(text) if is_signed_token(m[0])]
     if max(map(len, text.split()), default=0) < LEAST:
         return out
-    taken = [(s, e) for _, s, e in out]
-
-    def free(start: int, end: int) -> bool:
-        return not any(s < end and start < e for s, e in taken)
-
-    for kind, start, end in wrapped_spans(text):
-        if free(start, end):
-            out.append((kind, start, end))
-            taken.append((start, end))
+    taken = Spans()
+    for span in out:
+        taken.add(*span)
+    out += [span for span in wrapped_spans(text) if taken.add(*span)]
     for pattern, decode in ((BASE64, unbase64), (HEXRUN, unhex)):
         for m in pattern.finditer(text):
             # A letter after a backslash may belong to the run or to an escape.
             for start, end in dict.fromkeys([m.span(pattern.groups), m.span()]):
-                if free(start, end) and (kind := _confirm(decode(text[start:end]))):
+                if taken.free(start, end) and (kind := _confirm(decode(text[start:end]))):
                     out.append((kind, start, end))
-                    taken.append((start, end))
+                    taken.add(kind, start, end)
     return out
 
 
