@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -41,21 +42,53 @@ def _legal(previous: str | None, following: str, kind: str) -> bool:
     return kind == "TRANSITION" and following in TRANSITIONS.get(previous, [])
 
 
-def stream_transitions(events: DataFrame) -> DataFrame:
-    """Per event (run_id, sequence, next_state, kind): accepted or not, given the run's state so far."""
+def stream_transitions(events: DataFrame, patience_ms: int | None = 600_000) -> DataFrame:
+    """Per event (run_id, sequence, next_state, kind): accepted or not, given the run's state so far.
+
+    An event that arrives before its predecessors waits in the run's state until
+    they are there. If nothing of the run arrives for ``patience_ms``, what waits is
+    not accepted; 0 doesn't wait at all, None waits for good. A query that ends when
+    all is read (availableNow) takes 0 or None, as a timeout keeps a query running.
+    Repeats of a sequence number that was accepted or waits are not accepted.
+    """
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        current, last = state.get if state.exists else (None, 0)
-        frame = pd.concat(list(batches)).sort_values("sequence", kind="stable")
-        out = []
-        for seq, following, kind in zip(frame["sequence"], frame["next_state"], frame["kind"], strict=True):
-            ok = int(seq) == last + 1 and _legal(current, following, kind)
-            if ok:
-                current, last = following, int(seq)
-            out.append((key[0], int(seq), following, ok))
-        state.update((current, last))
-        yield pd.DataFrame(out, columns=["run_id", "sequence", "next_state", "accepted"])
+        current, last, text = state.get if state.exists else (None, 0, "[]")
+        waiting = {seq: (following, kind) for seq, following, kind in json.loads(text)}
+
+        def frame(rows: list[tuple[int, str, bool]]) -> pd.DataFrame:
+            return pd.DataFrame([(key[0], *r) for r in rows], columns=["run_id", "sequence", "next_state", "accepted"])
+
+        def refused() -> list[tuple[int, str, bool]]:
+            rows = [(seq, following, False) for seq, (following, _) in sorted(waiting.items())]
+            waiting.clear()
+            return rows
+
+        if state.hasTimedOut:
+            yield frame(refused())
+        else:
+            for batch in batches:
+                out = []
+                for seq, following, kind in zip(batch["sequence"].tolist(), batch["next_state"], batch["kind"], strict=True):
+                    if seq <= last or seq in waiting:
+                        out.append((seq, following, False))
+                    else:
+                        waiting[seq] = (following, kind)
+                while last + 1 in waiting:
+                    following, kind = waiting.pop(last + 1)
+                    ok = _legal(current, following, kind)
+                    out.append((last + 1, following, ok))
+                    if not ok:
+                        break
+                    current, last = following, last + 1
+                yield frame(out)
+            if patience_ms == 0:
+                yield frame(refused())
+        state.update((current, last, json.dumps([(seq, *rest) for seq, rest in sorted(waiting.items())])))
+        if waiting and patience_ms:
+            state.setTimeoutDuration(patience_ms)
 
     return events.groupBy("run_id").applyInPandasWithState(
-        advance, "run_id string, sequence long, next_state string, accepted boolean", "state string, last long", "append", GroupStateTimeout.NoTimeout
+        advance, "run_id string, sequence long, next_state string, accepted boolean", "state string, last long, waiting string", "append",
+        GroupStateTimeout.ProcessingTimeTimeout if patience_ms else GroupStateTimeout.NoTimeout,
     )
