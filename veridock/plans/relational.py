@@ -71,9 +71,9 @@ def heading_scoped_search(spark, sf):
     return t(spark, sf, "part").select("p_partkey", "p_size", coverage.alias("coverage")).where("coverage >= 1").orderBy(F.desc("coverage"), "p_size", "p_partkey").limit(30).select("p_partkey", "coverage")
 
 
-@query("""SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)""")
+@query("""SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P' AND o_totalprice > 100000)""")
 def orphan_anti_join(spark, sf):
-    return t(spark, sf, "customer").join(t(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return t(spark, sf, "customer").join(t(spark, sf, "orders").where("o_orderstatus = 'P' AND o_totalprice > 100000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("""SELECT DISTINCT n_regionkey FROM nation WHERE NOT EXISTS (SELECT 1 FROM supplier JOIN nation n2 ON s_nationkey = n2.n_nationkey WHERE n2.n_nationkey = nation.n_nationkey AND s_acctbal > 9000)""")

@@ -244,9 +244,10 @@ def confidence_score(spark, sf):
     return _confidence(spark, sf).select("run", F.col("score").cast("double").alias("score"), "level")
 
 
-@query(f"WITH {ISSUES}, {FACTORS} SELECT run, array_to_string(list_filter([CASE WHEN run % 7 = 0 THEN 'MISSING_REQUIRED_INPUT' END, CASE WHEN run % 11 = 0 THEN 'MATH_ENGINE_ERROR' END, CASE WHEN no_conflict = 0 THEN 'UNRESOLVED_CONFLICT' END, CASE WHEN score < 0.70 THEN 'LOW_CONFIDENCE' END], lambda x: x IS NOT NULL), ',') reasons FROM {CONF}")
+@query(f"WITH {ISSUES}, {FACTORS} SELECT run, array_to_string(list_filter([CASE WHEN run % 7 = 0 THEN 'MISSING_REQUIRED_INPUT' END, CASE WHEN run % 5 = 0 THEN 'UNCITED_OR_UNRESOLVED_CLAIM' END, CASE WHEN run % 13 = 0 THEN 'UNAPPROVED_RULE' END, CASE WHEN run % 11 = 0 THEN 'MATH_ENGINE_ERROR' END, CASE WHEN run % 17 = 0 THEN 'SOURCE_HASH_MISMATCH' END, CASE WHEN no_conflict = 0 THEN 'UNRESOLVED_CONFLICT' END, CASE WHEN run % 19 = 0 THEN 'TRACK_B_REJECTION' END, CASE WHEN run % 23 = 0 THEN 'MACHINE_SET_HUMAN_DECISION' END, CASE WHEN run % 29 = 0 THEN 'UNREGISTERED_NUMERIC_VALUE' END, CASE WHEN score < 0.70 THEN 'LOW_CONFIDENCE' END], lambda x: x IS NOT NULL), ',') reasons FROM {CONF}")
 def abstention_gates(spark, sf):
-    flags = {"missing_required_input": F.col("run") % 7 == 0, "math_engine_error": F.col("run") % 11 == 0, "unresolved_conflict": F.col("no_conflict") == 0}
+    every = {"missing_required_input": 7, "uncited_or_unresolved_claim": 5, "unapproved_rule": 13, "math_engine_error": 11, "source_hash_mismatch": 17, "track_b_rejection": 19, "machine_set_human_decision": 23, "unregistered_numeric_value": 29}
+    flags = {"unresolved_conflict": F.col("no_conflict") == 0, **{name: F.col("run") % n == 0 for name, n in every.items()}}
     return _confidence(spark, sf).select("run", F.array_join(review.abstention_reasons(F.col("score"), flags), ",").alias("reasons"))
 
 
@@ -323,12 +324,14 @@ def content_ids(spark, sf):
     return t(spark, sf, "orders").select("o_orderkey", content_id("CALC-", canonical_json(status=F.col("o_orderstatus"), order=F.col("o_orderkey").cast("string"))).alias("id"))
 
 
-@query("""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(100 - (l_quantity + 10), 2) bottom, round(100 - l_quantity, 2) top FROM lineitem""")
+@query("""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE l_linenumber % 4 WHEN 1 THEN l_quantity WHEN 2 THEN 200 - (l_quantity + 20) WHEN 3 THEN 200 - (l_quantity + 10) ELSE l_quantity END "left", CASE l_linenumber % 4 WHEN 1 THEN l_quantity WHEN 2 THEN l_quantity WHEN 3 THEN 100 - (l_quantity + 20) ELSE 100 - (l_quantity + 10) END bottom,
+CASE l_linenumber % 4 WHEN 1 THEN l_quantity + 10 WHEN 2 THEN 200 - l_quantity WHEN 3 THEN 200 - l_quantity ELSE l_quantity + 20 END "right", CASE l_linenumber % 4 WHEN 1 THEN l_quantity + 20 WHEN 2 THEN l_quantity + 10 WHEN 3 THEN 100 - l_quantity ELSE 100 - l_quantity END top FROM lineitem""")
 def box_normalisation(spark, sf):
+    """Boxes of pages in all four rotations."""
     q = F.col("l_quantity")
     b = F.struct(q.alias("left"), q.alias("bottom"), (q + 20).alias("right"), (q + 10).alias("top"))
-    made = geometry.normalize_box(b, F.lit(200.0), F.lit(100.0), F.lit(0))
-    return t(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", made.alias("b")).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.round("b.bottom", 2).alias("bottom"), F.round("b.top", 2).alias("top"))
+    made = geometry.normalize_box(b, F.lit(200.0), F.lit(100.0), F.col("l_linenumber") % 4 * 90)
+    return t(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", made.alias("b")).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "b.left", "b.bottom", "b.right", "b.top")
 
 
 @query(r"""SELECT doc_id, "segment", string_agg(line, chr(10) ORDER BY pos) "text", CAST(count(*) AS BIGINT) n_rows FROM (SELECT *, CAST(sum(CASE WHEN len(string_split(line, ' ')) <= 4 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) "segment" FROM (SELECT doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) pos FROM documents)) GROUP BY 1, 2""")
@@ -347,8 +350,9 @@ def html_elements(spark, sf):
     return evidence.html_elements(t(spark, sf, "pages"))
 
 
-@query("""SELECT event_id, '[REDACTED]' AS shown FROM events WHERE event_type = 'error'""")
+@query("""SELECT event_id, 'user ' || user_id || ' ' || CASE WHEN event_type = 'error' THEN 'Api_Key' ELSE 'token' END || '=[REDACTED] from [PATH] at [LOOPBACK] and ' || CAST(event_id AS VARCHAR) || ' stays' AS shown FROM events""")
 def sanitized(spark, sf):
-    line = F.concat(F.lit("token="), F.col("user_id").cast("string"))
-    return t(spark, sf, "events").where("event_type = 'error'").select("event_id", F.regexp_extract(evidence.sanitize(line), r"=(.*)$", 1).alias("shown"))
-
+    user = F.col("user_id").cast("string")
+    name = F.when(F.col("event_type") == "error", "Api_Key : ").otherwise("token=")
+    line = F.concat(F.lit("user "), user, F.lit(" "), name, F.lit("s3cr3t-"), user, F.lit(" from /home/u"), user, F.lit("/x.csv at http://localhost:80/"), user, F.lit(" and "), F.col("event_id").cast("string"), F.lit(" stays"))
+    return t(spark, sf, "events").select("event_id", evidence.sanitize(line).alias("shown"))
