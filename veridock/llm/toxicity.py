@@ -76,7 +76,7 @@ class FactorizationMachine:
         return self._index
 
 
-def fit(features: list[list[int]], labels: list[int], n: int, epochs: int = 20, rate: float = 0.1, l2: float = 1e-4, seed: int = 7):
+def fit(features: list, labels: list[int], n: int, epochs: int = 20, rate: float = 0.1, l2: float = 1e-4, seed: int = 7):
     """Mini-batch AdaGrad on the logistic loss; features are indices below n."""
     rng = np.random.default_rng(seed)
     w, v, bias = np.zeros(n), rng.normal(0, 0.02, (n, FACTORS)), 0.0
@@ -86,7 +86,7 @@ def fit(features: list[list[int]], labels: list[int], n: int, epochs: int = 20,
         p = min(max(y.mean(), 1e-3), 1 - 1e-3)
         bias = math.log(p / (1 - p))
     size = np.array([len(f) for f in features], int)
-    flat = np.array([i for f in features for i in f], int)
+    flat = np.concatenate([np.asarray(f, np.int32) for f in features]) if len(size) else np.zeros(0, np.int32)
     first = np.concatenate([[0], np.cumsum(size)])[:-1] if len(size) else np.zeros(0, int)
     for _ in range(epochs):
         order = rng.permutation(len(y))
@@ -146,20 +146,24 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) ->
     texts = pick(docs, doc_id="doc_id", text="text").join(known, "doc_id").select("doc_id", "toxic", "text")
     rows = write_table(map_slices(texts, buckets, "doc_id long, toxic int, buckets array<int>"), "toxic_terms")
     marginal = associated(rows)
-    suspicious = sorted(b for b, more in marginal if more)
-    held = rows.where(F.arrays_overlap("buckets", F.array(*map(F.lit, suspicious)))) if suspicious else rows.limit(0)
+    suspicious = frozenset(b for b, more in marginal if more)
+
+    def hold(toxic, buckets):
+        on = [k for k, bs in enumerate(buckets) if not suspicious.isdisjoint(bs)]
+        return [[toxic[k] for k in on], [buckets[k] for k in on]]
+
+    held = map_slices(rows.select("toxic", "buckets"), hold, "toxic int, buckets array<int>")
     names = np.array(sorted({b for b, _ in marginal} | {b for b, _ in associated(held)}), int)
     index = {int(b): k for k, b in enumerate(names)}
     sample = checkpoint(rows.groupBy("doc_id").agg(F.min(F.hash("buckets")).alias("pick")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
     one = rows.join(F.broadcast(sample), "doc_id").where(F.hash("buckets") == F.col("pick")).dropDuplicates(["doc_id"]).select("toxic", "buckets")
 
     def kept(toxic, buckets):
-        return [toxic, [[index[b] for b in bs if b in index] for bs in buckets]]
+        return [toxic, [np.array([index[b] for b in bs if b in index], "<i4").tobytes() for bs in buckets]]
 
-    data = map_slices(one, kept, "toxic int, f array<int>").collect()
+    data = sorted((r["toxic"], bytes(r["f"])) for r in map_slices(one, kept, "toxic int, f binary").collect())
     drop_table(rows)
-    data.sort(key=lambda r: (r["toxic"], r["f"]))
-    bias, w, v = fit([r["f"] for r in data], [r["toxic"] for r in data], len(names)) if data else (-6.0, np.zeros(len(names)), np.zeros((len(names), FACTORS)))
+    bias, w, v = fit([np.frombuffer(f, "<i4") for _, f in data], [toxic for toxic, _ in data], len(names)) if data else (-6.0, np.zeros(len(names)), np.zeros((len(names), FACTORS)))
     return FactorizationMachine(names, float(bias), w, v)
 
 
