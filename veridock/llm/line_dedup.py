@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_slices
-from .common import back, by_position, checkpoint, join_groups, join_hot, pick, write_table
+from .common import back, by_position, checkpoint, drop_table, join_groups, join_hot, pick, write_table
 
 MIN_WORDS = 50
 _DOC = "doc struct<doc_id:long,th:long>"
@@ -194,7 +194,9 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     bodies = checkpoint(window_bodies(lines, ranges, min_words))
     second = extended(matches(bodies), lines, min_words, "binary")
     runs = first.select("doc", "runs").unionByName(second.select("doc", "runs"))
-    return runs.select("doc", F.explode("runs").alias("r")).groupBy("doc").agg(F.array_sort(F.collect_set("r")).alias("runs"))
+    runs = checkpoint(runs.select("doc", F.explode("runs").alias("r")).groupBy("doc").agg(F.array_sort(F.collect_set("r")).alias("runs")))
+    drop_table(every, prints, first)
+    return runs
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -207,7 +209,7 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     doc = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"))
     rows = pick(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long"), "text", doc.alias("doc"))
-    runs = checkpoint(repeated_runs(rows.where("text IS NOT NULL"), min_words))
+    runs = repeated_runs(rows.where("text IS NOT NULL"), min_words)
     return rows.join(runs, "doc", "left").select("doc_id", *without_runs(F.col("text"), F.col("runs")))
 
 
@@ -232,7 +234,7 @@ def cut_repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     plain, at = by_position(docs)
     doc = F.struct(F.col(at["doc_id"]).cast("long").alias("doc_id"), F.xxhash64(at["text"]).alias("th"))
     keyed = plain.withColumn("doc", doc)
-    runs = checkpoint(repeated_runs(keyed.select("doc", F.col(at["text"]).alias("text")).where("text IS NOT NULL"), min_words))
+    runs = repeated_runs(keyed.select("doc", F.col(at["text"]).alias("text")).where("text IS NOT NULL"), min_words)
     joined = keyed.join(runs, "doc", "left")
     text = without_runs(F.col(at["text"]), F.col("runs"))[0]
     if "n_chars" in at:
