@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
+from .language_id import language_id
 from .licenses import license_scan
 from .line_dedup import line_dedup
 from .near_dup import near_duplicates
+from .periodic_runs import periodic_runs, planted, strongest
 from .pii import pseudonymize
+from .prefix_trie import conversation_trie
 from .secret_scan import secret_scan
 from .sp_codec import sentencepiece_codec
 from .token_store import token_output
@@ -70,6 +74,30 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", planted(F.col("doc_id"), F.col("text")).alias("text"))
+    found = periodic_runs(docs).withColumn("best", strongest(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.concat_ws("", F.transform(lines, lambda t: F.concat(t, F.lit("\n")))), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(_table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
 _ALL = (
     op1_line_dedup,
     op2_toxicity,
@@ -81,6 +109,9 @@ _ALL = (
     op8_exact_dedup,
     op9_license_scan,
     op10_token_output,
+    op11_periodic_runs,
+    op12_language_id,
+    op13_prefix_trie,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -110,4 +141,28 @@ SELECT doc_id, max(doc_id) OVER w keep_id, CAST(count(*) OVER w AS BIGINT) group
 FROM n WINDOW w AS (PARTITION BY t)
 """
 
-ORACLE = {"op7_decontaminate": OP7, "op8_exact_dedup": OP8}
+#: Unsigned crc32 of a decimal number, bit by bit.
+CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+    lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, zero: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
+
+OP13 = rf"""
+WITH turns AS (SELECT conv_id c, turn, coalesce(role, '') role, strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') k,
+               len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) words FROM conversations WHERE conv_id IS NOT NULL),
+paths AS (SELECT c, list({{'k': k, 'words': words}} ORDER BY turn NULLS FIRST, role, sha256(k)) path FROM turns GROUP BY c),
+hs AS (SELECT c, path, {CRC} % 4 h FROM paths),
+built AS (SELECT hs.c, list_concat(coalesce(list_slice(b.path, 1, h), []), list_slice(hs.path, h + 1, len(hs.path))) path
+          FROM hs LEFT JOIN paths b ON b.c = hs.c - hs.c % 20),
+pre AS (SELECT c, len(path) n, path, unnest(range(0, len(path) + 1)) d FROM built),
+nodes AS (SELECT list_transform(list_slice(path, 1, d), lambda t: t.k) ks, d, min(c) conv_id, count(*) n_convs, coalesce(any_value(path[d].words), 0) words,
+          coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE n = d), '') ends FROM pre GROUP BY ALL),
+kids AS (SELECT list_slice(ks, 1, d - 1) ks, count(*) n FROM nodes WHERE d > 0 GROUP BY 1),
+own AS (SELECT nodes.*, coalesce(kids.n, 0) n_children FROM nodes LEFT JOIN kids ON kids.ks = nodes.ks),
+up AS (SELECT n_children, (n_convs - 1) * words saved, ks, unnest(range(0, d + 1)) a FROM own),
+subtree AS (SELECT list_slice(ks, 1, a) ks, count(*) FILTER (WHERE n_children = 0) n_leaves, sum(saved) saved FROM up GROUP BY 1)
+SELECT o.conv_id, CAST(o.d AS BIGINT) depth, p.conv_id parent_conv_id, CAST(o.n_convs AS BIGINT) n_convs, CAST(o.n_children AS BIGINT) n_children,
+       CAST(s.n_leaves AS BIGINT) n_leaves, CAST(s.saved AS BIGINT) saved_tokens, sha256(o.ends) ends_sha256
+FROM own o JOIN subtree s ON s.ks = o.ks LEFT JOIN own p ON o.d > 0 AND p.ks = list_slice(o.ks, 1, o.d - 1)
+"""
+
+ORACLE = {"op7_decontaminate": OP7, "op8_exact_dedup": OP8, "op13_prefix_trie": OP13}
