@@ -35,8 +35,16 @@ TITLES = {"Mr": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Mr
 #: Words inside a family name that stay as they are.
 PARTICLES = "von van der den de da di du la le del della dos bin al".split()
 _TITLE = "(?:" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\.? "
-_WORD = r"(?:\p{Lu}\.|[\p{Lu}\p{Lt}\p{Lo}][\p{L}\p{M}]*+(?:['’-][\p{L}\p{M}]++)*+)"
-NAME = re.compile(rf"(?<!\w)(?:{_TITLE})+({_WORD}(?: (?:(?:{'|'.join(PARTICLES)}) )*{_WORD}){{0,2}})(?![\w-])")
+#: Scripts that put no space between words: there a name is what stands after a title, at most so many characters.
+_RUN = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
+_UNSPACED = r"(?:\p{Han}{2,4}+|\p{Katakana}{2,8}+|\p{Hiragana}{2,6}+|[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]{2,12}+)"
+#: A longer word isn't a name. Elsewhere a name ends where its word does.
+MAX_WORD = 64
+_LETTER = rf"(?![{_RUN}])[\p{{L}}\p{{M}}]"
+_WORD = rf"(?:\p{{Lu}}\.|(?=[\p{{Lu}}\p{{Lt}}\p{{Lo}}])(?:{_LETTER}){{1,{MAX_WORD}}}+(?:['’-](?:{_LETTER}){{1,{MAX_WORD}}}+){{0,3}}+)"
+NAME = re.compile(rf"(?<!\w)(?:{_TITLE})++((?:{_WORD}(?: (?:(?:{'|'.join(PARTICLES)}) ){{0,4}}{_WORD}){{0,2}})(?!(?![{_RUN}])\w|-)|{_UNSPACED})")
+#: What a name is compared by: a character of a script without spaces, a word, any other character.
+_TOKEN = re.compile(rf"[{_RUN}]|(?:(?![{_RUN}])\w)++|\W")
 _TITLED = re.compile(rf"(?<!\w)(?:{_TITLE})+$")
 #: Surrogate given names by script and gender.
 GIVEN = {
@@ -112,8 +120,10 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end), in order and without overlap; of overlapping finds the earlier kind of KINDS stays.
 
     Digits of all scripts count. A name stands after a title: up to three words,
-    initials and double names among them; where a document has a titled name,
-    further mentions of it or of its last word are found without a title.
+    initials and double names among them, in a script without spaces a few
+    characters; where a document has a titled name, further mentions of it or of its
+    last word are found without a title. A word of more than ``MAX_WORD`` letters is
+    no name. Time grows with the length of the text, whatever it holds.
     """
     text = text or ""
     spans = Spans()
@@ -146,18 +156,44 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
                 spans.add("phone", *m.span())
     for m in NAME.finditer(text):
         spans.add("name", *m.span(1))
-    if again := untitled([text[s:e] for k, s, e in spans.found if k == "name"]):
-        for m in again.finditer(text):
-            if all(not w[0].islower() or w in PARTICLES for w in m[0].split(" ")):
-                spans.add("name", *m.span())
+    for start, end in untitled(text, [text[s:e] for k, s, e in spans.found if k == "name"]):
+        if all(not w[:1].islower() or w in PARTICLES for w in text[start:end].split(" ")):
+            spans.add("name", start, end)
     return spans.found
 
 
-def untitled(names: list[str]) -> re.Pattern | None:
-    """Finds names, and last words of two letters at least, also without a title; None if there are no names."""
+def untitled(text: str, names: list[str]) -> list[tuple[int, int]]:
+    """Where names, and last words of two letters at least, stand in a text, also without a title.
+
+    The tokens of the names are a trie, along which the text is read once from each
+    of its tokens: time grows with the text and the longest name. Of names that begin
+    at one place the longest counts, and nothing begins inside it.
+    """
     known = {*names, *(n.split(" ")[-1] for n in names if " " in n)}
-    words = sorted({re.escape(n) for n in known if len(n) > 1 and not n.endswith(".")}, key=lambda n: (-len(n), n))
-    return re.compile(rf"(?<!\w)(?:{'|'.join(words)})(?!\w)", re.IGNORECASE) if words else None
+    trie: dict = {}
+    for name in known:
+        if len(name) > 1 and not name.endswith("."):
+            node = trie
+            for token in _TOKEN.findall(fold(name)):
+                node = node.setdefault(token, {})
+            node[""] = True
+    if not trie:
+        return []
+    # Folding keeps the length, so places in the folded text are places in the text.
+    tokens = [(m[0], m.end()) for m in _TOKEN.finditer(fold(text))]
+    out, at, begins = [], 0, 0
+    while at < len(tokens):
+        node, k, upto = trie, at, None
+        while k < len(tokens) and (node := node.get(tokens[k][0])):
+            k += 1
+            if "" in node:
+                upto = k
+        if upto is None:
+            begins, at = tokens[at][1], at + 1
+        else:
+            out.append((begins, tokens[upto - 1][1]))
+            begins, at = tokens[upto - 1][1], upto
+    return out
 
 
 def title_of(text: str, start: int) -> str | None:
@@ -270,7 +306,8 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
         local, _, domain = entity.partition("@")
         name, dot, zone = domain.partition(".")
         grown = "".join(_letter(draw, local[-1]) for _ in range(attempt - 2))
-        return f"{_letters(draw, local)}{grown}@{_letters(draw, name)}{dot}{zone}"
+        # Addresses of one domain keep one domain, whatever their mailboxes draw.
+        return f"{_letters(draw, local)}{grown}@{_letters(Draw(key, 'domain', domain, 0), name)}{dot}{zone}"
     if kind == "ip":
         # Private addresses, then reserved ones, then any.
         head = "10" if attempt < 3 else str(240 + draw.below(16)) if attempt < 8 else str(draw.below(256))

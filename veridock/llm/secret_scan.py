@@ -32,7 +32,8 @@ HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "pem", "token", "openssh", "der", "encoded")
 
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([^-]*)-----END \1-----")
-TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+#: The first eyJ of a run counts, so each run is read once.
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(?:(?!eyJ)[A-Za-z0-9_-])*+(eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+)")
 #: A line break as it is, or written out in a quoted string.
 BREAK = r"(?:\r?\n|(?:\\+r)?\\+n)"
 #: Twelve bytes are the shortest assignment that is reported: token=abcdef.
@@ -125,7 +126,8 @@ def is_signed_token(text: str) -> bool:
     head, body, sign = (unbase64(x) for x in text.split("."))
     try:
         header, payload = json.loads(head or b""), json.loads(body or b"")
-    except ValueError:
+    except (ValueError, RecursionError):
+        # Nested beyond what the parser takes: no token header is.
         return False
     if not isinstance(header, dict) or not isinstance(payload, dict) or not isinstance(header.get("alg"), str):
         return False
@@ -215,7 +217,7 @@ def structural_spans(text: str) -> list[tuple[str, int, int]]:
             if data and (is_der_key(data) or is_openssh_key(data)):
                 out.append(("pem", *m.span()))
     if "eyJ" in text:
-        out += [("token", *m.span()) for m in TOKEN.finditer(text) if is_signed_token(m[0])]
+        out += [("token", *m.span(1)) for m in TOKEN.finditer(text) if is_signed_token(m[1])]
     if max(map(len, text.split()), default=0) < LEAST:
         return out
     taken = Spans()
