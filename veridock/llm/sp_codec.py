@@ -28,12 +28,15 @@ from pyspark.sql import functions as F
 
 from .arrow import map_slices
 from .common import pick
+from .memo import Memo
 
 SPACE = "▁"
 #: Characters of a stretch that is streamed beside others; longer ones are streamed alone.
 LANE = 64
-#: Stretches that a worker process remembers; an older and a newer half take turns.
-MEMO = 200_000
+#: Characters after which lanes compare their paths.
+MEET = 4
+#: Bytes of stretches and their ids that a worker process remembers.
+MEMO_BYTES = 128 * 1024 * 1024
 _STRETCH = re.compile(" +[^ ]*|[^ ]+")
 _NEVER = 1 << 30
 _CODECS: dict[str, Codec] = {}
@@ -111,8 +114,7 @@ class Codec:
         self.lengths = np.zeros(self.size, np.int64)
         for piece, i in self.ids.items():
             self.lengths[i] = len(piece)
-        self.memo: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.memo = Memo(MEMO_BYTES)
 
     def merge(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
         """Pieces that greedy merging leaves, best score first, leftmost of equals; and the last two parts it joined."""
@@ -205,7 +207,12 @@ class Codec:
         return out[::-1]
 
     def lanes(self, stretches: list[str]) -> list[bytes]:
-        """Ids of stretches, which hold pieces' characters only, streamed side by side."""
+        """Ids of stretches, which hold pieces' characters only, streamed side by side.
+
+        A lane keeps the places since its last committed boundary: ``last`` the piece
+        that ends the best path to a place, ``since`` where that piece begins. A pair
+        (lane, start) is a place from which a piece can still go on.
+        """
         sizes = np.array([len(x) for x in stretches], np.int64)
         rank = np.argsort(-sizes, kind="stable")
         codes = np.zeros((len(stretches), int(sizes.max())), np.int32)
@@ -213,8 +220,11 @@ class Codec:
         codes[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
         codes, sizes = codes[rank], sizes[rank]
         last = np.full((len(sizes), codes.shape[1] + 1), -1, np.int64)
+        since = np.zeros_like(last)
+        base = np.zeros(len(sizes), np.int64)
         lane, start, node = (np.zeros(0, np.int64) for _ in range(3))
         width = len(self.chars) + 1
+        done: list[tuple[np.ndarray, np.ndarray]] = []
         for end in range(1, codes.shape[1] + 1):
             # Lanes lie in order of length, so those still running come first.
             running = int(np.searchsorted(-sizes, -end, "right"))
@@ -227,59 +237,80 @@ class Codec:
             lane, start, node = lane[on], start[on], node[on]
             piece = self.piece_at[node]
             found = np.flatnonzero(piece >= 0)
-            l, p, before = lane[found], piece[found], last[lane[found], start[found]]
+            l, p, begin = lane[found], piece[found], start[found]
+            before = last[l, begin]
             fits = before < 0
             inner = np.flatnonzero(~fits)
             fits[inner] = self.all_compatible(before[inner], p[inner])
-            last[l[fits], end] = p[fits]
-        at, column, steps = sizes.copy(), np.arange(len(sizes)), []
-        while True:
-            on = at > 0
-            if not on.any():
-                break
-            piece = np.where(on, last[column, at], -1)
-            steps.append(piece)
-            at = np.where(on, at - self.lengths[piece], 0)
-        path = np.stack(steps[::-1], 1)
-        counts = np.zeros(len(sizes), np.int64)
-        counts[rank] = (path >= 0).sum(1)
-        back = np.empty_like(rank)
-        back[rank] = np.arange(len(rank))
-        path = path[back]
-        data = path[path >= 0].astype("<u4").tobytes()
-        ends = (4 * np.cumsum(counts)).tolist()
+            last[l[fits], end], since[l[fits], end] = p[fits], begin[fits]
+            if end % MEET == 0:
+                reached = np.flatnonzero(last[:running, end] >= 0)
+                done += self._met(last, since, base, np.concatenate([lane, reached]), np.concatenate([start, np.full(len(reached), end)]))
+        # What no convergence settled before a stretch ended: its one path, from the end.
+        tail, at = [], sizes.copy()
+        while (on := np.flatnonzero(at > base)).size:
+            tail.append((on, last[on, at[on]]))
+            at[on] = since[on, at[on]]
+        done += tail[::-1]
+        at_lane, path = (np.concatenate(c) for c in zip(*done, strict=True))
+        order = np.argsort(rank[at_lane], kind="stable")
+        ends = (4 * np.cumsum(np.bincount(rank[at_lane], minlength=len(sizes)))).tolist()
+        data = path[order].astype("<u4").tobytes()
         return [data[a:b] for a, b in zip([0, *ends], ends)]
 
-    def learn(self, stretches: list[str]) -> None:
-        """Put the ids of new stretches into the memo."""
-        new = [s for s in dict.fromkeys(stretches) if s not in self.memo]
-        for s in new:
-            if s in self.old:
-                self.memo[s] = self.old[s]
-        new = [s for s in new if s not in self.memo]
-        marked = [s.replace(" ", SPACE) for s in new]
-        known = self.char_code[np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4")] > 0 if new else np.zeros(0, bool)
+    def _met(self, last: np.ndarray, since: np.ndarray, base: np.ndarray, lane: np.ndarray, place: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Commit, in each lane, the boundaries that the paths to all its places share; (lanes, pieces) in order."""
+        out = []
+        while len(lane):
+            # The first boundary on the path to each place; a place at the base itself has none and holds its lane back.
+            root = place.copy()
+            on = np.flatnonzero(root > base[lane])
+            while len(on):
+                back = since[lane[on], root[on]]
+                further = back > base[lane[on]]
+                on = on[further]
+                root[on] = back[further]
+            lo, hi = np.full(len(base), _NEVER, np.int64), np.full(len(base), -1, np.int64)
+            np.minimum.at(lo, lane, root)
+            np.maximum.at(hi, lane, root)
+            met = np.flatnonzero((lo == hi) & (lo > base))
+            if not len(met):
+                break
+            out.append((met, last[met, lo[met]]))
+            base[met] = lo[met]
+            kept = np.zeros(len(base), bool)
+            kept[met] = True
+            lane, place = lane[kept[lane]], place[kept[lane]]
+        return out
+
+    def fresh(self, stretches: list[str]) -> list[bytes]:
+        """Ids of stretches."""
+        marked = [s.replace(" ", SPACE) for s in stretches]
+        known = self.char_code[np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4")] > 0
         sizes = np.array([len(m) for m in marked], np.int64)
         # A stretch with a character that no piece holds streams alone too.
-        plain = np.add.reduceat(known, np.cumsum(sizes) - sizes, dtype=np.int64) == sizes if new else known
-        short = [k for k, (m, p) in enumerate(zip(marked, plain.tolist(), strict=True)) if p and len(m) <= LANE]
+        plain = np.add.reduceat(known, np.cumsum(sizes) - sizes, dtype=np.int64) == sizes
+        out: list[bytes] = [b""] * len(marked)
+        short = []
+        for k, (m, p) in enumerate(zip(marked, plain.tolist(), strict=True)):
+            if p and len(m) <= LANE:
+                short.append(k)
+            else:
+                out[k] = np.fromiter(self.stream(m), "<u4").tobytes()
         for at in range(0, len(short), 4096):
             part = short[at : at + 4096]
-            self.memo.update(zip([new[k] for k in part], self.lanes([marked[k] for k in part]), strict=True))
-        for s, m in zip(new, marked, strict=True):
-            if s not in self.memo:
-                self.memo[s] = np.fromiter(self.stream(m), "<u4").tobytes()
+            for k, ids in zip(part, self.lanes([marked[k] for k in part]), strict=True):
+                out[k] = ids
+        return out
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers; an empty text has none."""
         texts = [t.replace(SPACE, " ") if SPACE in t else t for t in texts]
         cut = [_STRETCH.findall(" " + t) if t[:1] == " " or "  " in t or t[-1:] == " " else [" " + x for x in t.split(" ")] if t else [] for t in texts]
-        missing = [s for c in cut for s in c if s not in self.memo]
-        if missing:
-            self.learn(missing)
-        out = [b"".join(map(self.memo.__getitem__, c)) for c in cut]
-        if len(self.memo) > MEMO:
-            self.old, self.memo = self.memo, {}
+        known = self.memo.new
+        ids_of = self.memo.learn([s for c in cut for s in c if s not in known], self.fresh)
+        out = [b"".join(map(ids_of, c)) for c in cut]
+        self.memo.turn()
         return out
 
     def encode(self, text: str) -> bytes:
