@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .arrow import map_slices, slices
 from .common import broadcast_if_small, checkpoint, pick, shared_dir
+from .memo import Memo
 
 MAGIC = b"TIDB"
 END_ID = 2
@@ -30,8 +31,8 @@ BLOCK_DOCS = 1024
 DICT_DOCS, DICT_IDS, DICT_BYTES = 4000, 4096, 64 * 1024
 LEVEL = 3
 
-#: Segments that a worker process remembers; an older and a newer half take turns.
-MEMO_SEGMENTS = 400_000
+#: Bytes of segments and their ids that a worker process remembers.
+MEMO_BYTES = 192 * 1024 * 1024
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -50,8 +51,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.memo: dict[str, bytes | None] = {}
-        self.old: dict[str, bytes | None] = {}
+        self.memo = Memo(MEMO_BYTES)
         self.tab = self.ids("\t")
 
     def ids(self, text: str) -> np.ndarray:
@@ -68,37 +68,30 @@ class Encoder:
                 return [data[a : b - 4] for a, b in zip(edges, edges[1:])]
         return [self.ids(p).tobytes() for p in parts]
 
-    def learn(self, segments: list[str]) -> None:
-        """Put new segments into the memo, None for those of irregular spacing."""
-        new = []
-        for s in dict.fromkeys(segments):
-            if s in self.old:
-                self.memo[s] = self.old[s]
-            elif not s or s[0].isspace() or s[-1].isspace():
-                self.memo[s] = None
-            else:
-                new.append(s)
-        odd = [s for s in new if "\t" in s]
-        plain = [s for s in new if "\t" not in s] if odd else new
-        for part in (plain, odd):
+    def fresh(self, segments: list[str]) -> list[bytes | None]:
+        """Ids of segments, None for those of irregular spacing."""
+        out: list[bytes | None] = [None] * len(segments)
+        even = [k for k, s in enumerate(segments) if s and not s[0].isspace() and not s[-1].isspace()]
+        odd = [k for k in even if "\t" in segments[k]]
+        for part in ([k for k in even if "\t" not in segments[k]] if odd else even, odd):
             if part:
-                self.memo.update(zip(part, self.many([" " + s for s in part]), strict=True))
+                for k, ids in zip(part, self.many([" " + segments[k] for k in part]), strict=True):
+                    out[k] = ids
+        return out
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         whole = [not t or t[0].isspace() or any(x in t for x in self.added) for t in texts]
         cut = [[] if w else t.split(" ") for t, w in zip(texts, whole, strict=True)]
-        memo = self.memo
-        if missing := [s for c in cut for s in c[1:] if s not in memo]:
-            self.learn(missing)
+        known = self.memo.new
+        ids_of = self.memo.learn([s for c in cut for s in c[1:] if s not in known], self.fresh)
         out = []
         for text, direct, parts in zip(texts, whole, cut, strict=True):
             if direct or parts[0][-1].isspace():
                 out.append(self.ids(text).tobytes())
                 continue
-            got = list(map(memo.__getitem__, parts[1:]))
+            got = list(map(ids_of, parts[1:]))
             out.append(self.ids(text).tobytes() if None in got else self.ids(parts[0]).tobytes() + b"".join(got))
-        if len(memo) > MEMO_SEGMENTS:
-            self.old, self.memo = memo, {}
+        self.memo.turn()
         return out
 
     def encode(self, text: str) -> bytes:

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .arrow import map_slices
 from .common import WORD, back, broadcast_if_small, by_position, checkpoint, drop_table, pick, write_table
+from .memo import LONGEST
 
 BUCKETS = 1 << 20
 #: Bound of the labelled sample that the model is fitted on (rows in order of a hash of doc_id).
@@ -32,7 +33,8 @@ LEAST_GAIN, LEAST_ROWS = 6.0, 3
 FACTORS = 8
 _WORD = re.compile(WORD)
 _CACHE: dict[str, tuple[int, ...]] = {}
-_CACHE_WORDS = 400_000
+#: Words that a worker process remembers, none longer than ``LONGEST`` characters: at most 400 bytes each.
+_CACHE_WORDS = 200_000
 
 
 def term_buckets(word: str) -> tuple[int, ...]:
@@ -42,7 +44,9 @@ def term_buckets(word: str) -> tuple[int, ...]:
         if len(_CACHE) >= _CACHE_WORDS:
             _CACHE.clear()
         terms = ["w" + word] + ["p" + word[:n] for n in (4, 5) if len(word) > n]
-        got = _CACHE[word] = tuple(zlib.crc32(t.encode()) % BUCKETS for t in terms)
+        got = tuple(zlib.crc32(t.encode()) % BUCKETS for t in terms)
+        if len(word) <= LONGEST:
+            _CACHE[word] = got
     return got
 
 
