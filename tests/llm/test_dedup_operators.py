@@ -1,5 +1,6 @@
 """Line dedup, near dedup and the pipeline against brute force, with edge cases."""
 
+import math
 import os
 import random
 import re
@@ -7,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from veridock.llm import near_dup
 from veridock.llm.common import WORD
@@ -232,3 +234,29 @@ def test_pipeline_stages_take_effect(spark):
     assert sizes[2] == sizes[1] and sizes[3] < sizes[2] and sizes[4] < sizes[3]
     rows = p.run(spark, SF).select("doc_id", "n_tokens", "round_trip").collect()
     assert len(rows) == sizes[-1] and all(r.round_trip for r in rows)
+
+
+def test_open_pairs_are_all_pairs_that_the_bounds_allow(spark, monkeypatch):
+    """Both sides in many shares: every pair of different components once, none that the bounds exclude."""
+    monkeypatch.setattr(near_dup, "SHARE_ROWS", 4)
+    rng = random.Random(4)
+    rows = [(h, r, rng.randint(5, 60), rng.randint(0, 3), rng.choice([1, 1, 1, r]), 1) for h in (1, 2) for r in range(100, 160)]
+    table = spark.createDataFrame(rows, "h long, row long, n long, pos long, comp long, major long")
+    sizes = table.groupBy("h").agg(F.count("*").alias("total"), F.sum((F.col("comp") != 1).cast("long")).alias("outside"))
+    got = sorted(tuple(r) for r in near_dup.open_pairs(table.join(sizes, "h"), 0.8).collect())
+    want = set()
+    for h, a, na, pa, ca, _ in rows:
+        for h2, b, nb, pb, cb, _ in rows:
+            if h == h2 and a < b and ca != cb and min(na, nb) >= 0.8 * max(na, nb) and min(na - pa, nb - pb) >= math.ceil(0.8 / 1.8 * (na + nb) - 1e-6):
+                want.add((a, b))
+    assert got == sorted(want) and len(got) > 50
+
+
+def test_many_components_with_one_common_passage(spark):
+    """Documents that share a passage and are else their own meet nobody: their own shingles are rarer."""
+    words = [f"c{k}" for k in range(12)]
+    rows = [(k, " ".join(words + [f"d{k}x{j}" for j in range(8)])) for k in range(600)]
+    rows += [(1000 + k, " ".join([*words, *[f"e{k // 2}x{j}" for j in range(60)], f"t{k}"])) for k in range(40)]
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k] == k for k in range(600))
+    assert all(got[1000 + k] == 1000 + k - k % 2 for k in range(40))

@@ -34,8 +34,8 @@ THRESHOLD = 0.8
 #: A pair at the threshold shares a band with a probability of 0.9998; what shares one by chance costs little, as the set join drops it.
 BANDS, ROWS = 22, 5
 #: While rare shingles bring more meetings a document than this, counted once a shingle, each is tried against one document
-#: per shingle first, as long as a turn halves their number.
-OPEN_MEETINGS = 200
+#: per shingle first, as long as a turn joins this share of the components that meet.
+OPEN_MEETINGS, OPEN_JOINED = 200, 0.05
 #: Documents of one rare shingle that meet in a task.
 SHARE_ROWS = 128
 _WORD = re.compile(WORD)
@@ -210,29 +210,38 @@ def rare_postings(texts: DataFrame, threshold: float) -> DataFrame:
 
 
 def open_shingles(postings: DataFrame, comp: DataFrame) -> DataFrame:
-    """row, n, h, pos, comp, major, total: postings of the shingles that several components share.
+    """row, n, h, pos, comp, major, total, outside: postings of the shingles that several components share.
 
-    major is the component with most documents of the shingle, total the number of its documents.
+    major is the component with most documents of the shingle, total the number of
+    its documents, outside that of those in other components.
     """
     placed = postings.join(comp, "row")
     sizes = placed.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("h")
     groups = sizes.agg(F.max(F.struct("k", "comp")).alias("m"), F.sum("k").alias("total"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    return join_hot(placed, "h", "row", groups.select("h", F.col("m.comp").alias("major"), "total"))
+    return join_hot(placed, "h", "row", groups.select("h", F.col("m.comp").alias("major"), "total", (F.col("total") - F.col("m.k")).alias("outside")))
 
 
 def open_pairs(shared: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of different components that share a rare shingle and pass the length and positional bounds.
 
-    Documents outside a shingle's major component meet all others; the major
-    component is dealt into shares, so none of its own pairs is ever formed.
+    Documents outside a shingle's major component meet all others. Both sides are
+    dealt into shares, so a task compares at most about ``SHARE_ROWS`` squared of
+    them, none of the major component's own pairs is ever formed, and only lengths
+    of one or of neighbouring classes meet: a class spans the ratio ``threshold``.
     """
-    shares = F.ceil(F.col("total") / SHARE_ROWS).cast("int")
-    right = shared.select("h", "major", F.col("row").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"), F.pmod(F.xxhash64("row"), shares).cast("int").alias("share"))
-    left = shared.where("comp <> major").select("h", F.col("row").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"), F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"))
+    rows, of_left, of_right = F.xxhash64("row"), F.ceil(F.col("outside") / SHARE_ROWS).cast("int"), F.ceil(F.col("total") / SHARE_ROWS).cast("int")
+    length = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(threshold)) + 1e-9).cast("int")
+    right = shared.select("h", "major", F.col("row").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"), length.alias("length"), F.pmod(rows, of_right).cast("int").alias("rs"))
+    left = shared.where("comp <> major").select("h", F.col("row").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"), length.alias("l"), F.pmod(rows, of_left).cast("int").alias("ls"), F.sequence(F.lit(0), of_right - 1).alias("rss"))
+    left = left.withColumn("length", F.explode(F.array(F.col("l") - 1, F.col("l"), F.col("l") + 1)))
+    # A row goes to the shares of the other side, on the right to those that have rows of its class.
+    waiting = left.groupBy("h", "length").agg(F.collect_set("ls").alias("lss"))
+    right = join_hot(right, ["h", "length"], "b", waiting).withColumn("ls", F.explode("lss")).drop("lss")
+    left = left.withColumn("rs", F.explode("rss")).drop("rss", "l")
     once = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("major")) | (F.col("a") < F.col("b")))
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-6)
     able = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need
-    found = left.join(right, ["h", "share"]).where(once & fitting(threshold) & able)
+    found = left.join(right, ["h", "length", "ls", "rs"]).where(once & fitting(threshold) & able)
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -281,15 +290,17 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
     turn, before = 0, None
     while True:
         shared = write_table(open_shingles(postings, comp), "near_open")
-        documents, meetings = shared.agg(F.count_distinct("row"), F.sum(F.when(F.col("comp") != F.col("major"), F.col("total")))).first()
-        if (meetings or 0) <= OPEN_MEETINGS * documents or before is not None and meetings > before / 2:
+        documents, parts, meetings = shared.agg(F.count_distinct("row"), F.count_distinct("comp"), F.sum(F.when(F.col("comp") != F.col("major"), F.col("total")))).first()
+        if (meetings or 0) <= OPEN_MEETINGS * documents or before is not None and parts > before * (1 - OPEN_JOINED):
             break
-        comp = checkpoint(joined_classes(comp, write_table(verify(hub_pairs(shared, turn), texts, threshold), "near_hub_links")))
-        drop_table(shared)
-        turn, before = turn + 1, meetings
+        hub_links = write_table(verify(hub_pairs(shared, turn), texts, threshold), "near_hub_links")
+        comp = checkpoint(joined_classes(comp, hub_links))
+        drop_table(shared, hub_links)
+        turn, before = turn + 1, parts
     rest = write_table(open_pairs(shared, threshold), "near_rest")
-    comp = checkpoint(joined_classes(comp, write_table(verify(rest, texts, threshold), "near_more")))
-    drop_table(postings, shared, rest, texts, links)
+    more = write_table(verify(rest, texts, threshold), "near_more")
+    comp = checkpoint(joined_classes(comp, more))
+    drop_table(postings, shared, rest, more, texts, links)
     classed = join_hot(member, "rep", "row", comp.withColumnRenamed("row", "rep"), "left").select("doc_id", "th", "row", F.coalesce("comp", "rep").alias("comp"))
     first_row = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row")
     classed = join_groups(write_table(classed, "near_classes"), ["comp"], "row", [F.min(first_row).alias("k"), F.count(F.lit(1)).alias("class_size")], [F.min("k").alias("k"), F.sum("class_size").alias("class_size")])
