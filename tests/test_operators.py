@@ -52,6 +52,32 @@ def test_unsupported_numbers():
     assert numbers.unsupported_span("12 and 1,000") is None
 
 
+@pytest.mark.parametrize(
+    ("line", "span"),
+    [
+        ("1.2.3", (0, 1)), ("1..2", (0, 1)), ("5-6", (2, 3)), ("1,000-2,000", (6, 7)), ("x 12,34 y", (2, 7)), ("1,23,456", (0, 8)), ("12,345.", (0, 6)), ("값은 １２３이다.", (3, 6)),
+        ("10²", (2, 3)), ("1E-3", (0, 4)), ("제2종 구역 10m² R1 DOC-7 v1.2.3", None), ("10m-5", None), ("+3 -12 12.50% 1,000㎡ 0.5미터", None), ("", None),
+    ],
+)
+def test_what_is_no_number_is_refused(line, span):
+    assert numbers.unsupported_span(line) == span
+
+
+def test_numbers_as_columns(spark):
+    line = "제2종 1,000-2 of -5 m², a1 7.50% 3."
+    row = spark.createDataFrame([(line,), (None,)], "t string").select(numbers.numeric_texts(F.col("t")).alias("n")).collect()
+    assert [r["n"] for r in row] == [[t for t, _, _ in numbers.numeric_spans(line)], None]
+
+
+def test_numbers_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for part in ("1.1", "1,", "1_", "7", "제1종", "1e1 "):
+        numbers.unsupported_span(part * 50_000)
+    assert time.perf_counter() - began < 10
+
+
 def test_measures_and_conditional_range(spark):
     rule = "높이 20m 이하. " + "x" * 90 + " 다만 30m 까지"
     df = spark.createDataFrame([("25 m", rule), ("35 m", rule), ("25 %", rule)], "fact string, rule string")
@@ -99,13 +125,6 @@ def test_fusion_ignores_order_and_rejects_unknown_channels(spark):
         search.fuse(spark.createDataFrame([("a", "clause_exact", 1.0)], "id string, channel string, score double"), "id").collect()
 
 
-def test_cascade_takes_the_first_stage(spark):
-    docs = spark.createDataFrame([(1, "red big ring"), (2, "ring that is red"), (3, "redder rings"), (4, "blue big stone")], "id int, text string")
-    asked = spark.createDataFrame([("p", ["red", "big"]), ("t", ["ring", "red"]), ("x", ["redd", "ring"]), ("s", ["blue", "big", "hat"]), ("n", ["nothing"])], "q string, terms array<string>")
-    got = {(r["q"], r["stage"], r["id"]) for r in search.cascade(docs, "id", "text", asked).collect()}
-    assert {("p", 1, 1), ("t", 2, 1), ("t", 2, 2), ("x", 3, 3), ("s", 4, 4)} == got
-
-
 def test_traversal_budgets(spark):
     links = [("s", f"n{i}", "exception" if i == 9 else "visual") for i in range(10)] + [("n9", "s", "parent"), ("n9", "m1", "parent"), ("n9", "gone", "cited_clause")]
     known = [(f"n{i}", True, None) for i in range(10)] + [("m1", True, "STALE_SAME_DOCUMENT_REVISION")]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veridock.functions.numbers import numeric_tokens, relation_holds
+from veridock.functions.numbers import numeric_texts, relation_holds
 
 #: Origins of a search term, the most trusted first.
 ORIGINS = ("primary", "approved_synonym", "user", "llm")
@@ -51,7 +51,7 @@ def unsupported_numbers(claims: DataFrame, citations: DataFrame, sources: DataFr
     """
 
     def found(df: DataFrame, key: str) -> DataFrame:
-        return df.select(key, F.explode(F.array_distinct(F.transform(numeric_tokens("text"), lambda x: x["text"]))).alias("number"))
+        return df.select(key, F.explode(F.array_distinct(numeric_texts(F.col("text")))).alias("number"))
 
     # Texts are read once each, however many claims cite them.
     cited = citations.select("claim", "source").distinct().join(found(sources, "source"), "source").select("claim", "number")

@@ -1,4 +1,4 @@
-"""Full-text channels over tokens, ranking, fusion and the fallback cascade.
+"""Full-text channels over tokens, ranking and fusion, by scans; ``inverted_index`` and ``cascade`` search a stored index.
 
 A channel filters rows in place with array functions, so text never shuffles;
 only the top rows of a channel are sorted, ranked and fused.
@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veridock.functions.text import sub_queries, token_text, tokens
+from veridock.functions.text import token_text, tokens
 
 #: Weights of the fusion.
 CHANNEL_WEIGHTS = {
@@ -22,8 +22,6 @@ CHANNEL_WEIGHTS = {
 }
 #: Parameters of BM25, and the least weight of a term.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
-#: A table of queries that meets every row is broadcast; more of them are asked in blocks of this size.
-MOST_QUERIES = 10_000
 
 
 def postings(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -116,25 +114,3 @@ def neighbours(df: DataFrame, group: str, order: str, seeds: DataFrame, radius:
     """Rows within ``radius`` places of a seed in the same group, seeds left out: an equi-join on group and place."""
     near = seeds.select(group, F.explode(F.sequence(F.col(order) - radius, F.col(order) + radius)).alias(order), F.col(order).alias("seed")).where(F.col(order) != F.col("seed"))
     return df.join(near, [group, order])
-
-
-def cascade(df: DataFrame, key: str, text: str, queries: DataFrame, k: int = 5) -> DataFrame:
-    """q, stage, key, rank: per query the hits of its first stage that has any.
-
-    ``queries`` (q, terms) is a block of at most MOST_QUERIES; more are an error.
-    Stages: 1 phrase, 2 all tokens, 3 all prefixes, 4 a shorter sub-query.
-    """
-    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        raise ValueError(f"ask at most {MOST_QUERIES} queries at once")
-    base = df.select(key, token_text(F.col(text)).alias("body"), tokens(F.col(text)).alias("ws"))
-    asked = queries.select("q", "terms", F.transform(sub_queries(F.col("terms")), lambda s: F.concat(F.lit(" "), s, F.lit(" "))).alias("subs"))
-    pairs = base.crossJoin(F.broadcast(asked))
-    phrase = F.col("body").contains(F.concat(F.lit(" "), F.array_join("terms", " "), F.lit(" ")))
-    every = F.forall("terms", lambda t: F.array_contains("ws", t))
-    prefix = F.forall("terms", lambda t: F.exists("ws", lambda w: w.startswith(t)))
-    shorter = F.exists("subs", lambda s: F.col("body").contains(s))
-    stage = F.when(phrase, 1).when(every, 2).when(prefix, 3).when(shorter, 4)
-    hits = pairs.select("q", key, stage.alias("stage"), F.size("ws").alias("n")).where("stage IS NOT NULL")
-    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("stage", "n", key))).where(F.col("rank") <= k)
-    first = Window.partitionBy("q")
-    return ranked.withColumn("best", F.min("stage").over(first)).where("stage = best").select("q", "stage", key, "rank")

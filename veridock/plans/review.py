@@ -100,14 +100,6 @@ def merged_channels(spark, sf):
     return search.merge_details(hits, "user_id")
 
 
-@query(f"""WITH d AS (SELECT doc_id, {TOK} w, {BODY} b FROM documents), q AS (SELECT * FROM (VALUES (1, ' of the ', ['of','the']), (2, ' the zzz ', ['the','zzz'])) x(q, p, ts)),
-h AS (SELECT q, doc_id, len(w) n, CASE WHEN contains(b, p) THEN 1 WHEN len(list_filter(ts, lambda t: NOT list_contains(w, t))) = 0 THEN 2 END stage FROM d, q)
-SELECT q, stage, doc_id, rank FROM (SELECT q, stage, doc_id, row_number() OVER (PARTITION BY q ORDER BY stage, n, doc_id) rank, min(stage) OVER (PARTITION BY q) best FROM h WHERE stage IS NOT NULL) WHERE rank <= 5 AND stage = best""")
-def fallback_cascade(spark, sf):
-    asked = spark.createDataFrame([(1, ["of", "the"]), (2, ["the", "zzz"])], "q int, terms array<string>")
-    return search.cascade(_docs(spark, sf), "doc_id", "text", asked, 5)
-
-
 @query(f"""WITH i AS (SELECT item_id, {TOK} w, len({TOK}) n FROM benchmark),
 v AS (SELECT item_id, list_concat(CASE WHEN n >= 2 THEN [w[k] || w[k + 1] FOR k IN range(1, n)] ELSE [] END, CASE WHEN n >= 3 THEN [w[k] || w[k + 1] || w[k + 2] FOR k IN range(1, n - 1)] ELSE [] END) c,
 list_concat(CASE WHEN n >= 3 THEN [array_to_string(list_concat(w[1:k - 1], w[k + 1:]), ' ') FOR k IN range(1, n + 1)] ELSE [] END, CASE WHEN n > 3 THEN [array_to_string(w[k:k + 2], ' ') FOR k IN range(1, n - 1)] ELSE [] END, CASE WHEN n > 2 THEN [array_to_string(w[k:k + 1], ' ') FOR k IN range(1, n)] ELSE [] END) s FROM i)
@@ -314,6 +306,16 @@ def numeric_scan(spark, sf):
     return found.select("p_partkey", F.size("found").alias("n"), F.array_join(F.transform("found", lambda x: x["text"]), "|").alias("numbers"))
 
 
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 8 < 7 THEN s || ':' || (s + len(f)) || ': ' || f END refused FROM (SELECT o_orderkey, CASE o_orderkey % 8 WHEN 5 THEN 5 ELSE 3 END s,
+CASE o_orderkey % 8 WHEN 0 THEN o_orderkey || 'e3' WHEN 1 THEN '.' || o_orderkey WHEN 2 THEN o_orderkey || '_5' WHEN 3 THEN o_orderkey || ',5' WHEN 4 THEN '1' WHEN 5 THEN '' || o_orderkey WHEN 6 THEN '⑩' END f FROM orders)""")
+def numeric_refusals(spark, sf):
+    """The first expression of a line that looks numeric and is no number: exponents, leading dots, underscores, wrong groups, lone digits, numerals."""
+    k = F.col("o_orderkey").cast("string")
+    forms = [F.concat(k, F.lit("e3")), F.concat(F.lit("."), k), F.concat(k, F.lit("_5")), F.concat(k, F.lit(",5")), F.concat(F.lit("1."), k, F.lit(".3")), F.concat(F.lit("5-"), k), F.concat(F.lit("⑩"), k), k]
+    line = F.concat(F.lit("at "), F.element_at(F.array(*forms), (F.col("o_orderkey") % 8 + 1).cast("int")), F.lit(" m"))
+    return t(spark, sf, "orders").select("o_orderkey", numbers.unsupported_numeric(line).alias("refused"))
+
+
 @query("""SELECT o_orderkey, CASE WHEN o_totalprice < 250000 THEN 'LESS' WHEN o_totalprice > 250000 THEN 'GREATER' ELSE 'EQUAL' END cmp FROM orders""")
 def decimal_compare(spark, sf):
     return t(spark, sf, "orders").select("o_orderkey", numbers.compare_tokens(F.format_number("o_totalprice", 2), F.lit("250,000")).alias("cmp"))
