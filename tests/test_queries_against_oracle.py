@@ -7,12 +7,12 @@ from collections import Counter
 import duckdb
 import pytest
 
-from veridock.plans import audit, relational, retrieval, review
+from veridock.plans import audit, legal, relational, retrieval, review
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES = {**relational.QUERIES, **review.QUERIES, **audit.QUERIES, **retrieval.QUERIES}
-ORACLE = {**relational.ORACLE, **review.ORACLE, **audit.ORACLE, **retrieval.ORACLE}
+QUERIES = {**relational.QUERIES, **review.QUERIES, **audit.QUERIES, **retrieval.QUERIES, **legal.QUERIES}
+ORACLE = {**relational.ORACLE, **review.ORACLE, **audit.ORACLE, **retrieval.ORACLE, **legal.ORACLE}
 
 
 def norm(v):
