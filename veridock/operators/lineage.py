@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veridock.functions.geometry import boxes_agree
+from veridock.operators.ranks import group_ranks
 
 
 def match_fingerprints(left: DataFrame, right: DataFrame, key: str, fingerprint: str) -> DataFrame:
@@ -13,10 +16,8 @@ def match_fingerprints(left: DataFrame, right: DataFrame, key: str, fingerprint:
 
     ``left`` rows whose fingerprint has more rows on the right than on the left are AMBIGUOUS as well as paired.
     """
-    w = Window.partitionBy(fingerprint).orderBy(key)
-    n = Window.partitionBy(fingerprint)
-    a = left.select(F.col(key).alias("left_id"), fingerprint, F.row_number().over(w).alias("nth"), F.count(F.lit(1)).over(n).alias("n_left"))
-    b = right.select(F.col(key).alias("right_id"), fingerprint, F.row_number().over(w).alias("nth"), F.count(F.lit(1)).over(n).alias("n_right"))
+    a = group_ranks(left.select(F.col(key).alias("left_id"), fingerprint), [fingerprint], ["left_id"], "nth", "n_left")
+    b = group_ranks(right.select(F.col(key).alias("right_id"), fingerprint), [fingerprint], ["right_id"], "nth", "n_right")
     joined = a.join(b, [fingerprint, "nth"], "left")
     code = F.when(F.col("right_id").isNull(), "MISSING").when(F.col("n_right") > F.col("n_left"), "AMBIGUOUS").otherwise("MATCHED")
     return joined.select("left_id", "right_id", code.alias("code"))
@@ -70,8 +71,7 @@ def structural_diff(left: DataFrame, right: DataFrame, key: list[str], value: st
 def warning_differences(left: DataFrame, right: DataFrame) -> DataFrame:
     """left_id, right_id, kind of warnings(id, code, message): those only on one side are paired by (code, message) in order of id."""
     gone, new = left.join(right, "id", "left_anti"), right.join(left, "id", "left_anti")
-    w = Window.partitionBy("code", "message").orderBy("id")
-    a, b = gone.select(F.col("id").alias("left_id"), "code", "message", F.row_number().over(w).alias("n")), new.select(F.col("id").alias("right_id"), "code", "message", F.row_number().over(w).alias("n"))
+    a, b = (group_ranks(side.select(F.col("id").alias(name), "code", "message"), ["code", "message"], [name], "n") for side, name in ((gone, "left_id"), (new, "right_id")))
     kind = F.when(F.col("right_id").isNull(), "WARNING_REMOVED").when(F.col("left_id").isNull(), "WARNING_ADDED").otherwise("WARNING_CHANGED")
     return a.join(b, ["code", "message", "n"], "full").select("left_id", "right_id", kind.alias("kind"))
 
@@ -102,5 +102,40 @@ def set_equal(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def json_entries(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, path, value of the top-level fields of a flat JSON object."""
+    """key, path, value of the top-level fields of a flat JSON object; ``json_paths`` takes nested ones."""
     return df.select(key, F.explode(F.from_json(text, "map<string,string>")).alias("path", "value"))
+
+
+def json_paths(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, path, type, value: the leaves of JSON texts of any shape, with typed paths.
+
+    A field adds ``.name`` (``["name"]`` where the name isn't plain), an element of an array
+    ``[place]``; empty objects and arrays are leaves. Objects are opened level by
+    level, by rows and without a shuffle, as deep as the deepest text. A text that is
+    no JSON is one leaf of type INVALID, null texts have none.
+    """
+    spark = df.sparkSession
+    parsed = df.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.lit("$").alias("path"), F.try_parse_json(text).alias("v"), F.col(text).alias("raw"))
+    invalid = parsed.where("v IS NULL").select("k", "path", F.lit("INVALID").alias("type"), F.col("raw").alias("value"))
+    level, leaves = parsed.where("v IS NOT NULL").select("k", "path", "v"), [invalid]
+    while True:
+        typed = level.withColumn("kind", F.schema_of_variant("v"))
+        nested = F.col("kind").rlike("^(OBJECT|ARRAY)<") & ~F.to_json("v").isin("{}", "[]")
+        plain = F.when(F.col("kind").startswith("OBJECT<"), "OBJECT").when(F.col("kind").startswith("ARRAY<"), "ARRAY").otherwise(F.regexp_replace("kind", r"\(.*", ""))
+        leaves.append(typed.where(~nested).select("k", "path", plain.alias("type"), F.to_json("v").alias("value")))
+        open_rows = typed.where(nested)
+        if open_rows.isEmpty():
+            break
+        name = F.when(F.col("e_key").isNull(), F.concat(F.lit("["), F.col("e_pos").cast("string"), F.lit("]"))).when(F.col("e_key").rlike("^[A-Za-z_][A-Za-z0-9_]*$"), F.concat(F.lit("."), "e_key"))
+        name = name.otherwise(F.to_json(F.array("e_key")))
+        opened = open_rows.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).toDF("e_pos", "e_key", "e_value"))
+        level = opened.select("k", F.concat("path", name).alias("path"), F.col("e_value").alias("v"))
+    return reduce(DataFrame.unionByName, leaves).withColumnRenamed("k", key)
+
+
+def json_differences(left: DataFrame, right: DataFrame, key: str, text: str) -> DataFrame:
+    """key, path, kind, left_value, right_value of two tables of JSON texts: leaves ADDED, REMOVED, CHANGED, or TYPE_CHANGED."""
+    a = json_paths(left, key, text).select(key, "path", F.col("type").alias("lt"), F.col("value").alias("left_value"))
+    b = json_paths(right, key, text).select(key, "path", F.col("type").alias("rt"), F.col("value").alias("right_value"))
+    kind = F.when(F.col("rt").isNull(), "REMOVED").when(F.col("lt").isNull(), "ADDED").when(F.col("lt") != F.col("rt"), "TYPE_CHANGED").when(F.col("left_value") != F.col("right_value"), "CHANGED")
+    return a.join(b, [key, "path"], "full").select(key, "path", kind.alias("kind"), "left_value", "right_value").where("kind IS NOT NULL")

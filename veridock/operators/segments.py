@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridock.functions.text import heading_slug
+from veridock.operators.ranks import group_ranks
 
 
 def segment(df: DataFrame, group: list[str], order: str, starts: Column) -> DataFrame:
@@ -22,11 +23,13 @@ def fold_segments(df: DataFrame, group: list[str], order: str, text: str) -> Dat
 
 
 def siblings(df: DataFrame, group: list[str], order: str, key: str) -> DataFrame:
-    """source, target, relation: links to the next and to the previous row of a group."""
-    w = Window.partitionBy(*group).orderBy(order)
-    both = df.select(F.col(key).alias("source"), F.lead(key).over(w).alias("next_sibling"), F.lag(key).over(w).alias("previous_sibling"))
-    flat = both.unpivot("source", ["next_sibling", "previous_sibling"], "relation", "target")
-    return flat.where("target IS NOT NULL").select("source", "target", "relation")
+    """source, target, relation: links to the next and to the previous row of a group. Neighbours meet by their place, so a large group is no single task."""
+    placed = group_ranks(df.select(*dict.fromkeys([*group, order, key])), group, list(dict.fromkeys([order, key])))
+    names = [f"__g{k}" for k in range(len(group))]
+    after = placed.select(*[F.col(g).alias(n) for g, n in zip(group, names, strict=True)], (F.col("rank") - 1).alias("__before"), F.col(key).alias("__next"))
+    pairs = placed.join(after, [*[F.col(g).eqNullSafe(F.col(n)) for g, n in zip(group, names, strict=True)], F.col("rank") == F.col("__before")]).select(F.col(key).alias("a"), F.col("__next").alias("b"))
+    both = F.explode(F.array(F.struct(F.col("a").alias("source"), F.col("b").alias("target"), F.lit("next_sibling").alias("relation")), F.struct(F.col("b").alias("source"), F.col("a").alias("target"), F.lit("previous_sibling").alias("relation"))))
+    return pairs.select(both.alias("l")).select("l.*")
 
 
 def ordinal(df: DataFrame, group: list[str], order: list, name: str = "ordinal") -> DataFrame:
@@ -35,6 +38,6 @@ def ordinal(df: DataFrame, group: list[str], order: list, name: str = "ordinal")
 
 def heading_anchors(df: DataFrame, group: list[str], order: str, heading: str) -> DataFrame:
     """Adds ``anchor``: the slug, and -1, -2, ... for repeats within a group."""
-    base = df.withColumn("__slug", heading_slug(F.col(heading)))
-    n = F.row_number().over(Window.partitionBy(*group, "__slug").orderBy(order)) - 1
-    return base.withColumn("anchor", F.when(n > 0, F.concat_ws("-", "__slug", n.cast("string"))).otherwise(F.col("__slug"))).drop("__slug")
+    base = group_ranks(df.withColumn("__slug", heading_slug(F.col(heading))), [*group, "__slug"], [order], "__n")
+    n = F.col("__n") - 1
+    return base.withColumn("anchor", F.when(n > 0, F.concat_ws("-", "__slug", n.cast("string"))).otherwise(F.col("__slug"))).drop("__slug", "__n")

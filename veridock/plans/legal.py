@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veridock.operators import clauses, references
+from veridock.functions.canonical import row_text
+from veridock.operators import clauses, graph, lineage, ranks, references
 from veridock.plans.relational import t
 
 QUERIES: dict = {}
@@ -82,3 +83,63 @@ def written_references(spark, sf):
     s = F.col("s_suppkey")
     places = t(spark, sf, "supplier").select(F.col("s_nationkey").alias("document"), s.alias("evidence"), F.concat(F.lit("[제"), (s % 4 + 1).cast("string"), F.lit("조(x)")).alias("title"), F.when(s % 3 == 0, "한 제1항").otherwise("").alias("text"))
     return references.reference_links(refs, documents, places, "o_orderkey").select("o_orderkey", "relation", "target")
+
+
+def _dependencies(spark, sf):
+    """Regions, nations, customers, orders, each needing the one before; in some nations every hundredth customer is needed by its nation."""
+    n, c, o = t(spark, sf, "nation"), t(spark, sf, "customer"), t(spark, sf, "orders")
+
+    def edge(df, a, x, b, y):
+        return df.select(F.concat(F.lit(a), F.col(x).cast("string")).alias("source"), F.concat(F.lit(b), F.col(y).cast("string")).alias("target"))
+
+    edges = edge(n, "r", "n_regionkey", "n", "n_nationkey").union(edge(c, "n", "c_nationkey", "c", "c_custkey")).union(edge(o, "c", "o_custkey", "o", "o_orderkey"))
+    edges = edges.union(edge(c.where("c_custkey % 100 = 0 AND c_nationkey % 5 = 0"), "c", "c_custkey", "n", "c_nationkey"))
+    nodes = edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct()
+    return edges, nodes
+
+
+STUCK = "st AS (SELECT c_nationkey k, min('c' || c_custkey) low FROM customer WHERE c_custkey % 100 = 0 AND c_nationkey % 5 = 0 GROUP BY 1)"
+
+
+@query(f"""WITH {STUCK}, cu AS (SELECT c_custkey, c_nationkey IN (SELECT k FROM st) x FROM customer)
+SELECT DISTINCT 'r' || n_regionkey node, 1 AS level FROM nation UNION ALL SELECT 'n' || n_nationkey, CASE WHEN n_nationkey IN (SELECT k FROM st) THEN NULL ELSE 2 END FROM nation
+UNION ALL SELECT 'c' || c_custkey, CASE WHEN x THEN NULL ELSE 3 END FROM cu UNION ALL SELECT 'o' || o_orderkey, CASE WHEN x THEN NULL ELSE 4 END FROM orders JOIN cu ON c_custkey = o_custkey""")
+def dependency_levels(spark, sf):
+    """In which round every node of a dependency graph is free; none for what hangs on a cycle."""
+    return graph.peel(*_dependencies(spark, sf))
+
+
+@query(f"""WITH {STUCK} SELECT 'n' || k node, low "cycle" FROM st UNION ALL SELECT 'c' || c_custkey, low FROM customer JOIN st ON k = c_nationkey WHERE c_custkey % 100 = 0""")
+def dependency_cycles(spark, sf):
+    return graph.cycles(*_dependencies(spark, sf))
+
+
+LEVELS = ", ".join(f"""l{k + 1} AS (SELECT g i, CASE WHEN max(c) = 1 THEN min(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END h FROM (SELECT i, h, CASE WHEN c = 1 THEN i ELSE i // 64 END g, c FROM (SELECT *, count(*) OVER () c FROM l{k})) GROUP BY 1)""" for k in range(5))
+
+
+@query(f"""WITH l0 AS (SELECT row_number() OVER (ORDER BY o_orderkey, h) - 1 i, h FROM (SELECT o_orderkey, sha256(o_orderkey || chr(31) || o_custkey || chr(31) || o_orderstatus) h FROM orders)), {LEVELS}
+SELECT (SELECT count(*) FROM orders) n_rows, h digest FROM l5""")
+def ordered_snapshot_digest(spark, sf):
+    """One digest of all orders in order of their keys, as a tree."""
+    o = t(spark, sf, "orders")
+    return ranks.ordered_digest(o.select("o_orderkey", "o_custkey", "o_orderstatus"), ["o_orderkey"], row_text(o, "o_orderkey", "o_custkey", "o_orderstatus"))
+
+
+@query("""WITH e AS (SELECT event_id, user_id u, event_id % 6 f FROM events)
+SELECT event_id, '$.a.b' path, 'CHANGED' kind, '' || u left_value, '' || (u + 1) right_value FROM e WHERE f = 1
+UNION ALL SELECT event_id, '$.a.list[1].z', 'REMOVED', 'true', NULL FROM e WHERE f = 2 UNION ALL SELECT event_id, '$.t', 'TYPE_CHANGED', '"x"', '1' FROM e WHERE f = 3
+UNION ALL SELECT event_id, '$["odd name"]', 'ADDED', NULL, 'null' FROM e WHERE f = 4
+UNION ALL SELECT event_id, '$.a.list', 'ADDED', NULL, '[]' FROM e WHERE f = 5 UNION ALL SELECT event_id, '$.a.list[0]', 'REMOVED', '1', NULL FROM e WHERE f = 5 UNION ALL SELECT event_id, '$.a.list[1].z', 'REMOVED', 'true', NULL FROM e WHERE f = 5""")
+def nested_json_diff(spark, sf):
+    """Nested payloads of all events against changed ones."""
+    e = t(spark, sf, "events")
+    u, f = F.col("user_id"), F.col("event_id") % 6
+
+    def payload(b, items, name, more):
+        return F.concat(F.lit('{"a": {"b": '), b.cast("string"), F.lit(', "list": ['), items, F.lit(']}, "t": '), name, more, F.lit("}"))
+
+    whole, none = F.lit('1, {"z": true}'), F.lit("")
+    items = F.when(f == 2, F.lit("1")).when(f == 5, none).otherwise(whole)
+    left = e.select("event_id", payload(u, whole, F.lit('"x"'), none).alias("j"))
+    right = e.select("event_id", payload(F.when(f == 1, u + 1).otherwise(u), items, F.when(f == 3, "1").otherwise('"x"'), F.when(f == 4, ', "odd name": null').otherwise("")).alias("j"))
+    return lineage.json_differences(left, right, "event_id", "j")

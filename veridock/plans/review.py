@@ -135,14 +135,12 @@ def bfs_budgeted(spark, sf):
     return graph.traverse(seeds, links, known, depth=2).select("query", "target", "source", "relation", "depth", "found")
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey % 25 s, (c_nationkey * 7 + c_custkey % 3) % 25 d FROM customer), r(node) AS (SELECT 3 UNION SELECT d FROM e JOIN r ON e.s = r.node) SELECT node FROM r""")
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT user_id s, CAST(json_extract(props, '$.k') AS BIGINT) d FROM events), r(node) AS (SELECT DISTINCT user_id FROM events WHERE user_id % 97 = 3 UNION SELECT d FROM e JOIN r ON e.s = r.node) SELECT node FROM r""")
 def transitive_staleness(spark, sf):
-    from veridock.sources.session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(spark)
-    c = t(spark, sf, "customer")
-    edges = c.select((F.col("c_nationkey") % 25).cast("int").alias("source"), ((F.col("c_nationkey") * 7 + F.col("c_custkey") % 3) % 25).cast("int").alias("target")).distinct()
-    return graph.closure(edges, spark.createDataFrame([(3,)], "node int"))
+    """Everything that hangs on some users, along the links of all events."""
+    e = t(spark, sf, "events")
+    edges = e.select(F.col("user_id").alias("source"), F.get_json_object("props", "$.k").cast("long").alias("target")).distinct()
+    return graph.closure(edges, e.where("user_id % 97 = 3").select(F.col("user_id").alias("node")))
 
 
 @query("""SELECT DISTINCT user_id source, CAST(json_extract(props, '$.k') AS BIGINT) target FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 4 <> 0)""")
