@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from veridock.functions.canonical import row_text
-from veridock.operators import clauses, graph, lineage, ranks, references
+from veridock.operators import clauses, graph, lineage, matters, migration, ranks, references, relevance
 from veridock.plans.relational import t
+from veridock.sources import ingest
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -143,3 +145,92 @@ def nested_json_diff(spark, sf):
     left = e.select("event_id", payload(u, whole, F.lit('"x"'), none).alias("j"))
     right = e.select("event_id", payload(F.when(f == 1, u + 1).otherwise(u), items, F.when(f == 3, "1").otherwise('"x"'), F.when(f == 4, ', "odd name": null').otherwise("")).alias("j"))
     return lineage.json_differences(left, right, "event_id", "j")
+
+
+GROUPS, ANCHORS, INTENTS = (("edst", "thor"),), ((("the", "of"), (("anth",), ("est", "ing"))),), ((("er",), (("erat",), ("ous",))),)
+
+
+@query("""WITH n AS (SELECT count(*) n FROM benchmark), q AS (SELECT item_id, lower(text) u FROM benchmark), p AS (SELECT item_id, doc_id, u, lower(coalesce(source, '') || ' ' || coalesce(text, '')) c FROM documents, n JOIN q ON item_id = doc_id % n.n)
+SELECT item_id q, doc_id "key", CASE WHEN ((contains(u, 'edst') OR contains(u, 'thor')) AND (contains(c, 'edst') OR contains(c, 'thor')) AND NOT (contains(u, 'edst') AND contains(c, 'edst') OR contains(u, 'thor') AND contains(c, 'thor'))) THEN 'REJECT_SUBJECT_CONFLICT'
+WHEN contains(u, 'the') AND contains(u, 'of') AND NOT (contains(c, 'anth') OR contains(c, 'est') AND contains(c, 'ing')) THEN 'REJECT_REQUIRED_ANCHOR_MISSING'
+WHEN contains(u, 'er') AND NOT (contains(c, 'erat') OR contains(c, 'ous')) THEN 'RETRIEVAL_RELEVANCE_INSUFFICIENT'
+WHEN contains(u, 'edst') AND contains(c, 'edst') OR contains(u, 'thor') AND contains(c, 'thor') THEN 'ACCEPT_SUBJECT_MATCH' ELSE 'ACCEPT_NO_DETERMINISTIC_CONFLICT' END code FROM p""")
+def clause_relevance(spark, sf):
+    """Every document judged against one benchmark item."""
+    items, docs = t(spark, sf, "benchmark"), t(spark, sf, "documents")
+    pairs = docs.crossJoin(F.broadcast(items.agg(F.count(F.lit(1)).alias("n")))).select((F.col("doc_id") % F.col("n")).alias("q"), F.col("doc_id").alias("key"))
+    queries = items.select(F.col("item_id").alias("q"), F.lit("").alias("question"), "text")
+    found = docs.select(F.col("doc_id").alias("key"), F.col("source").alias("title"), "text")
+    judged = relevance.judge(pairs, queries, found, GROUPS, ANCHORS, INTENTS)
+    return judged.select("q", "key", F.col("codes")[0].alias("code"))
+
+
+@query("""WITH e AS (SELECT 'm' || o_custkey matter, o_orderkey k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) s, o_orderkey % 5 f, 'i' || (o_orderkey // 5 % 4) i FROM orders),
+a AS (SELECT *, CASE f WHEN 0 THEN true WHEN 1 THEN s = min(CASE WHEN f = 1 THEN s END) OVER (PARTITION BY matter, i) WHEN 2 THEN coalesce(min(CASE WHEN f = 1 THEN s END) OVER (PARTITION BY matter, i) < s, false) WHEN 3 THEN false ELSE NULL END ok FROM e),
+b AS (SELECT *, count_if(ok) OVER (PARTITION BY matter ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) rev FROM (SELECT * FROM a WHERE f <> 4))
+SELECT matter, count(*) n_events, CAST(count_if(ok) AS BIGINT) revision, count_if(f = 3) mismatched, CAST(count(DISTINCT CASE WHEN f = 1 AND ok THEN i END) AS INT) n_issues, coalesce('t' || max_by(k, s) FILTER (WHERE f = 0), '') title FROM a WHERE f <> 4 GROUP BY 1""")
+def matter_projection(spark, sf):
+    """Orders as events of their customers' matters, folded: titles, issues that are added once, states of issues that exist, events that expect another revision."""
+    k, f = F.col("o_orderkey"), F.col("o_orderkey") % 5
+    e = t(spark, sf, "orders").where(f != 4).withColumn("sequence", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long"))
+    issue = F.concat(F.lit("i"), (F.floor(k / 5) % 4).cast("string"))
+    payload = (
+        F.when(f == 0, F.to_json(F.struct(F.concat(F.lit("t"), k.cast("string")).alias("title"))))
+        .when(f == 1, F.to_json(F.struct(issue.alias("issue_id"), F.lit("?").alias("question"), F.lit("OPEN").alias("work_state"), F.array().cast("array<string>").alias("depends_on"))))
+        .otherwise(F.to_json(F.struct(issue.alias("issue_id"), F.lit("DONE").alias("work_state"))))
+    )
+    kind = F.element_at(F.array(*map(F.lit, ("TITLE_CHANGED", "ISSUE_ADDED", "ISSUE_STATE_CHANGED", "TITLE_CHANGED"))), (f + 1).cast("int"))
+    events = e.select(F.concat(F.lit("m"), F.col("o_custkey").cast("string")).alias("matter"), "sequence", F.when(f == 3, F.lit(-1)).cast("long").alias("expected"), kind.alias("kind"), payload.alias("payload"))
+    verdicts = matters.fold(events)
+    last = F.max("state")
+    state = "title string, revision long, issues map<string, struct<work_state:string>>"
+    folded = verdicts.groupBy("matter").agg(F.count(F.lit(1)).alias("n_events"), F.count_if(F.col("code") == "REVISION_MISMATCH").alias("mismatched"), F.from_json(last, state).alias("s"))
+    return folded.select("matter", "n_events", "s.revision", "mismatched", F.size("s.issues").alias("n_issues"), "s.title")
+
+
+@query("""WITH c AS (SELECT c_custkey k, c_custkey // 2 base, CASE WHEN c_custkey % 2 = 0 THEN 'A' ELSE 'B' END st, c_custkey % 5 <> 0 kept, c_custkey % 7 = 0 flipped FROM customer),
+b AS (SELECT base, count(*) n, min(k) k FROM c WHERE kept GROUP BY 1)
+SELECT 'L' || c.k id, CASE WHEN kept AND NOT flipped THEN 'MATCHED' WHEN n > 1 THEN 'AMBIGUOUS' WHEN n = 1 THEN 'REVIEWED_VALUE_CONFLICT' ELSE 'MISSING' END code,
+CASE WHEN kept AND NOT flipped THEN 'R' || c.k WHEN n = 1 THEN 'R' || b.k END target, (SELECT count(*) FROM orders WHERE o_custkey = c.k) n_links FROM c LEFT JOIN b USING (base)""")
+def lineage_migration(spark, sf):
+    """Old clauses of customers matched with new ones, some of which went or were reviewed; links of orders rewritten."""
+    c = F.col("c_custkey")
+    base = F.floor(c / 2).alias("base")
+    status = F.when(c % 2 == 0, "A").otherwise("B")
+    old = t(spark, sf, "customer").select(F.concat(F.lit("L"), c.cast("string")).alias("id"), base, status.alias("status"))
+    new = t(spark, sf, "customer").where(c % 5 != 0).select(F.concat(F.lit("R"), c.cast("string")).alias("id"), base, F.when(c % 7 == 0, "X").otherwise(status).alias("status"))
+    matches = migration.match_rounds(old, new, [["base", "status"]])
+    open_rows = migration.unresolved(old, new, matches, ["base"], ["status"])
+    links = t(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("L"), F.col("o_custkey").cast("string")).alias("target_id"))
+    counts = migration.rewrite(links, ["target_id"], matches).groupBy("target_id").agg(F.count(F.lit(1)).alias("n_links"))
+    state = matches.select(F.col("old").alias("id"), F.lit("MATCHED").alias("code"), F.col("new").alias("target")).unionByName(open_rows.select("id", "code", F.col("candidate").alias("target")))
+    end = F.when(F.col("code") == "MATCHED", F.col("target")).otherwise(F.col("id"))
+    return state.withColumn("target_id", end).join(counts, "target_id", "left").select("id", "code", "target", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+@query("""SELECT 'revisions' entity, 'v' || o_orderkey id, 'UNKNOWN_DOCUMENT_ID' code FROM orders WHERE o_custkey % 50 = 0
+UNION ALL SELECT 'elements', 'e' || l_orderkey || '-' || l_linenumber, 'DUPLICATE_ID' FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1
+UNION ALL SELECT DISTINCT 'elements', 'e' || l_orderkey || '-' || l_linenumber, CASE WHEN l_orderkey % 40 = 0 THEN 'PAGE_REFERENCE_NOT_FOUND' ELSE 'PAGE_REFERENCE_MISMATCH' END FROM lineitem WHERE l_orderkey % 40 IN (0, 1)
+UNION ALL SELECT DISTINCT 'elements', 'e' || l_orderkey || '-' || l_linenumber, 'UNKNOWN_PAGE_ID' FROM lineitem WHERE l_orderkey % 40 = 0
+UNION ALL SELECT 'links', 'k' || event_id, 'UNKNOWN_TARGET_ID' FROM events WHERE event_id % 30 = 0""")
+def ingest_violations(spark, sf):
+    """What may not be published: customers as documents, orders as revisions with a page each, lines as elements, events as links."""
+    o, l, e = t(spark, sf, "orders"), t(spark, sf, "lineitem"), t(spark, sf, "events")
+
+    def name(prefix, *columns):
+        return F.concat(F.lit(prefix), F.concat_ws("-", *[F.col(c).cast("string") for c in columns]))
+
+    none, box = F.lit(None).cast("string"), F.struct(F.lit(-5.0).alias("left"), F.lit(1.0).alias("bottom"), F.lit(900.0).alias("right"), F.lit(5.0).alias("top")).alias("bbox")
+    documents = t(spark, sf, "customer").where("c_custkey % 50 <> 0").select(name("d", "c_custkey").alias("id"), F.lit("t").alias("title"))
+    revisions = o.select(name("v", "o_orderkey").alias("id"), name("d", "o_custkey").alias("document_id"), F.lit("h").alias("source_hash"), F.lit(1).cast("long").alias("byte_size"), F.lit(1).alias("page_count"))
+    pages = o.where("o_orderkey % 40 <> 0").select(name("p", "o_orderkey").alias("id"), name("v", "o_orderkey").alias("revision_id"), F.lit(1).alias("page_number"), F.lit(100.0).alias("width"), F.lit(50.0).alias("height"), F.lit(0.0).alias("origin_x"), F.lit(0.0).alias("origin_y"), F.lit(0).alias("rotation"), F.lit("MEDIA").alias("box_kind"))
+    k = F.col("l_orderkey")
+    page = F.when((k % 3 == 0) | (k % 40 <= 1), name("p", "l_orderkey"))
+    number = F.when(k % 40 == 1, 2).otherwise(1)
+    elements = l.select(name("e", "l_orderkey", "l_linenumber").alias("id"), page.alias("page_id"), name("v", "l_orderkey").alias("revision_id"), number.alias("page_number"), F.lit("p").alias("element_type"), F.lit("{}").alias("raw_json"), F.lit("x").alias("raw_text"), box, F.col("l_linenumber").alias("parser_order"))
+    target = F.when(F.col("event_id") % 30 == 0, "nowhere").otherwise(F.lit(None).cast("string"))
+    some = documents.agg(F.min("id").alias("some"))
+    links = e.crossJoin(F.broadcast(some)).select(name("k", "event_id").alias("id"), F.col("some").alias("source_id"), F.coalesce(target, "some").alias("target_id"), F.lit("r").alias("relation_type"))
+    empty = {n: spark.createDataFrame([], ingest.SCHEMAS[n]) for n in ("clauses", "tables", "visuals", "review_flags")}
+    tables, unclear = ingest.prepared({"documents": documents, "revisions": revisions, "pages": pages, "elements": elements, "links": links, **empty})
+    return unclear.distinct().unionByName(ingest.violations(tables))

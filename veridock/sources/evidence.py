@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,17 +56,21 @@ def read_evidence(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def publish(tables: dict[str, DataFrame], path: str) -> None:
-    """Write entities to a staging folder beside ``path`` and rename it: all or nothing, and never over an existing one."""
+    """Write entities to a staging folder of this run's own and rename it: all or nothing, and never over an existing one. ``ingest`` checks what it publishes, too."""
     spark = next(iter(tables.values())).sparkSession
     jvm = spark._jvm.org.apache.hadoop.fs
-    final, staging = jvm.Path(path), jvm.Path(path.rstrip("/") + ".staging")
+    final, staging = jvm.Path(path), jvm.Path(f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}")
     fs = final.getFileSystem(spark._jsc.hadoopConfiguration())
     if fs.exists(final):
         raise FileExistsError(path)
-    for name, df in tables.items():
-        df.write.mode("errorifexists").parquet(f"{staging}/{name}")
-    if not fs.rename(staging, final):
-        raise OSError(f"cannot publish {path}")
+    try:
+        for name, df in tables.items():
+            df.write.mode("errorifexists").parquet(f"{staging}/{name}")
+        if not fs.rename(staging, final):
+            raise OSError(f"cannot publish {path}")
+    except BaseException:
+        fs.delete(staging, True)
+        raise
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
