@@ -96,6 +96,7 @@ def test_decimals(spark):
 
 def test_canonical(spark):
     assert one(spark, canonical_json(b=F.lit(1), a=F.lit("x"))) == '{"a":"x","b":1}'
+    assert one(spark, canonical_json(b=F.lit(None).cast("int"), a=F.lit("x"))) == '{"a":"x","b":null}'
     assert one(spark, sorted_map_json(F.create_map(F.lit("z"), F.lit(1), F.lit("a"), F.lit(2)))) == '{"a":2,"z":1}'
 
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def canonical_json(**fields: Column) -> Column:
-    """JSON object with keys in order and no spaces; null fields are left out."""
-    return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]))
+    """JSON object with keys in order and no spaces; a null field is written as null, so two payloads that differ in one differ."""
+    return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
 
 
 def sorted_map_json(col: Column) -> Column:

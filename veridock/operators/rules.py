@@ -182,9 +182,14 @@ def run_formula(df: DataFrame, formula_id: str, version: str, inputs: dict[str,
     return df.withColumns({output: made, f"{output}_id": content_id("CALC-", payload)})
 
 
+#: Rules that are broadcast.
+BROADCAST_RULES = 100_000
+
+
 def select_rules(rules: DataFrame, contexts: DataFrame, scopes: list[str]) -> DataFrame:
     """context, rule_id, code: null code for rules whose scope fits, else the first scope that doesn't; scopes are null for any."""
     r, c = rules.alias("r"), contexts.alias("c")
     code = F.coalesce(*[F.when(F.col(f"r.{s}").isNotNull() & ~F.col(f"r.{s}").eqNullSafe(F.col(f"c.{s}")), F.lit(f"{s.upper()}_MISMATCH")) for s in scopes])
-    # Rules are a governed list, so every context meets every rule.
-    return c.crossJoin(F.broadcast(r)).select(F.col("c.context").alias("context"), F.col("r.rule_id").alias("rule_id"), code.alias("code"))
+    # Every context meets every rule, as the result has a row for each; a list of the usual length is broadcast.
+    small = rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
+    return c.crossJoin(F.broadcast(r) if small else r).select(F.col("c.context").alias("context"), F.col("r.rule_id").alias("rule_id"), code.alias("code"))

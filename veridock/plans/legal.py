@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from veridock.functions.canonical import row_text
-from veridock.operators import clauses, graph, lineage, matters, migration, ranks, references, relevance
+from veridock.operators import claims, clauses, facets, graph, lineage, matters, migration, ranks, references, relevance
 from veridock.plans.relational import t
 from veridock.sources import ingest
 
@@ -234,3 +234,40 @@ def ingest_violations(spark, sf):
     empty = {n: spark.createDataFrame([], ingest.SCHEMAS[n]) for n in ("clauses", "tables", "visuals", "review_flags")}
     tables, unclear = ingest.prepared({"documents": documents, "revisions": revisions, "pages": pages, "elements": elements, "links": links, **empty})
     return unclear.distinct().unionByName(ingest.violations(tables))
+
+
+@query("""WITH o AS (SELECT o_orderkey k, o_orderkey % 4 f, CAST(o_orderkey % 900 AS VARCHAR) a, CAST(o_orderkey % 500 AS VARCHAR) b, CAST(o_orderkey % 600 AS VARCHAR) c, o_custkey % 900 ra, o_custkey % 500 rb, 300 + o_custkey % 300 rc FROM orders)
+SELECT k issue, 'minimum-area-threshold' facet, a fact, '' || ra threshold, CAST(a AS INT) >= ra satisfied FROM o WHERE f = 0
+UNION ALL SELECT k, 'distance-normal-threshold', b, '' || rb, CAST(b AS INT) <= rb FROM o WHERE f IN (1, 2) UNION ALL SELECT k, 'distance-conditional-threshold', b, '' || (rb + 100), CAST(b AS INT) <= rb + 100 FROM o WHERE f = 2
+UNION ALL SELECT k, 'semi-industrial-far-threshold', c, '' || rc, CAST(c AS INT) <= rc FROM o WHERE f = 3 AND rc >= 400""")
+def facet_comparisons(spark, sf):
+    """An issue per order: the facets that its question needs, the evidence that serves them, its facts against the thresholds."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    o = t(spark, sf, "orders")
+    questions = F.array(*map(F.lit, ("최소 면적 기준은?", "승강장 거리 기준은?", "승강장 거리 조건은?", "준공업지역 용적률은?")))
+    issues = o.select(c.alias("plan"), k.alias("issue"), F.element_at(questions, (k % 4 + 1).cast("int")).alias("question"))
+    plans = o.select(c.alias("plan")).distinct().withColumn("question", F.lit("전체 질문."))
+    states = F.array(text("면적 ", c % 900, "㎡ 이상"), text("승강장에서 ", c % 500, "m 이내, 다만 ", c % 500 + 100, "m 까지"), text("준공업지역 용적률 ", c % 300 + 300, "%"))
+    evidence = o.select(c.alias("plan"), k.alias("issue"), F.posexplode(states).alias("n", "text")).withColumn("evidence", F.concat_ws("-", F.lit("e"), F.col("issue").cast("string"), F.col("n").cast("string")))
+    facts = o.select(c.alias("plan"), k.alias("issue"), text("부지 ", k % 900, "㎡, 거리 ", k % 500, "m, ", k % 600, "%").alias("text"))
+    required = facets.required_facets(issues, plans)
+    covered = facets.coverage(required, facets.matched_facets(evidence.select("evidence", "text")), evidence.select("plan", "issue", "evidence"))
+    return facets.comparisons(covered, facts, evidence.select("evidence", "text")).select("issue", "facet", "fact", "threshold", "satisfied")
+
+
+@query("""WITH c AS (SELECT o_custkey run, o_orderkey claim, o_orderkey % 50 n FROM orders)
+SELECT run, claim, 'UNREGISTERED_NUMBER' code, '' || n detail FROM c WHERE n <> run AND n NOT IN (SELECT CAST(l_quantity AS INT) FROM lineitem WHERE l_orderkey = claim)
+UNION ALL SELECT run, claim, 'NUMERIC_TOKEN_MISMATCH', 'x' FROM c WHERE claim % 11 = 0 UNION ALL SELECT run, claim, 'UNSUPPORTED_NUMERIC_SYNTAX', '0:3: 1e9' FROM c WHERE claim % 13 = 0""")
+def claim_number_errors(spark, sf):
+    """An order claims its customer and a number, citing its lines."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    o, l = t(spark, sf, "orders"), t(spark, sf, "lineitem")
+    odd = F.when(k % 13 == 0, "1e9 ").otherwise("")
+    none = F.array().cast("array<string>")
+    drafts = o.select(c.alias("run"), k.alias("claim"), F.concat(odd, F.lit("customer "), c.cast("string"), F.lit(" has "), (k % 50).cast("string")).alias("text"), none.alias("issues"), F.array(k.cast("string")).alias("citations"), F.when(k % 11 == 0, F.array(F.lit("x"))).otherwise(none).alias("tokens"), none.alias("calculations"))
+    held = l.join(o, F.col("l_orderkey") == k).groupBy(c.alias("run"), F.col("l_orderkey").cast("string").alias("citation")).agg(F.array_join(F.sort_array(F.collect_set(F.col("l_quantity").cast("int").cast("string"))), " and ").alias("text"))
+    inputs = o.select(c.alias("run"), F.concat(F.lit("customer "), c.cast("string")).alias("text")).distinct()
+    calculations = spark.createDataFrame([], "run long, calculation string, status string, text string")
+    compared = spark.createDataFrame([], "run long, issue string, evidence array<string>, fact string, threshold string")
+    return claims.number_errors(drafts, held, inputs, calculations, compared)

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veridock.functions.canonical import content_id, table_digest, row_text
+from veridock.functions.canonical import content_id, row_text, table_digest
+from veridock.operators.ranks import group_ranks
+from veridock.sources.session import ensure_checkpoint_dir
 
 BOX = "struct<left:double,bottom:double,right:double,top:double>"
 #: Current schema (version 4) by entity.
@@ -145,30 +147,28 @@ def html_elements(pages: DataFrame, tags: tuple[str, ...] = ("title", "h1", "h2"
 def tree_elements(files: DataFrame, document_id: str, revision_id: str) -> DataFrame:
     """Parser trees (column ``content``, JSON text) to flat elements with page-local stable ids.
 
-    Trees nest without bound, so each file is walked in a task; rows come out flat:
-    page_number, parser_order, element_type, text, bbox, element_id.
+    A tree is opened level by level, as rows, to the depth of the deepest file; a
+    node's kids are its ``kids``, or else its ``list items``. Nodes with a type and a
+    page come out in the order of the text: page_number, parser_order (within file
+    and page), element_type, text, bbox, element_id. A file that is no JSON is an error.
     """
-    schema = "page_number int, parser_order int, element_type string, text string, bbox array<double>"
-
-    @F.udtf(returnType=schema)
-    class Walk:
-        def eval(self, content: str):
-            rows, stack = [], [json.loads(content)]
-            while stack:
-                node = stack.pop()
-                kids = node.get("kids") or node.get("list items") or []
-                if node.get("type") and node.get("page number"):
-                    rows.append((int(node["page number"]), node["type"], node.get("content") or "", [float(x) for x in node.get("bounding box") or []]))
-                stack.extend(reversed(kids))
-            places: dict[int, int] = {}
-            for page, kind, text, box in sorted(rows, key=lambda r: r[0]):
-                places[page] = places.get(page, 0) + 1
-                yield page, places[page], kind, text, box
-
-    spark = files.sparkSession
-    spark.udtf.register("walk_parser_tree", Walk)
-    files.select("content").createOrReplaceTempView("__parser_trees")
-    flat = spark.sql("SELECT w.* FROM __parser_trees, LATERAL walk_parser_tree(content) w")
+    ensure_checkpoint_dir(files.sparkSession)
+    roots = files.select(F.monotonically_increasing_id().alias("file"), F.array().cast("array<int>").alias("path"), F.parse_json("content").alias("v"))
+    level, found = roots.checkpoint(), []
+
+    def kids(name: str) -> Column:
+        part = F.try_variant_get("v", f'$["{name}"]', "array<variant>")
+        return F.when(F.size(part) > 0, part)
+
+    while True:
+        page = F.try_variant_get("v", '$["page number"]', "int")
+        made = level.select("file", "path", page.alias("page_number"), F.try_variant_get("v", "$.type", "string").alias("element_type"), F.coalesce(F.try_variant_get("v", "$.content", "string"), F.lit("")).alias("text"), F.coalesce(F.try_variant_get("v", '$["bounding box"]', "array<double>"), F.array().cast("array<double>")).alias("bbox"))
+        found.append(made.where("page_number <> 0 AND element_type <> ''"))
+        level = level.select("file", "path", F.posexplode(F.coalesce(kids("kids"), kids("list items"))).alias("place", "v")).select("file", F.concat("path", F.array("place")).alias("path"), "v")
+        if level.isEmpty():
+            break
+    ranked = group_ranks(reduce(DataFrame.unionByName, found), ["file", "page_number"], ["path"], "parser_order")
+    flat = ranked.select("page_number", F.col("parser_order").cast("int").alias("parser_order"), "element_type", "text", "bbox")
     payload = F.concat_ws("\x1f", F.lit(revision_id), "page_number", "parser_order", "element_type")
     return flat.select(F.lit(document_id).alias("document_id"), "*", content_id("ELEM-", payload, 24).alias("element_id"))
 
