@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from veridock.operators import cascade, inverted_index, issue_retrieval, search
+from veridock.operators import cascade, hybrid, inverted_index, issue_retrieval, search
 from veridock.operators.budgets import RetrievalPolicy
 from veridock.operators.inverted_index import StaleIndexError
 
@@ -160,3 +160,19 @@ def test_issue_budgets_and_drops(spark, tmp_path):
     assert len(doc["candidates"]) == 4 and [d["reason"] for d in doc["drops"]].count("QUERY_BUDGET") == 2 and doc["requests"][0]["attempts"][0]["stage"] == "PHRASE"
     with pytest.raises(ValueError, match="issues"):
         issue_retrieval.retrieve(index, requests, elements, RetrievalPolicy(max_issues=1))
+
+
+def test_all_channels_of_the_bundle(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "gold ring of 1,200 coins"), (2, "goldring and silver"), (3, "제3조 text"), (4, "the red fox ran"), (5, "a vixen ran"), (6, "neighbour"), (7, "table")], DOCS)
+    index = inverted_index.build(docs, str(tmp_path / "i"))
+    asked = spark.createDataFrame([("a", "gold ring"), ("b", "1200 coins"), ("c", "제3조"), ("d", 'who is "red fox"'), ("e", "fox ran"), ("f", "My  Label"), ("g", "")], "q string, text string")
+    table = lambda rows, schema: spark.createDataFrame(rows, schema)
+    hits = hybrid.bundle(
+        index, asked, 3, labels=table([(6, "My Label")], "key int, name string"), clause_ids=table([(3, "제3조"), (2, "제4조")], "key int, name string"), rule_sources=table([("f", 2)], "q string, key int"), links=table([(4, 7)], "source int, target int"),
+        places=table([(k, "g", k) for k in range(1, 8)], "key int, group string, pos int"), concepts=table([("fox", "vixen")], "word string, other string"),
+    )
+    got = {(r["q"], r["channel"], r["key"]) for r in hits.collect()}
+    assert {("a", "fts_phrase", 1), ("a", "fts_korean_compound", 2), ("b", "fts_numeric", 1), ("c", "clause_id", 3), ("d", "fts_entity", 4), ("e", "fts_concept", 5), ("e", "linked_visual_table", 7), ("e", "structural_context", 3), ("e", "structural_context", 5), ("f", "structured_exact", 6), ("f", "rule_source", 2)} <= got
+    assert not any(q == "g" for q, _, _ in got) and ("e", "structural_context", 4) not in got
+    best = {r["q"]: r for r in hybrid.fused(hits, 1).collect()}
+    assert best["f"]["key"] == 6 and best["f"]["final_score"] == 1.0 and best["e"]["key"] == 4

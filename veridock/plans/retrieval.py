@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veridock.functions.text import tokens
-from veridock.operators import cascade, inverted_index, issue_retrieval, search
+from veridock.operators import cascade, hybrid, inverted_index, issue_retrieval, search
 from veridock.operators.budgets import RetrievalPolicy
 from veridock.plans.relational import t
 from veridock.plans.review import TOK
@@ -126,3 +126,23 @@ def issue_retrieval_bundle(spark, sf):
         b.drops.select(F.lit("drop"), "plan", F.col("request").cast("int"), F.col("key").cast("string"), "reason"),
     ]
     return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+@query(f"""WITH {_matches(f"SELECT item_id q, c ord, '' stage, ['phrase', 'tokens', 'prefixes', 'tokens'][c] kind, CASE c WHEN 4 THEN [w[1] || w[2]] ELSE w[1:2] END ts FROM (SELECT item_id, {TOK} w FROM benchmark), range(1, 5) x(c)")},
+lx AS (SELECT q, ord, doc_id, row_number() OVER (PARTITION BY q, ord ORDER BY score DESC, doc_id) rank FROM sc QUALIFY rank <= 5),
+seed AS (SELECT DISTINCT q, doc_id FROM lx WHERE ord < 4), side AS (SELECT q, n.doc_id, row_number() OVER (PARTITION BY q ORDER BY n.doc_id) rank FROM (SELECT DISTINCT q, unnest([doc_id - 1, doc_id + 1]) doc_id FROM seed) n JOIN documents USING (doc_id) WHERE (q, n.doc_id) NOT IN (SELECT (q, doc_id) FROM seed) QUALIFY rank <= 5),
+vis AS (SELECT q, doc_id // 2 * 2 + 1 doc_id, max(1.0 / rank) score FROM lx WHERE ord < 4 GROUP BY 1, 2), vr AS (SELECT q, doc_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) rank FROM vis QUALIFY rank <= 5),
+lab AS (SELECT item_id q, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) rank FROM benchmark JOIN documents ON doc_id % 1000 = item_id QUALIFY rank <= 5),
+al AS (SELECT q, doc_id, ['fts_phrase', 'fts_token_and', 'fts_token_prefix_and', 'fts_korean_compound'][ord] c, [0.55, 0.15, 0.12, 0.35][ord] wt, rank FROM lx UNION ALL SELECT q, doc_id, 'structural_context', 0.08, rank FROM side
+UNION ALL SELECT q, doc_id, 'linked_visual_table', 0.6, rank FROM vr UNION ALL SELECT q, doc_id, 'rule_source', 0.9, rank FROM lab),
+fu AS (SELECT q, doc_id "key", round(sum((1.0 / rank) * wt), 6) final_score, string_agg(c, '|' ORDER BY c) channels FROM al GROUP BY 1, 2)
+SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY final_score DESC, "key") AS INT) rank FROM fu QUALIFY rank <= 10""")
+def hybrid_bundle(spark, sf):
+    """Two words of every benchmark item through the channels: lexical, compounds, rule sources, linked tables and neighbours, fused."""
+    docs = t(spark, sf, "documents").select(F.col("doc_id").alias("key"))
+    asked = _items(spark, sf).select(F.col("item_id").alias("q"), F.array_join(F.slice("w", 1, 2), " ").alias("text"))
+    rules = docs.select((F.col("key") % 1000).alias("q"), "key")
+    links = docs.select(F.col("key").alias("source"), (F.floor(F.col("key") / 2) * 2 + 1).alias("target"))
+    places = docs.select("key", F.lit(0).alias("group"), F.col("key").alias("pos"))
+    index = _index(spark, sf)
+    return hybrid.fused(hybrid.bundle(index, asked, 5, rule_sources=rules, links=links, places=places), 10)
