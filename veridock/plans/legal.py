@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from veridock.functions.canonical import row_text
-from veridock.operators import claims, clauses, facets, graph, lineage, matters, migration, ranks, references, relevance
+from veridock.operators import claims, clauses, facets, governance, graph, lineage, matters, migration, packets, ranks, references, relevance
 from veridock.plans.relational import t
 from veridock.sources import ingest
 
@@ -271,3 +271,36 @@ def claim_number_errors(spark, sf):
     calculations = spark.createDataFrame([], "run long, calculation string, status string, text string")
     compared = spark.createDataFrame([], "run long, issue string, evidence array<string>, fact string, threshold string")
     return claims.number_errors(drafts, held, inputs, calculations, compared)
+
+
+@query("""WITH i AS (SELECT o_custkey run, count(*) n, count_if(o_orderstatus IN ('F', 'P')) ok FROM orders GROUP BY 1), m AS (SELECT DISTINCT o_custkey run FROM orders WHERE o_orderkey % 97 = 0)
+SELECT c_custkey run, CASE WHEN c_nationkey % 7 = 0 OR coalesce(ok, 0) = 0 THEN 'ABSTAINED' WHEN m.run IS NOT NULL THEN 'NEEDS_INPUT' WHEN ok < n THEN 'PARTIAL' ELSE 'READY_FOR_REVIEW' END status, coalesce(ok, 0) n_resolved
+FROM customer LEFT JOIN i ON i.run = c_custkey LEFT JOIN m ON m.run = c_custkey""")
+def packet_states(spark, sf):
+    """A packet per customer: orders are issues, some nations fail a gate, some orders lack an input."""
+    c, o = t(spark, sf, "customer"), t(spark, sf, "orders")
+    run = F.col("o_custkey").alias("run")
+    status = F.when(F.col("o_orderstatus") == "F", "RESOLVED").when(F.col("o_orderstatus") == "P", "CONDITIONAL").otherwise("OPEN")
+    issues = o.select(run, F.col("o_orderkey").alias("issue"), status.alias("status"))
+    gates = c.select(F.col("c_custkey").alias("run"), F.lit("nation").alias("gate"), (F.col("c_nationkey") % 7 != 0).alias("passed"))
+    missing = o.where("o_orderkey % 97 = 0").select(run, F.col("o_orderkey").cast("string").alias("item"))
+    confidence = c.select(F.col("c_custkey").alias("run"), F.lit(0.5).alias("score"))
+    made = packets.derive_packets(c.select(F.col("c_custkey").alias("run")), issues, gates, missing, missing.limit(0), confidence)
+    return made.select("run", "status", F.get_json_object("packet", "$.n_resolved").cast("long").alias("n_resolved"))
+
+
+@query("""SELECT p_partkey part, list_filter([CASE WHEN p_partkey % 13 = 0 THEN 'REVIEWER_MISSING' END, CASE WHEN p_partkey % 5 = 0 THEN 'CANDIDATE_HASH_MISMATCH' END, CASE WHEN p_partkey % 17 = 0 THEN 'APPROVED_HASH_MISMATCH' END, CASE WHEN p_partkey % 17 = 0 THEN 'APPROVED_DIFFERS_FROM_CANDIDATE' END,
+CASE WHEN p_partkey % 7 = 0 THEN 'GOLDEN_MISSING' END, CASE WHEN p_partkey % 7 <> 0 AND p_partkey % 11 = 0 THEN 'GOLDEN_HASH_MISMATCH' END, CASE WHEN p_partkey % 7 <> 0 AND p_partkey % 17 = 0 THEN 'GOLDEN_OF_OTHER_TEXT' END, CASE WHEN p_partkey % 7 <> 0 AND p_size > 40 THEN 'GOLDEN_FAILED' END], lambda x: x IS NOT NULL) codes FROM part""")
+def approval_codes(spark, sf):
+    """A rule per part, approved; what breaks the chain of hashes of some."""
+    p = t(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.concat(F.lit("R"), F.col("p_partkey").cast("string")).alias("rule_id"), F.lit("1").alias("version"), F.concat(F.lit("text "), F.col("p_partkey").cast("string")).alias("text"), "p_size")
+    results = p.where("k % 7 <> 0").select("rule_id", "version", F.lit("a").alias("case"), F.lit("SATISFIED").alias("expected"), F.when(F.col("p_size") > 40, "NOT_SATISFIED").otherwise("SATISFIED").alias("actual"), (F.col("p_size") <= 40).alias("passed"))
+    reports = governance.golden_reports(results, p)
+    own = F.sha2("text", 256)
+    said = p.join(reports.select("rule_id", "report_hash"), "rule_id", "left")
+    approvals = said.select(
+        F.col("k").alias("approval"), "rule_id", "version", F.when(F.col("k") % 5 == 0, "x").otherwise(own).alias("candidate_hash"), own.alias("approved_hash"), F.when(F.col("k") % 11 == 0, "x").otherwise(F.coalesce("report_hash", F.lit("none"))).alias("report_hash"),
+        F.when(F.col("k") % 13 == 0, "").otherwise("ann").alias("reviewer"), F.lit("2026-01-01").alias("reviewed_at"),
+    )
+    approved = p.withColumn("text", F.when(F.col("k") % 17 == 0, "changed").otherwise(F.col("text")))
+    return governance.verify_approvals(approvals, p, approved, reports).select(F.col("approval").alias("part"), "codes")
