@@ -139,7 +139,8 @@ def fitting(threshold: float):
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) whose shingle multisets have weighted Jaccard similarity of at least ``threshold``."""
     one, two = texts.select(F.col("row").alias("a"), F.col("text").alias("ta")), texts.select(F.col("row").alias("b"), F.col("text").alias("tb"))
-    joined = join_hot(join_hot(pairs.select("a", "b"), "b", "a", two), "a", "b", one).select("a", "b", "ta", "tb")
+    # Both sides of these joins come straight from a shuffle, so adaptive execution splits a hub that many pairs share.
+    joined = pairs.select("a", "b").join(two.hint("merge"), "b").join(one.hint("merge"), "a").select("a", "b", "ta", "tb")
 
     def run(a, b, ta, tb):
         memo: dict[int, tuple] = {}
@@ -167,12 +168,12 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     edges = checkpoint(edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u < v").distinct())
     before = None
     while True:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
         near = join_groups(both, ["u"], "v", [F.min("v").alias("m")], [F.min("m").alias("m")])
-        large = near.where("v > u").select(F.least("m", "u").alias("u"), "v").distinct()
-        least = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(least, "v").select(F.col("m").alias("p"), "u", "v")
-        edges = checkpoint(small.select(F.col("p").alias("u"), "v").union(small.select(F.col("p").alias("u"), F.col("u").alias("v")).where("u < v")).distinct())
+        large = near.where("v > u").select(F.least("m", "u").alias("u"), "v")
+        least = large.groupBy("v").agg(F.min("u").alias("p"))
+        ends = F.explode(F.array(F.struct(F.col("p").alias("u"), "v"), F.struct(F.col("p").alias("u"), F.col("u").alias("v"))))
+        edges = checkpoint(large.join(least, "v").select(ends.alias("e")).select("e.*").where("u < v").distinct())
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
@@ -184,7 +185,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def joined_classes(comp: DataFrame, links: DataFrame) -> DataFrame:
     """row, comp after further links: components of the graph whose nodes are the components so far."""
     ends = [comp.select(F.col("row").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab"]
-    edges = join_hot(join_hot(links.select("a", "b"), "b", "a", ends[1]), "a", "b", ends[0]).where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+    edges = links.select("a", "b").join(ends[1].hint("merge"), "b").join(ends[0].hint("merge"), "a").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
     names = components(comp.select(F.col("comp").alias("row")).distinct(), edges).select(F.col("comp").alias("joined"), F.col("row").alias("comp"))
     return join_hot(comp, "comp", "row", names).select("row", F.col("joined").alias("comp"))
 
