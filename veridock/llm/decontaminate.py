@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import back, broadcast_if_small, by_position, checkpoint, pick, word_array
+from .common import back, broadcast_if_small, by_position, checkpoint, join_hot, pick, word_array
 
 WINDOW = 10
 
@@ -47,14 +47,16 @@ def find_windows(docs: DataFrame, grams: DataFrame) -> DataFrame:
         fits = (start >= 0) & (start + F.col("len") <= F.size("ws"))
         hits = probe.join(sized, "word").where(fits & F.when(fits, F.slice("ws", F.when(fits, start + 1).otherwise(1), F.col("len")) == F.col("gram")))
         return hits.select("doc_id", "th", start.alias("start"), (start + F.col("len")).alias("stop"), "gid")
-    # Too many windows to broadcast: shuffle words against prefix tokens, then fetch the words of the few candidate documents.
-    probe = words.select("doc_id", "th", F.size("ws").alias("n"), F.posexplode("ws").alias("pos", "word"))
-    near = probe.join(keys, "word").where((start >= 0) & (start + F.col("len") <= F.col("n")))
-    near = near.select("doc_id", "th", start.alias("start"), "len", "gid", "gram")
-    w = words.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "ws").dropDuplicates(["d", "t"])
-    hits = near.join(w, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))
-    hits = hits.where(F.slice("ws", F.col("start") + 1, F.col("len")) == F.col("gram"))
-    return hits.select("doc_id", "th", "start", (F.col("start") + F.col("len")).alias("stop"), "gid")
+    # Too many windows to broadcast: words that begin none are left out, the others fetch their windows part by part, and candidates the words of their document.
+    prefixes, _ = broadcast_if_small(checkpoint(keys.select("word").distinct()), F.octet_length("word") + 64)
+    key = F.struct("doc_id", "th").alias("key_")
+    probe = words.select(key, F.size("ws").alias("n"), F.posexplode("ws").alias("pos", "word")).join(prefixes, "word", "left_semi")
+    unit = probe.withColumn("unit_", F.hash("key_", "pos"))
+    near = join_hot(unit, "word", "unit_", keys).where((start >= 0) & (start + F.col("len") <= F.col("n")))
+    near = near.select("key_", start.alias("start"), "len", "gid", "gram")
+    held = words.select(key, "ws").join(near.select("key_").distinct(), "key_", "left_semi").dropDuplicates(["key_"])
+    hits = join_hot(near, "key_", "start", held).where(F.slice("ws", F.col("start") + 1, F.col("len")) == F.col("gram"))
+    return hits.select("key_.doc_id", "key_.th", "start", (F.col("start") + F.col("len")).alias("stop"), "gid")
 
 
 def _grams(bench: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
