@@ -99,6 +99,7 @@ class Codec:
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("a piece holds a space after another character: stretches between spaces depend on each other")
         self.chars = {c: k + 1 for k, c in enumerate(sorted({c for p in self.ids for c in p}))}
+        self.unknown = re.compile("([^" + "".join(map(re.escape, self.chars)) + "])", re.DOTALL)
         self.char_code = np.zeros(0x110000, np.int32)
         self.char_code[[ord(c) for c in self.chars]] = list(self.chars.values())
         # Prefixes of pieces are nodes, 0 the empty one.
@@ -288,20 +289,22 @@ class Codec:
         marked = [s.replace(" ", SPACE) for s in stretches]
         known = self.char_code[np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4")] > 0
         sizes = np.array([len(m) for m in marked], np.int64)
-        # A stretch with a character that no piece holds streams alone too.
         plain = np.add.reduceat(known, np.cumsum(sizes) - sizes, dtype=np.int64) == sizes
-        out: list[bytes] = [b""] * len(marked)
-        short = []
-        for k, (m, p) in enumerate(zip(marked, plain.tolist(), strict=True)):
-            if p and len(m) <= LANE:
-                short.append(k)
-            else:
-                out[k] = np.fromiter(self.stream(m), "<u4").tobytes()
+        # Every path passes both sides of a character that no piece holds, so it parts a stretch.
+        parts = [[m] if p else self.unknown.split(m) for m, p in zip(marked, plain.tolist(), strict=True)]
+        ids: dict[str, bytes] = {"": b""}
+        short = list(dict.fromkeys(x for ps in parts for x in ps[::2] if 0 < len(x) <= LANE))
         for at in range(0, len(short), 4096):
             part = short[at : at + 4096]
-            for k, ids in zip(part, self.lanes([marked[k] for k in part]), strict=True):
-                out[k] = ids
-        return out
+            ids.update(zip(part, self.lanes(part), strict=True))
+        for ps in parts:
+            for x in ps[::2]:
+                if x not in ids:
+                    ids[x] = np.fromiter(self.stream(x), "<u4").tobytes()
+            for c in ps[1::2]:
+                if c not in ids:
+                    ids[c] = np.array([self.byte_ids[b] for b in c.encode("utf-8", "replace")], "<u4").tobytes()
+        return [ids[ps[0]] if len(ps) == 1 else b"".join(map(ids.__getitem__, ps)) for ps in parts]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers; an empty text has none."""
