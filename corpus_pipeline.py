@@ -25,7 +25,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of runs of lines with 50 words or more are cut from texts; every document stays."""
+    """Later copies of runs of lines with 50 words or more are cut from texts; every document stays, null and empty ones as they are."""
     return cut_repeated_runs(docs)
 
 
@@ -40,7 +40,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def tokenization(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of what is left, checked by decoding."""
+    """Token ids of what is left, checked by decoding.
+
+    One row per document, in columns of ``sentencepiece_codec``: null and empty texts
+    have no ids, repeated rows stay, an empty table stays empty, and other columns go,
+    whatever their names.
+    """
     return sentencepiece_codec(docs, tokenizer_path("piece_bpe_32k.model"))
 
 
