@@ -32,7 +32,7 @@ DICT_DOCS, DICT_IDS, DICT_BYTES = 4000, 4096, 64 * 1024
 LEVEL = 3
 
 #: Bytes of segments and their ids that a worker process remembers.
-MEMO_BYTES = 192 * 1024 * 1024
+MEMO_BYTES = 384 * 1024 * 1024
 _ENCODERS: dict[str, Encoder] = {}
 
 
