@@ -36,7 +36,7 @@ LANE = 64
 #: Characters after which lanes compare their paths.
 MEET = 4
 #: Bytes of stretches and their ids that a worker process remembers.
-MEMO_BYTES = 128 * 1024 * 1024
+MEMO_BYTES = 256 * 1024 * 1024
 _STRETCH = re.compile(" +[^ ]*|[^ ]+")
 _NEVER = 1 << 30
 _CODECS: dict[str, Codec] = {}
