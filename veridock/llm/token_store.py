@@ -12,6 +12,8 @@ import hashlib
 import struct
 import uuid
 import zlib
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ DICT_DOCS, DICT_IDS, DICT_BYTES = 4000, 4096, 64 * 1024
 LEVEL = 3
 
 #: Bytes of segments and their ids that a worker process remembers.
-MEMO_BYTES = 384 * 1024 * 1024
+MEMO_BYTES = 192 * 1024 * 1024
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -68,9 +70,9 @@ class Encoder:
                 return [data[a : b - 4] for a, b in zip(edges, edges[1:])]
         return [self.ids(p).tobytes() for p in parts]
 
-    def fresh(self, segments: list[str]) -> list[bytes | None]:
-        """Ids of segments, None for those of irregular spacing."""
-        out: list[bytes | None] = [None] * len(segments)
+    def fresh(self, segments: list[str]) -> list[bytes]:
+        """Ids of segments, nothing for those of irregular spacing."""
+        out = [b""] * len(segments)
         even = [k for k, s in enumerate(segments) if s and not s[0].isspace() and not s[-1].isspace()]
         odd = [k for k in even if "\t" in segments[k]]
         for part in ([k for k in even if "\t" not in segments[k]] if odd else even, odd):
@@ -82,15 +84,23 @@ class Encoder:
     def encode_all(self, texts: list[str]) -> list[bytes]:
         whole = [not t or t[0].isspace() or any(x in t for x in self.added) for t in texts]
         cut = [[] if w else t.split(" ") for t, w in zip(texts, whole, strict=True)]
-        known = self.memo.new
-        ids_of = self.memo.learn([s for c in cut for s in c[1:] if s not in known], self.fresh)
+        # Every segment is looked up once; what is missing is learned and put into its place.
+        got = [list(map(self.memo.new.get, c)) for c in cut]
+        for text, g in zip(cut, got, strict=True):
+            if g:
+                g[0] = self.ids(text[0]).tobytes()
+        ids_of = self.memo.learn([s for c, g in zip(cut, got, strict=True) for s in compress(c, map(is_, g, repeat(None)))], self.fresh)
         out = []
-        for text, direct, parts in zip(texts, whole, cut, strict=True):
-            if direct or parts[0][-1].isspace():
-                out.append(self.ids(text).tobytes())
-                continue
-            got = list(map(ids_of, parts[1:]))
-            out.append(self.ids(text).tobytes() if None in got else self.ids(parts[0]).tobytes() + b"".join(got))
+        for text, direct, parts, g in zip(texts, whole, cut, got, strict=True):
+            if not direct and not parts[0][-1].isspace():
+                at = -1
+                for _ in range(g.count(None)):
+                    at = g.index(None, at + 1)
+                    g[at] = ids_of(parts[at])
+                if b"" not in g:
+                    out.append(b"".join(g))
+                    continue
+            out.append(self.ids(text).tobytes())
         self.memo.turn()
         return out
 
