@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from veridock.functions.canonical import row_text
-from veridock.operators import claims, clauses, facets, governance, graph, lineage, matters, migration, packets, ranks, references, relevance
+from veridock.operators import claims, clauses, drawings, facets, governance, graph, lineage, matters, migration, packets, ranks, references, relevance
 from veridock.plans.relational import t
 from veridock.sources import ingest
 
@@ -304,3 +304,33 @@ def approval_codes(spark, sf):
     )
     approved = p.withColumn("text", F.when(F.col("k") % 17 == 0, "changed").otherwise(F.col("text")))
     return governance.verify_approvals(approvals, p, approved, reports).select(F.col("approval").alias("part"), "codes")
+
+
+@query("""WITH o AS (SELECT o_orderkey k, o_custkey c FROM orders) SELECT k source, 1 page, 'NOT_ON_AXIS' code FROM o WHERE k % 37 = 0 UNION ALL SELECT k, 1, 'LENGTH_NOT_POSITIVE' FROM o WHERE c % 100 = 0
+UNION ALL SELECT k, 1, 'UNITS_DIFFER' FROM o WHERE k % 11 = 0 UNION ALL SELECT k, 1, 'AXIS_TWICE' FROM o WHERE k % 13 = 0 UNION ALL SELECT k, 1, 'REVIEWER_INVALID' FROM o WHERE k % 17 = 0""")
+def calibration_errors(spark, sf):
+    """Two calibration references for every order, some of which can't be used."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    text = lambda col: col.cast("string")
+    zero, one = F.lit("0"), F.lit("1")
+    x = F.struct(F.lit("x").alias("axis"), zero.alias("x1"), one.alias("y1"), text(k % 37).alias("x2"), one.alias("y2"), F.lit("m").alias("unit"))
+    y = F.struct(F.when(k % 13 == 0, "x").otherwise("y").alias("axis"), one.alias("x1"), zero.alias("y1"), F.when(k % 13 == 0, "9").otherwise("1").alias("x2"), F.when(k % 13 == 0, "0").otherwise("9").alias("y2"), F.when(k % 11 == 0, "ft").otherwise("m").alias("unit"))
+    flat = t(spark, sf, "orders").select(k.alias("source"), F.lit(1).alias("page"), text(c % 100).alias("real"), F.when(k % 17 == 0, "a/b").otherwise("ann").alias("reviewer"), F.explode(F.array(x, y)).alias("r"))
+    return drawings.reference_errors(flat.select("source", "page", "real", "reviewer", "r.*"))
+
+
+@query("""WITH s AS (SELECT o_custkey c, bool_or(o_orderkey % 500 = 0) broken, bool_or(o_orderkey % 500 = 0 OR o_orderstatus = 'P' OR o_totalprice > 400000) rejected FROM orders GROUP BY 1)
+SELECT c_custkey "case", CASE WHEN broken THEN 'FAILED' WHEN rejected THEN 'BLOCKED' WHEN broken IS NULL THEN 'PENDING_DRAWING_INGESTION' WHEN c_custkey % 9 = 0 OR c_custkey % 8 = 0 THEN 'INPUT_CONFIRMATION_REQUIRED' WHEN c_custkey % 2 = 0 THEN 'READY_TO_EVALUATE' ELSE 'INPUT_CONFIRMATION_REQUIRED' END state FROM customer LEFT JOIN s ON c = c_custkey""")
+def drawing_case_states(spark, sf):
+    """Customers as cases, orders as their drawings: quality of each source, then the state of the case."""
+    o, c = t(spark, sf, "orders"), t(spark, sf, "customer")
+    k, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    mime = F.when(status == "P", "text/plain").when(status == "F", "image/png").otherwise("application/pdf")
+    sources = o.select(
+        F.col("o_custkey").alias("case"), k.alias("source"), k.alias("ord"), F.lit("h").alias("sha256"), F.when(k % 500 == 0, "x").otherwise("h").alias("seen_sha256"), F.col("o_totalprice").cast("long").alias("byte_size"), mime.alias("mime"),
+        F.lit("SUCCESS").alias("outcome"), F.lit(3).alias("pages"), F.lit(10).alias("width"), F.lit(10).alias("height"), F.lit(False).alias("lossy"), F.lit("USER_CONFIRMED").alias("trust"),
+    )
+    n = F.col("c_custkey")
+    inputs = c.select(n.alias("case"), (n % 9 == 0).alias("conflict"), (n % 8 == 0).alias("missing"), (n % 2 == 0).alias("validated"))
+    assessed = drawings.assess(sources, drawings.Policy(max_file_bytes=400_000, max_case_image_pixels=1 << 40))
+    return drawings.case_states(c.select(n.alias("case")), assessed, inputs).select("case", "state")
