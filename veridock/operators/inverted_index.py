@@ -25,6 +25,8 @@ from veridock.functions.canonical import row_text, table_digest
 from veridock.functions.text import tokens
 from veridock.sources.session import ensure_checkpoint_dir
 
+#: Of the files: an index of another format is another index.
+FORMAT = 2
 #: Documents of a segment, on average.
 SEGMENT_DOCS = 512
 #: Parameters of BM25, and the least weight of a term.
@@ -57,7 +59,7 @@ def digest_of(docs: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Index:
-    """An index at a path: meta (one row), terms (term, df), blocks (term, segment, n, top, postings)."""
+    """An index at a path: meta (one row), terms (term, df), blocks (term, segment, n, top, postings, places)."""
 
     spark: SparkSession
     path: str
@@ -94,7 +96,10 @@ def build(docs: DataFrame, path: str) -> Index:
     segment = F.pmod(F.xxhash64("key"), F.lit(segments)).alias("segment")
     entry = F.struct("key", F.size("at").alias("tf"), "dl", "at")
     top = F.max(part(F.size("at"), F.col("dl"), F.lit(stats["avgdl"]))).alias("top")
-    blocks = posting.groupBy("term", segment).agg(F.count(F.lit(1)).alias("n"), top, F.array_sort(F.collect_list(entry)).alias("postings"))
+    grouped = posting.groupBy("term", segment).agg(F.count(F.lit(1)).alias("n"), top, F.array_sort(F.collect_list(entry)).alias("entries"))
+    # Places stand in a column of their own: only a phrase reads them.
+    slim = F.transform("entries", lambda e: F.struct(e["key"].alias("key"), e["tf"].alias("tf"), e["dl"].alias("dl")))
+    blocks = grouped.select("term", "segment", "n", "top", slim.alias("postings"), F.transform("entries", lambda e: e["at"]).alias("places"))
     blocks.repartitionByRange("term", "segment").sortWithinPartitions("term", "segment").write.parquet(f"{path}/blocks")
     built = spark.read.parquet(f"{path}/blocks")
     built.groupBy("term").agg(F.sum("n").alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
@@ -110,7 +115,7 @@ def stored(docs: DataFrame, folder: str | None = None) -> Index:
         folder = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()) + "/veridock-index"
     d = digest_of(docs).first()
     jvm = spark._jvm.org.apache.hadoop.fs
-    name = f"{folder}/{d['n_rows']}-{d['digest_a']}-{d['digest_b']}"
+    name = f"{folder}/{FORMAT}-{SEGMENT_DOCS}-{d['n_rows']}-{d['digest_a']}-{d['digest_b']}"
     fs = jvm.Path(name).getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(jvm.Path(f"{name}/meta/_SUCCESS")):
         staging = f"{name}-{uuid.uuid4().hex}"
@@ -144,14 +149,15 @@ def occurrences(index: Index, queries: DataFrame, kind: str) -> DataFrame:
     postings of the terms asked for, not with documents times queries.
     """
     wanted = slots(index, queries, kind)
-    posted = index.blocks(wanted, "postings").join(wanted, "term").select("q", "slot", "n_slots", F.explode("postings").alias("p"))
-    flat = posted.select("q", "slot", "n_slots", "p.key", "p.dl", "p.tf", "p.at")
     if kind == "phrase":
+        posted = index.blocks(wanted, "postings", "places").join(wanted, "term").select("q", "slot", "n_slots", F.explode(F.arrays_zip("postings", "places")).alias("p"))
+        flat = posted.select("q", "slot", "n_slots", "p.postings.key", "p.postings.dl", F.col("p.places").alias("at"))
         # Places of the phrase's start that each word allows.
         starts = F.transform("at", lambda x: x - F.col("slot"))
         held = flat.groupBy("q", "key", "dl", "n_slots").agg(F.collect_list(F.struct("slot", starts.alias("s"))).alias("w")).where(F.size("w") == F.col("n_slots"))
         both = F.aggregate(F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(1))), F.col("w")[0]["s"], lambda a, b: F.array_intersect(a, b["s"]))
         return held.select("q", "key", "dl", F.array(F.size(both).cast("long")).alias("fs")).where("fs[0] > 0")
+    flat = index.blocks(wanted, "postings").join(wanted, "term").select("q", "slot", "n_slots", F.explode("postings").alias("p")).select("q", "slot", "n_slots", "p.key", "p.dl", "p.tf")
     per_slot = flat.groupBy("q", "key", "dl", "n_slots", "slot").agg(F.sum("tf").alias("f"))
     held = per_slot.groupBy("q", "key", "dl", "n_slots").agg(F.array_sort(F.collect_list(F.struct("slot", "f"))).alias("w")).where(F.size("w") == F.col("n_slots"))
     return held.select("q", "key", "dl", F.transform("w", lambda x: x["f"]).alias("fs"))
