@@ -1,7 +1,9 @@
 """Facets of an issue: what a question needs, which requests and evidence serve it, and its facts compared with the thresholds of rules.
 
 A facet is a row of a table: groups of words, of each of which one must stand in the
-text, and a measure. All tests are column expressions made from that table.
+text, and a measure. All tests are column expressions made from that table. Joins are
+by shuffle: every table grows with the issues, and the size of a file says little of
+the arrays that are derived from it, so Spark would broadcast them.
 """
 
 from __future__ import annotations
@@ -89,8 +91,8 @@ def required_facets(issues: DataFrame, plans: DataFrame) -> DataFrame:
     area = sentences.where(has_measure(F.col("sm"), "area_m2")).select("plan", match_text(F.col("s")).alias("st"), F.explode("sm").alias("x"))
     near = area.where("x.dimension = 'length_m'").select("plan", F.col("x.value").alias("v"), "st")
     distances = rows.select("plan", "issue", "t", F.explode("m").alias("x")).where("x.dimension = 'length_m'").select("plan", "issue", "t", F.col("x.value").alias("v"))
-    met = distances.join(near, ["plan", "v"]).where(F.col("t").contains("부지") & goal(F.concat_ws(" ", "t", "st"))).select("plan", "issue", F.lit(True).alias("by_context")).distinct()
-    joined = rows.join(met, ["plan", "issue"], "left")
+    met = distances.join(near.hint("merge"), ["plan", "v"]).where(F.col("t").contains("부지") & goal(F.concat_ws(" ", "t", "st"))).select("plan", "issue", F.lit(True).alias("by_context")).distinct()
+    joined = rows.join(met.hint("merge"), ["plan", "issue"], "left")
     own = has_measure(F.col("m"), "area_m2") & goal(F.col("t"))
     tests = [(has_words(F.col("t"), f.asked) | (own | F.coalesce("by_context", F.lit(False)) if f.name == "minimum-area-threshold" else F.lit(False)), f.name) for f in FACETS]
     return joined.select("plan", "issue", _when(tests).alias("facets"))
@@ -105,7 +107,7 @@ def facet_requests(required: DataFrame, requests: DataFrame) -> DataFrame:
     asked = requests.where("role = 'rule'").select("plan", "issue", match_text(F.col("text")).alias("t"))
     served = asked.select("plan", "issue", F.explode(_when([(has_words(F.col("t"), f.covered), f.name) for f in FACETS])).alias("facet")).distinct()
     texts = F.create_map(*[F.lit(x) for f in FACETS for x in (f.name, f.search)])
-    open_facets = required.select("plan", "issue", F.posexplode("facets").alias("ord", "facet")).join(served, ["plan", "issue", "facet"], "left_anti").withColumn("text", texts[F.col("facet")])
+    open_facets = required.select("plan", "issue", F.posexplode("facets").alias("ord", "facet")).join(served.hint("merge"), ["plan", "issue", "facet"], "left_anti").withColumn("text", texts[F.col("facet")])
     made = open_facets.groupBy("plan", "issue", "text").agg(F.min_by("facet", "ord").alias("facet")).select("plan", "issue", F.concat_ws("-", F.lit("FACET"), "issue", "facet").alias("request"), "text")
     per_plan = requests.select("plan", "request").distinct().union(made.select("plan", "request")).groupBy("plan").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MAX_REQUESTS).first()
     if per_plan:
@@ -133,9 +135,9 @@ def coverage(required: DataFrame, found: DataFrame, selected: DataFrame) -> Data
 
     ``found`` as of ``matched_facets``, ``selected`` (plan, issue, evidence).
     """
-    served = selected.join(found.select("evidence", F.explode("facets").alias("facet")), "evidence").groupBy("plan", "issue", "facet").agg(F.sort_array(F.collect_set("evidence")).alias("evidence"))
+    served = selected.join(found.select("evidence", F.explode("facets").alias("facet")).hint("merge"), "evidence").groupBy("plan", "issue", "facet").agg(F.sort_array(F.collect_set("evidence")).alias("evidence"))
     wanted = required.select("plan", "issue", F.explode("facets").alias("facet"))
-    return wanted.join(served, ["plan", "issue", "facet"], "left").withColumn("evidence", F.coalesce("evidence", F.array().cast("array<string>")))
+    return wanted.join(served.hint("merge"), ["plan", "issue", "facet"], "left").withColumn("evidence", F.coalesce("evidence", F.array().cast("array<string>")))
 
 
 def compare_fact(facet: Column, fact: Column, rule: Column) -> Column:
@@ -164,9 +166,9 @@ def comparisons(covered: DataFrame, facts: DataFrame, texts: DataFrame) -> DataF
     wanted = covered.withColumn("unit_", units[F.col("facet")]).where("unit_ IS NOT NULL AND size(evidence) > 0")
     bound = facts.select("plan", "issue", "text", measures("text").alias("fm")).select("plan", "issue", "fm", F.explode(F.array_distinct(F.transform("fm", lambda m: m["dimension"]))).alias("unit_"))
     only = bound.groupBy("plan", "issue", "unit_").agg(F.count(F.lit(1)).alias("n"), F.any_value("fm").alias("fm")).where("n = 1").drop("n")
-    flat = wanted.select("plan", "issue", "facet", F.explode("evidence").alias("e")).join(texts.select(F.col("evidence").alias("e"), measures("text").alias("rm")), "e")
+    flat = wanted.select("plan", "issue", "facet", F.explode("evidence").alias("e")).join(texts.select(F.col("evidence").alias("e"), measures("text").alias("rm")).hint("merge"), "e")
     ruled = flat.groupBy("plan", "issue", "facet").agg(F.flatten(F.collect_list("rm")).alias("rm"))
-    joined = wanted.join(only, ["plan", "issue", "unit_"]).join(ruled, ["plan", "issue", "facet"]).withColumn("c", compare_fact(F.col("facet"), F.col("fm"), F.col("rm"))).where("c IS NOT NULL")
+    joined = wanted.join(only.hint("merge"), ["plan", "issue", "unit_"]).join(ruled.hint("merge"), ["plan", "issue", "facet"]).withColumn("c", compare_fact(F.col("facet"), F.col("fm"), F.col("rm"))).where("c IS NOT NULL")
     text = lambda c: F.col(c).cast("string")
     payload = canonical_json(issue_id=text("issue"), facet_id=F.col("facet"), operator=F.col("c.operator"), fact_value=F.col("c.fact"), threshold_value=F.col("c.threshold"), unit=F.col("c.unit"), satisfied=F.col("c.satisfied"), evidence_ids=F.col("evidence"))
     return joined.select("plan", "issue", "facet", content_id("CMP-", payload).alias("id"), "c.operator", "c.fact", "c.threshold", "c.unit", "c.satisfied", "evidence")
