@@ -4,16 +4,55 @@ import os
 
 import pytest
 
+from veridock.operators import inverted_index
 from veridock.plans import legal
 
 SF = "/root/testdata/sf0.001"
-pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")
+needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")
 
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def shuffled(spark, run):
+    """Rows that a run writes to shuffles."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def written():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() for x in map(stages.apply, range(stages.size()))}
+
+    before = written()
+    run()
+    return sum(n for k, n in written().items() if k not in before)
+
+
+@needs_tables
 @pytest.mark.parametrize("name", ["facet_comparisons", "approval_codes"])
 def test_no_table_of_issues_or_rules_is_broadcast(spark, name):
     assert "BroadcastExchange" not in plan(legal.QUERIES[name](spark, SF))
+
+
+@pytest.fixture(scope="module")
+def common_words(spark, tmp_path_factory):
+    """An index of 400 documents that all hold the same words."""
+    docs = spark.range(400).selectExpr("id AS key", "concat('alpha beta gamma n', id) AS text")
+    return inverted_index.build(docs, str(tmp_path_factory.mktemp("growth") / "i"))
+
+
+@pytest.mark.parametrize("kind", inverted_index.KINDS)
+def test_postings_are_shuffled_once_for_all_queries(spark, common_words, kind):
+    asked = spark.range(50).selectExpr("id AS q", "array('alpha', 'beta') AS terms")
+    assert shuffled(spark, lambda: inverted_index.matches(common_words, asked, kind, 3).collect()) < 50 * 400
+
+
+def test_top_k_shuffles_postings_once_for_all_queries(spark, common_words):
+    asked = spark.range(50).selectExpr("id AS q", "array('alpha', 'beta') AS terms")
+    assert shuffled(spark, lambda: inverted_index.top_k(common_words, asked, 3).collect()) < 5_000
+
+
+def test_build_shuffles_texts_not_tokens(spark, tmp_path):
+    docs = spark.range(20).selectExpr("id AS key", "array_join(transform(sequence(1, 500), x -> concat('w', x)), ' ') AS text")
+    assert shuffled(spark, lambda: inverted_index.build(docs, str(tmp_path / "i"))) < 5_000

@@ -141,7 +141,8 @@ def fall_through(index: Index, queries: DataFrame, k: int, labels: DataFrame | N
     hits, traces, answered = [], [], None
     for stage in STAGES:
         open_now = todo.where(F.col("stage") == stage)
-        open_now = open_now if answered is None else open_now.join(answered, "q", "left_anti")
+        # A stage asks for its attempts in several places.
+        open_now = open_now if answered is None else open_now.join(answered, "q", "left_anti").checkpoint()
         if stage == "EXACT_CLAUSE":
             if labels is None:
                 continue

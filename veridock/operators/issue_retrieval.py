@@ -69,7 +69,8 @@ def materialized(chosen: DataFrame, elements: DataFrame, policy: RetrievalPolicy
     the first few count.
     """
     own = Window.partitionBy("key").orderBy("ord", "evidence")
-    few = elements.withColumn("n", F.row_number().over(own)).where(F.col("n") <= policy.max_source_elements_per_clause)
+    # Only what was chosen is put in order.
+    few = elements.join(chosen.select("key").distinct(), "key", "left_semi").withColumn("n", F.row_number().over(own)).where(F.col("n") <= policy.max_source_elements_per_clause)
     listed = chosen.join(few, "key").select("plan", "key", F.struct("place", "n").alias("at"), "evidence")
     first = listed.groupBy("plan", "evidence").agg(F.min("at").alias("at"))
     placed = first.withColumn("place", F.row_number().over(Window.partitionBy("plan").orderBy("at")))
