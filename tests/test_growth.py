@@ -56,3 +56,13 @@ def test_top_k_shuffles_postings_once_for_all_queries(spark, common_words):
 def test_build_shuffles_texts_not_tokens(spark, tmp_path):
     docs = spark.range(20).selectExpr("id AS key", "array_join(transform(sequence(1, 500), x -> concat('w', x)), ' ') AS text")
     assert shuffled(spark, lambda: inverted_index.build(docs, str(tmp_path / "i"))) < 5_000
+
+
+def test_anchors_are_found_in_arrow_batches(spark):
+    from veridock.functions.text import folded, match_text
+    from veridock.operators import relevance
+
+    said = [" A\x1cB 　c ", "Ｓtraße\x85x", "", " ﬁ\t\n"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "k int, t string")
+    assert [r[0] for r in rows.orderBy("k").select(match_text(rows["t"])).collect()] == [folded(t) for t in said]
+    assert "MapInPandas" not in plan(relevance.anchor_hits(rows, "k", "t", spark.createDataFrame([("b c",)], "anchor string")))

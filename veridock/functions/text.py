@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -45,6 +46,15 @@ def match_text(col: Column) -> Column:
     return fold(compatibility_text(col))
 
 
+#: What Java's (?U)\\s takes: Unicode white space, without the separators of files and records.
+_SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+
+def folded(text: str) -> str:
+    """``match_text`` of one text, for functions that run in Python anyway."""
+    return _SPACES.sub(" ", unicodedata.normalize("NFKC", text)).strip(" ").casefold()
+
+
 def tokens(col: Column) -> Column:
     """Lower-case tokens in order; null counts as empty."""
     return F.array_remove(F.split(F.lower(F.coalesce(col, F.lit(""))), SEPARATORS), "")

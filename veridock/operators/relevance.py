@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veridock.functions.text import match_text
+from veridock.functions.text import folded, match_text
 
 #: Subjects that exclude each other, and what a clause must name if a query names the trigger.
 SUBJECT_GROUPS = (("역세권", "간선도로변"),)
@@ -27,27 +27,29 @@ GRAM = 3
 def anchor_hits(texts: DataFrame, key: str, text: str, anchors: DataFrame) -> DataFrame:
     """key, anchor: the anchors (column anchor) that stand anywhere in each text, both in normal form; each once. Null texts have none."""
     wanted = anchors.select(match_text(F.col("anchor")).alias("anchor")).where("anchor <> ''").distinct()
-    rows = texts.select(key, match_text(F.col(text)).alias("t")).where("t IS NOT NULL")
     count, size = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("anchor")), F.lit(0))).first()
     if count > MAX_ANCHORS or size > MAX_ANCHOR_BYTES:
-        return _by_grams(rows, key, wanted)
+        return _by_grams(texts.select(key, match_text(F.col(text)).alias("t")).where("t IS NOT NULL"), key, wanted)
+    rows = texts.select(key, F.col(text).alias("t")).where("t IS NOT NULL")
     names = sorted(r["anchor"] for r in wanted.collect())
     shared = texts.sparkSession.sparkContext.broadcast(names)
 
     def find(batches):
         import ahocorasick
+        import pyarrow as pa
 
         automaton = ahocorasick.Automaton()
         for name in shared.value:
             automaton.add_word(name, name)
         if shared.value:
             automaton.make_automaton()
-        for frame in batches:
-            frame["anchor"] = [sorted({name for _, name in automaton.iter(t)}) if shared.value else [] for t in frame.pop("t")]
-            yield frame
+        # Texts are brought into normal form one by one: a batch is held once, as Arrow has it.
+        for batch in batches:
+            found = [sorted({name for _, name in automaton.iter(folded(t.as_py()))}) if shared.value else [] for t in batch["t"]]
+            yield pa.RecordBatch.from_arrays([batch[key], pa.array(found, pa.list_(pa.string()))], [key, "anchor"])
 
     schema = f"{key} {rows.schema[key].dataType.simpleString()}, anchor array<string>"
-    return rows.mapInPandas(find, schema).select(key, F.explode("anchor").alias("anchor"))
+    return rows.mapInArrow(find, schema).select(key, F.explode("anchor").alias("anchor"))
 
 
 def _by_grams(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
