@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -117,20 +115,21 @@ def json_paths(df: DataFrame, key: str, text: str) -> DataFrame:
     spark = df.sparkSession
     parsed = df.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.lit("$").alias("path"), F.try_parse_json(text).alias("v"), F.col(text).alias("raw"))
     invalid = parsed.where("v IS NULL").select("k", "path", F.lit("INVALID").alias("type"), F.col("raw").alias("value"))
-    level, leaves = parsed.where("v IS NOT NULL").select("k", "path", "v"), [invalid]
+    level = parsed.where("v IS NOT NULL").select("k", "path", "v", F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("value"))
     while True:
-        typed = level.withColumn("kind", F.schema_of_variant("v"))
-        nested = F.col("kind").rlike("^(OBJECT|ARRAY)<") & ~F.to_json("v").isin("{}", "[]")
+        # Leaves go along as they are, so each text is parsed in one pass and not again for every level.
+        typed = level.withColumn("kind", F.when(F.col("type").isNull(), F.schema_of_variant("v"))).withColumn("json", F.when(F.col("type").isNull(), F.to_json("v")))
+        nested = F.coalesce(F.col("kind").rlike("^(OBJECT|ARRAY)<") & ~F.col("json").isin("{}", "[]"), F.lit(False))
         plain = F.when(F.col("kind").startswith("OBJECT<"), "OBJECT").when(F.col("kind").startswith("ARRAY<"), "ARRAY").otherwise(F.regexp_replace("kind", r"\(.*", ""))
-        leaves.append(typed.where(~nested).select("k", "path", plain.alias("type"), F.to_json("v").alias("value")))
-        open_rows = typed.where(nested)
-        if open_rows.isEmpty():
+        typed = typed.withColumn("nested", nested)
+        typed = typed.select("k", "path", F.when(F.col("nested"), F.col("v")).alias("v"), F.when(~F.col("nested"), F.coalesce("type", plain)).alias("type"), F.when(~F.col("nested"), F.coalesce("value", "json")).alias("value"))
+        if typed.where("type IS NULL").isEmpty():
             break
         name = F.when(F.col("e_key").isNull(), F.concat(F.lit("["), F.col("e_pos").cast("string"), F.lit("]"))).when(F.col("e_key").rlike("^[A-Za-z_][A-Za-z0-9_]*$"), F.concat(F.lit("."), "e_key"))
         name = name.otherwise(F.to_json(F.array("e_key")))
-        opened = open_rows.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).toDF("e_pos", "e_key", "e_value"))
-        level = opened.select("k", F.concat("path", name).alias("path"), F.col("e_value").alias("v"))
-    return reduce(DataFrame.unionByName, leaves).withColumnRenamed("k", key)
+        opened = typed.lateralJoin(spark.tvf.variant_explode_outer(F.col("v").outer()).toDF("e_pos", "e_key", "e_value"))
+        level = opened.select("k", F.when(F.col("type").isNull(), F.concat("path", name)).otherwise(F.col("path")).alias("path"), F.col("e_value").alias("v"), "type", "value")
+    return typed.select("k", "path", "type", "value").unionByName(invalid).withColumnRenamed("k", key)
 
 
 def json_differences(left: DataFrame, right: DataFrame, key: str, text: str) -> DataFrame:
