@@ -49,7 +49,8 @@ def _inside(short: DataFrame, long: DataFrame) -> DataFrame:
 
 def resolve_titles(titles: DataFrame, documents: DataFrame) -> DataFrame:
     """title, document: the one document (document, title) of that canonical title, else the one whose title holds it or stands in it; null if there is none or more than one."""
-    wanted = titles.select("title", canonical_title(F.col("title")).alias("w")).distinct()
+    # A title is brought into its form once, however many references name it.
+    wanted = titles.select("title").distinct().select("title", canonical_title(F.col("title")).alias("w"))
     known = documents.select("document", canonical_title(F.col("title")).alias("k"))
     only = F.when(F.count(F.lit(1)) == 1, F.min("document"))
     exact = known.groupBy("k").agg(only.alias("exact")).withColumnRenamed("k", "w")
