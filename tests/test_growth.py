@@ -5,7 +5,7 @@ import os
 import pytest
 
 from veridock.operators import inverted_index
-from veridock.plans import legal
+from veridock.plans import legal, review
 
 SF = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")
@@ -84,3 +84,9 @@ def test_phrases_whose_words_repeat_or_cross_documents(spark, tmp_path):
     asked = spark.createDataFrame([("aa", ["a", "a"]), ("bab", ["b", "a", "b"]), ("ababa", list("ababa")), ("b", ["b"]), ("bb", ["b", "b"])], "q string, terms array<string>")
     found = inverted_index.phrases(index, asked.selectExpr("q", "size(terms) AS n_slots", "posexplode(terms) AS (slot, word)"))
     assert {(r["q"], r["key"], r["dl"], r["f"]) for r in found.collect()} == {("aa", 1, 5, 2), ("bab", 3, 5, 1), ("ababa", 3, 5, 1), ("b", 1, 5, 1), ("b", 2, 2, 1), ("b", 3, 5, 2)}
+
+
+@needs_tables
+def test_channels_read_texts_once(spark):
+    """Statistics and ranks come from the counts that were kept."""
+    assert "documents.parquet" not in plan(review.QUERIES["reciprocal_rank_fusion"](spark, SF))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridock.functions.text import token_text, tokens
+from veridock.sources.session import write_kept
 
 #: Weights of the fusion.
 CHANNEL_WEIGHTS = {
@@ -75,20 +76,36 @@ def _starts_with(word: str) -> Callable[[Column], Column]:
 
 def counted(df: DataFrame, key: str, text: str, words: list[str], kind: str) -> DataFrame:
     """key, dl, f0, f1, ...: a row's tokens and the places of each term: the whole phrase, a word, or what a word begins."""
-    base = df.select(key, tokens(F.col(text)).alias("__t"), token_text(F.col(text)).alias("__b"))
+    return df.select(key, tokens(F.col(text)).alias("__t")).select(key, F.size("__t").alias("dl"), *[p.alias(f"f{i}") for i, p in enumerate(_places(words, kind))])
+
+
+def _places(words: list[str], kind: str) -> list[Column]:
+    """How often each term of a channel stands in the tokens ``__t``."""
     if kind == "fts_phrase":
         # A space before the phrase is one place of it, also where places overlap.
-        places = [F.regexp_count("__b", F.lit(" (?=" + " ".join(map(re.escape, words)) + " )"))]
-    elif kind == "fts_token_and":
-        places = [F.size("__t") - F.size(F.array_remove("__t", w)) for w in words]
-    else:
-        places = [F.size(F.filter("__t", _starts_with(w))) for w in words]
-    return base.select(key, F.size("__t").alias("dl"), *[p.alias(f"f{i}") for i, p in enumerate(places)])
+        body = F.concat(F.lit(" "), F.array_join("__t", " "), F.lit(" "))
+        return [F.regexp_count(body, F.lit(" (?=" + " ".join(map(re.escape, words)) + " )"))]
+    if kind == "fts_token_and":
+        return [F.size("__t") - F.size(F.array_remove("__t", w)) for w in words]
+    return [F.size(F.filter("__t", _starts_with(w))) for w in words]
 
 
 def channel(df: DataFrame, key: str, text: str, words: list[str], kind: str, k: int) -> DataFrame:
     """key, channel, rank, score 1/rank: top k of a channel by BM25 of its terms, ties by key."""
-    top = _ranked(counted(df, key, text, words, kind), key, 1 if kind == "fts_phrase" else len(words), True, k)
+    return _placed(counted(df, key, text, words, kind), key, words, kind, k)
+
+
+def channels(df: DataFrame, key: str, text: str, words: list[str], kinds: tuple[str, ...], k: int) -> DataFrame:
+    """Several channels of the same words. Texts are read and split once: the counts of all terms are a few numbers a row, written to the shared folder for the statistics and the ranks of each channel."""
+    places = {kind: _places(words, kind) for kind in kinds}
+    base = df.select(key, tokens(F.col(text)).alias("__t"))
+    kept = write_kept(base.select(key, F.size("__t").alias("dl"), *[p.alias(f"{kind}{i}") for kind, some in places.items() for i, p in enumerate(some)]))
+    parts = [_placed(kept.select(key, "dl", *[F.col(f"{kind}{i}").alias(f"f{i}") for i in range(len(some))]), key, words, kind, k) for kind, some in places.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _placed(counts: DataFrame, key: str, words: list[str], kind: str, k: int) -> DataFrame:
+    top = _ranked(counts, key, 1 if kind == "fts_phrase" else len(words), True, k)
     ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)))
     return ranked.select(key, F.lit(kind).alias("channel"), "rank", (1 / F.col("rank")).alias("score"))
 

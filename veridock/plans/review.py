@@ -86,11 +86,7 @@ CHANNELS = " UNION ALL ".join((
 @query(f"""WITH d AS (SELECT doc_id, {TOK} w FROM documents), h AS ({CHANNELS})
 SELECT doc_id, round(sum((1.0 / r) * CASE c WHEN 'fts_phrase' THEN 0.55 WHEN 'fts_token_and' THEN 0.15 ELSE 0.12 END), 6) final_score, string_agg(c, '|' ORDER BY c) channels FROM h GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20""")
 def reciprocal_rank_fusion(spark, sf):
-    docs, words = _docs(spark, sf), ["of", "the"]
-    hits = None
-    for kind in ("fts_phrase", "fts_token_and", "fts_token_prefix_and"):
-        part = search.channel(docs, "doc_id", "text", words, kind, 20)
-        hits = part if hits is None else hits.unionByName(part)
+    hits = search.channels(_docs(spark, sf), "doc_id", "text", ["of", "the"], ("fts_phrase", "fts_token_and", "fts_token_prefix_and"), 20)
     return search.fuse(hits, "doc_id").orderBy(F.desc("final_score"), "doc_id").limit(20)
 
 
