@@ -4,8 +4,9 @@ import os
 
 import pytest
 
-from veridock.operators import inverted_index
+from veridock.operators import clauses, inverted_index
 from veridock.plans import legal, review
+from veridock.sources import ingest
 
 SF = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")
@@ -90,3 +91,11 @@ def test_phrases_whose_words_repeat_or_cross_documents(spark, tmp_path):
 def test_channels_read_texts_once(spark):
     """Statistics and ranks come from the counts that were kept."""
     assert "documents.parquet" not in plan(review.QUERIES["reciprocal_rank_fusion"](spark, SF))
+
+
+def test_lines_of_a_task_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(clauses, "LINES_A_TASK", 100, raising=False)
+    lines = spark.range(5000).selectExpr("id AS revision", "1L AS pos", "'e' AS element", "'t' AS text")
+    dealt = clauses.by_revision(lines)
+    assert dealt.rdd.getNumPartitions() == 50
+    assert plan(clauses.derive_clauses(dealt.distinct())).count("Exchange") == 1

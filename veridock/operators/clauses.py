@@ -24,6 +24,13 @@ MARKS = "①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮⑯⑰⑱⑲⑳"
 PARAGRAPH_REFERENCE = r"제(\d+)항"
 
 PART = "array<struct<key:string,title:string,text:string>>"
+#: Lines of a task, on average.
+LINES_A_TASK = 200_000
+
+
+def by_revision(lines: DataFrame) -> DataFrame:
+    """Lines dealt by revision to tasks of about ``LINES_A_TASK``, however well they compress. What groups by revision needs no further shuffle."""
+    return lines.repartition(max(-(-lines.count() // LINES_A_TASK), lines.sparkSession.sparkContext.defaultParallelism), "revision")
 
 
 def _paragraphs(text: Column) -> Column:
@@ -75,7 +82,8 @@ def derive_clauses(lines: DataFrame) -> DataFrame:
     key is the clause's place (제3조#2, 1-2/가/1, APPENDIX:...), path its ancestors
     from the top. Text lines belong to the clause before them. Lines before the first
     opening belong to none. Null and empty lines are passed over; lines at one pos
-    come in order of their element.
+    come in order of their element. Lines from ``by_revision`` keep a task's memory
+    within bounds.
     """
     rows = classified(lines)
     text, article = F.col("text"), F.col("article")

@@ -35,7 +35,8 @@ def _lines(spark, sf):
     text = F.replace(F.element_at(texts, (form + 1).cast("int")), F.lit("{n}"), n)
     # Line numbers repeat within an order, and some lines repeat as a whole.
     place = F.col("l_linenumber") * 10_000_000_000_000 + F.col("l_partkey") * 1_000_000 + F.col("l_suppkey")
-    return t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("revision"), place.alias("pos"), place.cast("string").alias("element"), text.alias("text")).distinct()
+    lines = t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("revision"), place.alias("pos"), place.cast("string").alias("element"), text.alias("text"))
+    return clauses.by_revision(lines).distinct()
 
 
 CLAUSES = """WITH l AS (SELECT DISTINCT l_orderkey r, CAST(l_linenumber AS BIGINT) * 10000000000000 + l_partkey * 1000000 + l_suppkey p, CAST(l_linenumber % 3 + 1 AS VARCHAR) n, (l_orderkey * 7 + l_linenumber * l_partkey) % 13 f FROM lineitem),
