@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from veridock.operators import clauses, inverted_index
 from veridock.plans import legal, review
@@ -99,3 +100,17 @@ def test_lines_of_a_task_are_bounded(spark, monkeypatch):
     dealt = clauses.by_revision(lines)
     assert dealt.rdd.getNumPartitions() == 50
     assert plan(clauses.derive_clauses(dealt.distinct())).count("Exchange") == 1
+
+
+def test_links_to_one_end_are_no_single_task(spark):
+    links = spark.range(2000).selectExpr("concat('k', id) AS id", "CASE WHEN id = 7 THEN NULL WHEN id % 2 = 0 THEN 'd' ELSE 'nowhere' END AS target_id")
+    known = spark.createDataFrame([("d",), ("d",), (None,)], "id string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        lost = ingest._unknown(links, "links", "target_id", known, shared=True)
+        sizes = [r["count"] for r in lost.groupBy(F.spark_partition_id()).count().collect()]
+        ids = {r["id"] for r in lost.collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert ids == {f"k{i}" for i in range(1, 2000, 2)}
+    assert sum(sizes) == 1000 and max(sizes) < 500

@@ -18,6 +18,8 @@ PARENTS = (("revisions", "document_id", "documents"), ("pages", "revision_id", "
 ON_PAGES = ("elements", "tables", "visuals")
 #: Entities that links and review flags may lead to.
 CITABLE = ("documents", "revisions", "pages", "elements", "clauses", "tables", "visuals")
+#: Rows that lead to one end are dealt into so many parts.
+PARTS = 64
 MANIFEST = "entity string, n_rows long, digest_a string, digest_b string"
 
 
@@ -69,6 +71,24 @@ def prepared(raw: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFrame
     return out, reduce(DataFrame.unionByName, bad)
 
 
+def _unknown(rows: DataFrame, entity: str, column: str, known: DataFrame, shared: bool = False) -> DataFrame:
+    """Rows whose column leads to no known id, or to none.
+
+    Where a ``shared`` end may be that of a third of the rows, only distinct ends meet
+    the known ids; rows are dealt by their own id, so that no task gets all rows of an end.
+    """
+    known = known.where("id IS NOT NULL").withColumnRenamed("id", "__known")
+    if not shared:
+        lost = rows.join(known, F.col(column) == F.col("__known"), "left_anti")
+    else:
+        part = F.pmod(F.xxhash64("id"), F.lit(PARTS))
+        dealt = rows.select("id", F.col(column).alias("__end"), part.alias("__part"))
+        ends = dealt.where("__end IS NOT NULL").select("__end", "__part").distinct()
+        missing = ends.join(known, F.col("__end") == F.col("__known"), "left_anti")
+        lost = dealt.where("__end IS NOT NULL").join(missing, ["__end", "__part"], "left_semi").unionByName(dealt.where("__end IS NULL"))
+    return lost.select(F.lit(entity).alias("entity"), "id", F.lit(f"UNKNOWN_{column.upper()}").alias("code"))
+
+
 def violations(tables: dict[str, DataFrame]) -> DataFrame:
     """entity, id, code: NULL_ID, DUPLICATE_ID, parents, link ends and flagged rows that aren't there, two pages of one number."""
     found = []
@@ -77,11 +97,10 @@ def violations(tables: dict[str, DataFrame]) -> DataFrame:
         code = F.when(F.col("id").isNull(), "NULL_ID").when(F.col("n") > 1, "DUPLICATE_ID")
         found.append(ids.select(F.lit(name).alias("entity"), "id", code.alias("code")).where("code IS NOT NULL"))
     for name, column, parent in PARENTS:
-        known = tables[parent].select(F.col("id").alias(column)).where(f"{column} IS NOT NULL").distinct()
-        found.append(tables[name].join(known, column, "left_anti").select(F.lit(name).alias("entity"), "id", F.lit(f"UNKNOWN_{column.upper()}").alias("code")))
-    citable = reduce(DataFrame.union, [tables[n].select("id") for n in CITABLE]).where("id IS NOT NULL").distinct()
+        found.append(_unknown(tables[name], name, column, tables[parent].select("id")))
+    citable = reduce(DataFrame.union, [tables[n].select("id") for n in CITABLE])
     for name, column in (("links", "source_id"), ("links", "target_id"), ("review_flags", "entity_id")):
-        found.append(tables[name].join(citable.withColumnRenamed("id", column), column, "left_anti").select(F.lit(name).alias("entity"), "id", F.lit(f"UNKNOWN_{column.upper()}").alias("code")))
+        found.append(_unknown(tables[name], name, column, citable, shared=True))
     twice = tables["pages"].groupBy("revision_id", "page_number").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n > 1")
     found.append(twice.select(F.lit("pages").alias("entity"), "id", F.lit("DUPLICATE_PAGE_NUMBER").alias("code")))
     return reduce(DataFrame.unionByName, found).distinct()
