@@ -20,17 +20,15 @@ class Memo:
 
     def learn(self, keys: list[str], compute: Callable[[list[str]], list]) -> Callable[[str], bytes | None]:
         """Make ``new`` hold all short keys, and give a lookup of all keys."""
-        want, old = [], self.old
-        for k in dict.fromkeys(keys):
-            if k in old:
-                self._keep([k], [old[k]])
-            else:
-                want.append(k)
+        old, distinct = self.old, dict.fromkeys(keys)
+        again = [k for k in distinct if k in old]
+        self.keep(again, [old[k] for k in again])
+        want = [k for k in distinct if k not in old] if again else list(distinct)
         values = compute(want) if want else []
         if max(map(len, want), default=0) <= LONGEST:
-            self._keep(want, values)
+            self.keep(want, values)
             return self.new.__getitem__
-        self._keep(*([x for k, x in zip(want, column, strict=True) if len(k) <= LONGEST] for column in (want, values)))
+        self.keep(*([x for k, x in zip(want, column, strict=True) if len(k) <= LONGEST] for column in (want, values)))
         extra = {k: v for k, v in zip(want, values, strict=True) if len(k) > LONGEST}
         return lambda k: extra[k] if k in extra else self.new[k]
 
@@ -39,6 +37,7 @@ class Memo:
         if self.bytes > self.most // 2:
             self.old, self.new, self.bytes = self.new, {}, 0
 
-    def _keep(self, keys: list[str], values: list[bytes | None]) -> None:
+    def keep(self, keys: list[str], values: list[bytes | None]) -> None:
+        """Remember new keys."""
         self.new.update(zip(keys, values, strict=True))
         self.bytes += ENTRY * len(keys) + 4 * sum(map(len, keys)) + sum(len(v) for v in values if v)

@@ -9,6 +9,8 @@ Blocks lie in ascending doc_id order; a partition's blocks are numbered.
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 import struct
 import uuid
 import zlib
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .arrow import map_slices, slices
 from .common import broadcast_if_small, checkpoint, pick, shared_dir
-from .memo import Memo
+from .memo import LONGEST, Memo
 
 MAGIC = b"TIDB"
 END_ID = 2
@@ -33,19 +35,24 @@ BLOCK_DOCS = 1024
 DICT_DOCS, DICT_IDS, DICT_BYTES = 4000, 4096, 64 * 1024
 LEVEL = 3
 
-#: Bytes of segments and their ids that a worker process remembers.
-MEMO_BYTES = 192 * 1024 * 1024
+#: Bytes of segments and their ids that a worker process remembers, and of what follows a first word.
+MEMO_BYTES, REST_BYTES = 192 * 1024 * 1024, 32 * 1024 * 1024
+#: A segment's first word, of letters alone, and the rest, which begins with an ASCII character that is no letter.
+HEAD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([\x00-@\[-`{-\x7f].*)", re.S)
 _ENCODERS: dict[str, Encoder] = {}
 
 
 class Encoder:
     """Ids of the tokenizers library as little-endian unsigned 32-bit integers, with a bounded memo of segments.
 
-    The library treats what begins at a single space between two characters that
-    aren't white space alone. So segments are encoded once, many in one call; a
-    tab before a space or a letter is a token of its own and keeps them apart.
-    Texts of other spacing, and those that hold an added token, go to the library
-    whole.
+    The byte-level pattern treats what begins at a single space between two
+    characters that aren't white space alone. So segments are encoded once, many
+    in one call: only the first id of a segment stands for a string that begins
+    with a space, which keeps them apart. The pattern also cuts where a run of
+    letters ends, so a segment's first word and the rest are remembered by
+    themselves, and a word before new punctuation isn't new. Texts of other
+    spacing, those that hold an added token, and all texts of a tokenizer of
+    another kind go to the library whole.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -53,36 +60,60 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.memo = Memo(MEMO_BYTES)
-        self.tab = self.ids("\t")
+        self.memo, self.rests = Memo(MEMO_BYTES), Memo(REST_BYTES)
+        made = json.loads(self.tokenizer.to_str())
+        kind = made["pre_tokenizer"] or {}
+        byte_level = kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space") and made["normalizer"] is None
+        # Segments are joined by spaces and rests stand behind an "a": neither may complete an added token.
+        self.cuts = byte_level and made["model"]["type"] == "BPE" and not any(t.startswith("a") or " " in t for t in self.added)
+        words = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(words.values(), default=0) + 1, bool)
+        # Byte-level vocabularies write a space as this letter.
+        self.opens[[k for w, k in words.items() if w.startswith("\u0120")]] = True
+        self.before_rest = len(self.ids(" a").tobytes())
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def many(self, parts: list[str]) -> list[bytes]:
-        """Ids of every part, by one call where its ids can be told apart."""
-        if len(self.tab) == 1 and not any("\t" in p for p in parts):
-            found = self.ids("\t".join(parts))
-            ends = np.flatnonzero(found == self.tab[0])
-            if len(ends) == len(parts) - 1:
-                edges = [0, *(4 * (ends + 1)).tolist(), 4 * (len(found) + 1)]
-                data = found.tobytes()
-                return [data[a : b - 4] for a, b in zip(edges, edges[1:])]
+        """Ids of every part, each a space and what holds none, by one call where its ids can be told apart."""
+        found = self.ids("".join(parts))
+        starts = np.flatnonzero(self.opens[found])
+        if len(starts) == len(parts):
+            edges = [*(4 * starts).tolist(), 4 * len(found)]
+            data = found.tobytes()
+            return [data[a:b] for a, b in zip(edges, edges[1:])]
         return [self.ids(p).tobytes() for p in parts]
 
+    def after_word(self, rests: list[str]) -> list[bytes]:
+        """Ids of what follows a word."""
+        return [ids[self.before_rest :] for ids in self.many([" a" + r for r in rests])]
+
     def fresh(self, segments: list[str]) -> list[bytes]:
         """Ids of segments, nothing for those of irregular spacing."""
-        out = [b""] * len(segments)
-        even = [k for k, s in enumerate(segments) if s and not s[0].isspace() and not s[-1].isspace()]
-        odd = [k for k in even if "\t" in segments[k]]
-        for part in ([k for k in even if "\t" not in segments[k]] if odd else even, odd):
-            if part:
-                for k, ids in zip(part, self.many([" " + segments[k] for k in part]), strict=True):
-                    out[k] = ids
-        return out
+        new, old, whole = self.memo.new, self.memo.old, [s for s in segments if s.isalpha()]
+        names, heads, rests = [], [], []
+        for s in segments:
+            if s and not s.isalpha() and not s[0].isspace() and not s[-1].isspace():
+                m = HEAD.fullmatch(s) if len(s) <= LONGEST else None
+                if m:
+                    head, rest = m.groups()
+                    names.append(s)
+                    heads.append(head)
+                    rests.append(rest)
+                else:
+                    whole.append(s)
+        known = dict.fromkeys(whole)
+        more = [h for h in dict.fromkeys(heads) if h not in known and h not in new and h not in old]
+        if whole or more:
+            known = dict(zip([*whole, *more], self.many([" " + t for t in [*whole, *more]]), strict=True))
+        self.memo.keep(more, [known[h] for h in more])
+        after = self.rests.learn([r for r in rests if r not in self.rests.new], self.after_word)
+        known.update([(s, (known.get(h) or new.get(h) or old[h]) + after(r)) for s, h, r in zip(names, heads, rests, strict=True)])
+        return [known.get(s, b"") for s in segments]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        whole = [not t or t[0].isspace() or any(x in t for x in self.added) for t in texts]
+        whole = [not self.cuts or not t or t[0].isspace() or any(x in t for x in self.added) for t in texts]
         cut = [[] if w else t.split(" ") for t, w in zip(texts, whole, strict=True)]
         # Every segment is looked up once; what is missing is learned and put into its place.
         got = [list(map(self.memo.new.get, c)) for c in cut]
@@ -102,6 +133,7 @@ class Encoder:
                     continue
             out.append(self.ids(text).tobytes())
         self.memo.turn()
+        self.rests.turn()
         return out
 
     def encode(self, text: str) -> bytes:
