@@ -10,22 +10,21 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 import struct
 import uuid
 import zlib
-from itertools import compress, repeat
-from operator import is_
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrow import map_slices, slices
 from .common import broadcast_if_small, checkpoint, pick, shared_dir
-from .memo import LONGEST, Memo
+from .memo import Memo
 
 MAGIC = b"TIDB"
 END_ID = 2
@@ -35,24 +34,30 @@ BLOCK_DOCS = 1024
 DICT_DOCS, DICT_IDS, DICT_BYTES = 4000, 4096, 64 * 1024
 LEVEL = 3
 
-#: Bytes of segments and their ids that a worker process remembers, and of what follows a first word.
-MEMO_BYTES, REST_BYTES = 192 * 1024 * 1024, 32 * 1024 * 1024
-#: A segment's first word, of letters alone, and the rest, which begins with an ASCII character that is no letter.
-HEAD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([\x00-@\[-`{-\x7f].*)", re.S)
+#: A slice of rows is encoded at a time: at most so many rows, and so many bytes of text unless one text has more.
+SLICE_DOCS, SLICE_BYTES = 4096, 8 * 1024 * 1024
+#: Bytes of words and their ids that a worker process remembers, and of what follows a first word.
+MEMO_BYTES, REST_BYTES = 320 * 1024 * 1024, 64 * 1024 * 1024
+#: The library gets so many new words in one call; ids are put in place for so many strings at a time.
+CALL_PARTS, STEP = 8192, 1 << 15
+#: Bytes that end a first word: ASCII but for letters. Bytes that no word to be cut has: all lead bytes but those of U+00C0 to U+023F.
+ENDS_WORD = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
+FOREIGN = np.array([b >= 0xC0 and not 0xC3 <= b <= 0xC8 for b in range(256)])
 _ENCODERS: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """Ids of the tokenizers library as little-endian unsigned 32-bit integers, with a bounded memo of segments.
+    """Ids of the tokenizers library as little-endian unsigned 32-bit integers, with bounded memos of words.
 
     The byte-level pattern treats what begins at a single space between two
-    characters that aren't white space alone. So segments are encoded once, many
-    in one call: only the first id of a segment stands for a string that begins
-    with a space, which keeps them apart. The pattern also cuts where a run of
-    letters ends, so a segment's first word and the rest are remembered by
-    themselves, and a word before new punctuation isn't new. Texts of other
-    spacing, those that hold an added token, and all texts of a tokenizer of
-    another kind go to the library whole.
+    characters that aren't white space alone. So Arrow finds the distinct segments
+    of a slice of texts, and only those are encoded, many in one call: only the
+    first id of a segment stands for a string that begins with a space, which
+    keeps them apart. The pattern also cuts where a run of letters ends, so a
+    segment's first word and the rest are looked up and remembered by themselves,
+    never the two together. Ids go from distinct segments to texts by numpy. Texts
+    of other spacing, those that hold an added token, and all texts of a tokenizer
+    of another kind go to the library whole.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -76,70 +81,129 @@ class Encoder:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def many(self, parts: list[str]) -> list[bytes]:
-        """Ids of every part, each a space and what holds none, by one call where its ids can be told apart."""
-        found = self.ids("".join(parts))
-        starts = np.flatnonzero(self.opens[found])
-        if len(starts) == len(parts):
-            edges = [*(4 * starts).tolist(), 4 * len(found)]
-            data = found.tobytes()
-            return [data[a:b] for a, b in zip(edges, edges[1:])]
-        return [self.ids(p).tobytes() for p in parts]
+        """Ids of every part, each a space and what holds none, by one call for many where their ids can be told apart."""
+        out = []
+        for at in range(0, len(parts), CALL_PARTS):
+            some = parts[at : at + CALL_PARTS]
+            found = self.ids("".join(some))
+            starts = np.flatnonzero(self.opens[found])
+            if len(starts) == len(some):
+                edges = [*(4 * starts).tolist(), 4 * len(found)]
+                data = found.tobytes()
+                out += [data[a:b] for a, b in zip(edges, edges[1:])]
+            else:
+                out += [self.ids(p).tobytes() for p in some]
+        return out
+
+    def after_space(self, words: list[str]) -> list[bytes]:
+        """Ids of first words, or of segments that weren't cut, behind their space; nothing for those of irregular spacing."""
+        fine = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()]
+        known = dict(zip(fine, self.many([" " + w for w in fine]), strict=True))
+        return [known.get(w, b"") for w in words]
 
     def after_word(self, rests: list[str]) -> list[bytes]:
-        """Ids of what follows a word."""
-        return [ids[self.before_rest :] for ids in self.many([" a" + r for r in rests])]
-
-    def fresh(self, segments: list[str]) -> list[bytes]:
-        """Ids of segments, nothing for those of irregular spacing."""
-        new, old, whole = self.memo.new, self.memo.old, [s for s in segments if s.isalpha()]
-        names, heads, rests = [], [], []
-        for s in segments:
-            if s and not s.isalpha() and not s[0].isspace() and not s[-1].isspace():
-                m = HEAD.fullmatch(s) if len(s) <= LONGEST else None
-                if m:
-                    head, rest = m.groups()
-                    names.append(s)
-                    heads.append(head)
-                    rests.append(rest)
-                else:
-                    whole.append(s)
-        known = dict.fromkeys(whole)
-        more = [h for h in dict.fromkeys(heads) if h not in known and h not in new and h not in old]
-        if whole or more:
-            known = dict(zip([*whole, *more], self.many([" " + t for t in [*whole, *more]]), strict=True))
-        self.memo.keep(more, [known[h] for h in more])
-        after = self.rests.learn([r for r in rests if r not in self.rests.new], self.after_word)
-        known.update([(s, (known.get(h) or new.get(h) or old[h]) + after(r)) for s, h, r in zip(names, heads, rests, strict=True)])
-        return [known.get(s, b"") for s in segments]
+        """Ids of what follows a first word; nothing where white space ends it."""
+        fine = [r for r in rests if not r[-1].isspace()]
+        known = dict(zip(fine, [ids[self.before_rest :] for ids in self.many([" a" + r for r in fine])], strict=True))
+        return [known.get(r, b"") for r in rests]
+
+    def distinct_ids(self, segments: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of segments one after the other, and their numbers; none for segments of irregular spacing."""
+        pieces = halves(segments).dictionary_encode()
+        texts, codes = pieces.dictionary, pieces.indices.to_numpy()
+        # A piece stands for a word in the first place of a segment and for a rest in the second.
+        place = np.zeros((2, len(texts)), bool)
+        place[0, codes[0::2]] = place[1, codes[1::2]] = True
+        words, rests = np.flatnonzero(place[0]), np.flatnonzero(place[1] & (pc.binary_length(texts).to_numpy() > 0))
+        got = [*recall(self.memo, texts.take(pa.array(words)).to_pylist(), self.after_space), *recall(self.rests, texts.take(pa.array(rests)).to_pylist(), self.after_word), b""]
+        at = np.full((2, len(texts)), len(got) - 1, np.int32)
+        at[0, words] = np.arange(len(words), dtype=np.int32)
+        at[1, rests] = np.arange(len(words), len(got) - 1, dtype=np.int32)
+        order = np.stack([at[0, codes[0::2]], at[1, codes[1::2]]], axis=1)
+        lens = lengths(got)
+        none = (lens[order] == 0) & np.stack([np.ones(len(segments), bool), order[:, 1] < len(got) - 1], axis=1)
+        order[none.any(axis=1)] = len(got) - 1
+        return gather(np.frombuffer(b"".join(got), "<u4"), lens, order.ravel()), lens[order].sum(axis=1, dtype=np.int32)
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        whole = [not self.cuts or not t or t[0].isspace() or any(x in t for x in self.added) for t in texts]
-        cut = [[] if w else t.split(" ") for t, w in zip(texts, whole, strict=True)]
-        # Every segment is looked up once; what is missing is learned and put into its place.
-        got = [list(map(self.memo.new.get, c)) for c in cut]
-        for text, g in zip(cut, got, strict=True):
-            if g:
-                g[0] = self.ids(text[0]).tobytes()
-        ids_of = self.memo.learn([s for c, g in zip(cut, got, strict=True) for s in compress(c, map(is_, g, repeat(None)))], self.fresh)
-        out = []
-        for text, direct, parts, g in zip(texts, whole, cut, got, strict=True):
-            if not direct and not parts[0][-1].isspace():
-                at = -1
-                for _ in range(g.count(None)):
-                    at = g.index(None, at + 1)
-                    g[at] = ids_of(parts[at])
-                if b"" not in g:
-                    out.append(b"".join(g))
-                    continue
-            out.append(self.ids(text).tobytes())
-        self.memo.turn()
-        self.rests.turn()
-        return out
+        """Ids of every text."""
+        out: list[bytes | None] = [None] * len(texts)
+        cut = [k for k, t in enumerate(texts) if self.cuts and t and not t[0].isspace() and not any(x in t for x in self.added)]
+        if cut:
+            parts = pc.split_pattern(pa.array([texts[k] for k in cut], pa.string()), " ")
+            # No space stands before the first segment of a text.
+            edges, segments = parts.offsets.to_numpy(), parts.flatten()
+            spaced = np.ones(len(segments), bool)
+            spaced[edges[:-1]] = False
+            others = segments.filter(pa.array(spaced)).dictionary_encode()
+            first = segments.take(pa.array(edges[:-1])).dictionary_encode()
+            data, lens = self.distinct_ids(others.dictionary)
+            firsts = [b"" if t[-1].isspace() else self.ids(t).tobytes() for t in first.dictionary.to_pylist()]
+            codes = np.empty(len(segments), np.int32)
+            codes[spaced] = others.indices.to_numpy()
+            codes[edges[:-1]] = len(lens) + first.indices.to_numpy()
+            lens = np.concatenate([lens, lengths(firsts)])
+            found = gather(np.concatenate([data, np.frombuffer(b"".join(firsts), "<u4")]), lens, codes)
+            sizes = lens[codes]
+            ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])[edges]
+            whole = np.add.reduceat(sizes == 0, edges[:-1])
+            for k, a, b, w in zip(cut, ends[:-1].tolist(), ends[1:].tolist(), whole.tolist(), strict=True):
+                if not w:
+                    out[k] = found[a:b].tobytes()
+            self.memo.turn()
+            self.rests.turn()
+        return [self.ids(t).tobytes() if ids is None else ids for t, ids in zip(texts, out, strict=True)]
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
 
 
+def halves(segments: pa.Array) -> pa.Array:
+    """Of every segment the first word and the rest, one after the other; a segment that can't be cut is followed by nothing.
+
+    A first word has letters of ASCII and U+00C0 to U+023F alone, and an ASCII
+    character that is no letter follows.
+    """
+    if not len(segments):
+        return segments
+    edges = np.frombuffer(segments.buffers()[1], np.int32)[segments.offset : segments.offset + len(segments) + 1]
+    data = np.frombuffer(segments.buffers()[2] or b"", np.uint8)[: edges[-1]]
+    starts, ends = edges[:-1], edges[1:]
+    stops = np.append(np.flatnonzero(ENDS_WORD[data]), len(data))
+    middles = np.minimum(stops[np.searchsorted(stops, starts)], ends)
+    # The signs for times and divided by lie among the letters.
+    signs = (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))
+    foreign = np.append(0, np.cumsum(FOREIGN[data] | np.append(signs, np.zeros(min(len(data), 1), bool)), dtype=np.int32))
+    cut = (middles > starts) & (foreign[middles] == foreign[starts])
+    out = np.empty(2 * len(segments) + 1, np.int32)
+    out[0::2], out[1::2] = edges, np.where(cut, middles, ends)
+    return pa.Array.from_buffers(pa.string(), len(out) - 1, [None, pa.py_buffer(out), segments.buffers()[2]])
+
+
+def recall(memo: Memo, keys: list[str], compute: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+    """Values of distinct keys, remembered or computed."""
+    got = list(map(memo.new.get, keys))
+    value = memo.learn([k for k, v in zip(keys, got, strict=True) if v is None], compute)
+    return [value(k) if v is None else v for k, v in zip(keys, got, strict=True)]
+
+
+def lengths(ids: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+
+
+def gather(data: np.ndarray, lens: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Runs of ``data`` with lengths ``lens``, as ``order`` names them."""
+    starts = np.cumsum(lens, dtype=np.int64) - lens
+    out, at = np.empty(int(lens[order].sum(dtype=np.int64)), data.dtype), 0
+    for k in range(0, len(order), STEP):
+        some = order[k : k + STEP]
+        n = lens[some]
+        ends = np.cumsum(n, dtype=np.int64)
+        out[at : at + ends[-1]] = data[np.repeat(starts[some] - (ends - n), n) + np.arange(ends[-1])]
+        at += ends[-1]
+    return out
+
+
 def encoder(tokenizer_file: str) -> Encoder:
     """One per worker process."""
     if tokenizer_file not in _ENCODERS:
@@ -195,7 +259,7 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, path: str, end_id: int =
     end = struct.pack("<I", end_id)
     keys = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(DICT_DOCS)
     chosen = rows.join(F.broadcast(keys.distinct()), "doc_id").select("text")
-    sampled = map_slices(chosen, lambda texts: [[narrow((encoder(tokenizer_file).encode(t) + end)[: 4 * DICT_IDS]) for t in texts]], "ids binary")
+    sampled = map_slices(chosen, lambda texts: [[narrow((ids + end)[: 4 * DICT_IDS]) for ids in encoder(tokenizer_file).encode_all(texts)]], "ids binary", most=SLICE_BYTES)
     dictionary = train_dictionary(sorted(bytes(r[0]) for r in sampled.limit(2 * DICT_DOCS).collect()))
     schema = "part int, block int, before long, doc_ids array<long>, counts array<int>, dict_sha256 string, image binary"
     arrow = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("dict_sha256", pa.string()), ("image", pa.binary())])
@@ -211,7 +275,7 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, path: str, end_id: int =
             cols = [[part], [block], [before], [ids], [counts], [named], [pack_block(frames, dictionary)]]
             return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
-        for parts, doc_ids, texts in slices(batches):
+        for parts, doc_ids, texts in slices(batches, SLICE_DOCS, SLICE_BYTES):
             part = parts[0]
             for doc_id, packed in zip(doc_ids, encode_all(texts), strict=True):
                 data = packed + end
